@@ -14,7 +14,8 @@ from hazeline.session import pin_utc
 
 DIGITS = 6
 # Means of two-decimal values can lie exactly between two rounded values, where
-# the last bit decides. Both sides add this offset first, so no value does.
+# the last bit decides. Both sides add this offset first, so no value does. Zero
+# is added after rounding because a rounded value may be a negative zero.
 NUDGE = 3.7e-10
 
 
@@ -105,7 +106,7 @@ def tidy(df: DataFrame) -> DataFrame:
     for f in df.schema.fields:
         kind = f.dataType.typeName()
         if kind == "double":
-            out[f.name] = F.round(F.col(f.name) + F.lit(NUDGE), DIGITS)
+            out[f.name] = F.round(F.col(f.name) + F.lit(NUDGE), DIGITS) + F.lit(0.0)
         elif kind == "timestamp":
             out[f.name] = F.col(f.name).cast("timestamp_ntz")
     return df.withColumns(out) if out else df
@@ -113,7 +114,7 @@ def tidy(df: DataFrame) -> DataFrame:
 
 def rounded(*names: str) -> str:
     """SQL select items that round to the same places."""
-    return ", ".join(f"round({n} + {NUDGE}, {DIGITS}) AS {n}" for n in names)
+    return ", ".join(f"round({n} + {NUDGE}, {DIGITS}) + 0 AS {n}" for n in names)
 
 
 class Suite:

@@ -174,11 +174,20 @@ def select_features(spark, sf_dir):
     return spark.createDataFrame(list(enumerate(chosen, 1)), "position int, feature string")
 
 
-@suite.query("numeric_columns", "SELECT column_name AS \"column\" FROM (DESCRIBE SELECT * FROM lineitem) "
-             "WHERE column_type IN ('BIGINT', 'INTEGER', 'DOUBLE') AND column_name <> 'l_linenumber'")
+MEASURES = ("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+@suite.query(
+    "numeric_columns",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", count({c}) AS n, round(max(CAST({c} AS DOUBLE)) + {NUDGE}, 6) AS largest FROM lineitem" for c in MEASURES
+    ),
+)
 def numeric_columns(spark, sf_dir):
-    found = profile.numeric_columns(table(spark, sf_dir, "lineitem"), drop=["l_linenumber"])
-    return spark.createDataFrame([(c,) for c in found], "column string")
+    rows = table(spark, sf_dir, "lineitem")
+    found = profile.numeric_columns(rows, drop=["l_linenumber"])
+    values = rows.select(*[F.col(c).cast("double").alias(c) for c in found]).unpivot([], found, "column", "value")
+    return values.groupBy("column").agg(F.count("value").alias("n"), F.max("value").alias("largest"))
 
 
 @suite.query(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from hazeline import schemas as S
 from hazeline.operators import daily, features, metrics, splits
+from hazeline.plans.daily_models import stack
 from suite.bindings import NUDGE, SENSOR, STATION, Suite, rounded, sensor, station
 
 suite = Suite()
@@ -15,7 +16,7 @@ IDS = ", ".join(ID)
 
 
 def rnd(expression: str, name: str) -> str:
-    return f"round({expression} + {NUDGE}, 6) AS {name}"
+    return f"round({expression} + {NUDGE}, 6) + 0 AS {name}"
 
 
 CHANGES = {f"{c}_change_rate": f"{c} - lag({c}, 1) OVER ({W})" for c in S.CHANGE_COLUMNS}
@@ -220,14 +221,17 @@ def daily_features(spark, sf_dir):
 
 @suite.query(
     "select_daily_features",
-    " UNION ALL ".join(
-        f"SELECT {n} AS n_days, {46 + 5 * n} AS features, (SELECT min(o_orderdate) FROM orders) IS NOT NULL AS built" for n in (1, 2, 3)
-    ),
+    f"WITH {WIDE_DAYS} SELECT city, n_days, 46 + 5 * n_days AS features, count(*) AS complete_rows "
+    "FROM rolled, (VALUES (1), (2), (3)) horizons(n_days) WHERE rm30 IS NOT NULL GROUP BY city, n_days",
 )
 def select_daily_features(spark, sf_dir):
     table = daily.daily_features(station(spark, sf_dir))
-    sizes = [(n, len(features.select_daily_features(table.columns, n))) for _, n in S.HORIZONS]
-    return spark.createDataFrame(sizes, "n_days int, features int").withColumn("built", F.lit(not table.isEmpty()))
+    parts = []
+    for _, n in S.HORIZONS:
+        columns = features.select_daily_features(table.columns, n)
+        complete = features.complete_rows(table, columns).groupBy("city").agg(F.count("*").alias("complete_rows"))
+        parts.append(complete.select("city", F.lit(n).alias("n_days"), F.lit(len(columns)).alias("features"), "complete_rows"))
+    return stack(parts)
 
 
 @suite.query(
