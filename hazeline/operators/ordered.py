@@ -60,15 +60,14 @@ def _spread(df: DataFrame, keys: Sequence[str], order: Sequence[str], total: int
 
 
 def running_sum(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: dict[str, Column | str], bounded: bool = False
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: dict[str, Column | str]
 ) -> DataFrame:
     """Add inclusive running totals `{name: value}` in `order` within `keys`.
 
-    `order` must be unique within `keys`. `bounded` skips the measurement for
-    series whose length the data model limits, such as days of a city.
+    `order` must be unique within `keys`.
     """
     keys, order = list(keys), list(order)
-    longest, total = (0, 0) if bounded else _sizes(df, keys)
+    longest, total = _sizes(df, keys)
     values = {name: F.col(v) if isinstance(v, str) else v for name, v in sums.items()}
     if longest <= row_limit(df):
         upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -87,11 +86,9 @@ def running_sum(
     ).drop(PART, *[f"_off_{n}" for n in values])
 
 
-def row_index(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "row_index", bounded: bool = False
-) -> DataFrame:
+def row_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "row_index") -> DataFrame:
     """Add the 1-based position of each row of its series."""
-    return running_sum(df, keys, order, {name: F.lit(1).cast("long")}, bounded)
+    return running_sum(df, keys, order, {name: F.lit(1).cast("long")})
 
 
 def neighbours(

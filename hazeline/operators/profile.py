@@ -320,5 +320,17 @@ def series_size(df: DataFrame, by: Sequence[str] = S.SERIES) -> DataFrame:
 def indexed(
     df: DataFrame, by: Sequence[str] = S.SERIES, order: Sequence[str] = (S.TIME,), bounded: bool = False
 ) -> DataFrame:
-    """Add `row_index` (from 1) and `n_rows` of each row's series."""
-    return join_on(row_index(df, by, order, bounded=bounded), series_size(df, by), list(by))
+    """Add `row_index` (from 1) and `n_rows` of each row's series.
+
+    Series the data model bounds are counted in the same window; others get
+    their size from an aggregate.
+    """
+    if bounded:
+        whole = Window.partitionBy(*by)
+        return df.withColumns(
+            {
+                "row_index": F.row_number().over(whole.orderBy(*order)).cast("long"),
+                "n_rows": F.count("*").over(whole),
+            }
+        )
+    return join_on(row_index(df, by, order), series_size(df, by), list(by))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from operator import and_, or_
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazeline import schemas as S
@@ -18,8 +19,7 @@ from hazeline.operators.daily import daily_features, latest_row, target_mean_ahe
 from hazeline.operators.features import complete_rows, select_daily_features
 from hazeline.operators.metrics import forecast_metrics
 from hazeline.operators.ordered import join_on
-from hazeline.operators.splits import split_tail
-from hazeline.plans.linear import RidgeSums, coefficient_rank, linear_contributions, predict_linear
+from hazeline.plans.linear import RidgeSums, centres, coefficient_rank, linear_contributions, predict_linear
 from hazeline.session import materialize
 
 # Penalties, holdout and training endpoint.
@@ -45,65 +45,79 @@ def future_columns(n_days: int) -> list[str]:
     return [f"fw_{v}{h}" for h in range(1, n_days + 1) for v in S.FUTURE_VARS]
 
 
-def training_rows(daily: DataFrame, label: str, n_days: int, seed: int = SEED) -> tuple[DataFrame, list[str]]:
-    """Complete rows of one horizon with noisy `fw_*`, their exact values under
-    `exact_*`, `target` and the chronological `split`."""
-    columns = select_daily_features(daily.columns, n_days)
-    exact = daily.withColumns({EXACT + c: F.col(c) for c in future_columns(n_days)})
-    noisy = forecast_noise(exact, MAX_HORIZON, seed)
-    rows = complete_rows(target_mean_ahead(noisy, n_days), columns, "target")
-    kept = ["city", S.TIME, *columns, *[EXACT + c for c in future_columns(n_days)], "target"]
-    return split_tail(rows.select(*kept), TEST_FRACTION, bounded=True), columns
+def training_table(daily: DataFrame, seed: int = SEED) -> DataFrame:
+    """What all horizons train and test on, written once.
+
+    `fw_*` carry simulated forecast error and `exact_*` their true values. Per
+    horizon there is a target and a chronological split, null on incomplete
+    rows and in cities with too few complete days to hold any out.
+    """
+    exact = daily.withColumns({EXACT + c: F.col(c) for c in future_columns(MAX_HORIZON)})
+    rows = forecast_noise(exact, MAX_HORIZON, seed)
+    for label, n_days in S.HORIZONS:
+        rows = target_mean_ahead(rows, n_days, f"target_{label}")
+    whole = Window.partitionBy(*S.SERIES)
+    upto = whole.orderBy(S.TIME).rowsBetween(Window.unboundedPreceding, 0)
+    for label, n_days in S.HORIZONS:
+        needed = [*select_daily_features(daily.columns, n_days), f"target_{label}"]
+        complete = reduce(and_, [F.col(c).isNotNull() for c in needed])
+        rows = rows.withColumn("_complete", complete.cast("int"))
+        place, size = F.sum("_complete").over(upto), F.sum("_complete").over(whole)
+        held_out = F.floor(size * F.lit(TEST_FRACTION))
+        split = F.when(place <= size - held_out, "train").otherwise("test")
+        rows = rows.withColumn(f"split_{label}", F.when(complete & (held_out >= 1), split))
+    return materialize(rows.drop("_complete"), "training")
 
 
 class DailyRidge:
     """Per-city ridge of one horizon with its held-out rows."""
 
-    def __init__(self, daily: DataFrame, label: str, n_days: int, seed: int = SEED):
+    def __init__(self, table: DataFrame, label: str, n_days: int, known: dict | None = None):
         self.label, self.n_days = label, n_days
-        rows, self.columns = training_rows(daily, label, n_days, seed)
-        rows = materialize(rows, "ridge_rows")
-        self.train = rows.filter(F.col("split") == "train")
-        self.test = rows.filter(F.col("split") == "test")
-        self.sums = RidgeSums(self.train, self.columns, "target")
-        self.models = self.sums.fit([ALPHAS[label]])
-
-    def _scores(self, predicted: DataFrame, kind: str, by: Sequence[str] = ("city",)) -> DataFrame:
-        scores = forecast_metrics(predicted, "target", "prediction", by)
-        return scores.withColumns({"horizon": F.lit(self.label), "kind": F.lit(kind)})
+        self.columns = select_daily_features(
+            [c for c in table.columns if not c.startswith((EXACT, "target_", "split_"))], n_days
+        )
+        rows = table.withColumn("target", F.col(f"target_{label}"))
+        self.train = rows.filter(F.col(f"split_{label}") == "train")
+        self.test = rows.filter(F.col(f"split_{label}") == "test")
+        self.sums = RidgeSums(self.train, self.columns, "target", known=known)
+        self.models = materialize(self.sums.fit([ALPHAS[label]]), "models")
 
-    def exact_rows(self) -> DataFrame:
-        """The test rows with exact instead of noisy future weather."""
-        return self.test.withColumns({c: F.col(EXACT + c) for c in future_columns(self.n_days)})
+    def exact_columns(self) -> list[str]:
+        """The model's inputs with exact instead of simulated future weather."""
+        return [EXACT + c if c.startswith("fw_") else c for c in self.columns]
 
     def scores(self) -> DataFrame:
         """Test scores: noisy weather (the one to report), exact weather and naive."""
-        return stack(
-            [
-                self._scores(predict_linear(self.test, self.models, self.columns), "forecast"),
-                self._scores(predict_linear(self.exact_rows(), self.models, self.columns), "exact_weather"),
-                self._scores(self.test.withColumn("prediction", F.col("aqi")), "naive"),
-            ]
-        )
+        scored = predict_linear(
+            self.test, self.models, self.columns, name="forecast", also={"exact_weather": self.exact_columns()}
+        ).withColumn("naive", F.col("aqi"))
+        kinds = scored.unpivot(["city", "target"], ["forecast", "exact_weather", "naive"], "kind", "prediction")
+        return forecast_metrics(kinds, "target", "prediction", ["city", "kind"]).withColumn("horizon", F.lit(self.label))
 
     def grid_scores(self, alphas: Sequence[float] = ALPHA_GRID) -> DataFrame:
         """Test scores per penalty, all fitted from the same sums."""
         predicted = predict_linear(self.test, self.sums.fit(alphas), self.columns, extra=["alpha"])
-        return self._scores(predicted, "forecast", ["city", "alpha"])
+        return forecast_metrics(predicted, "target", "prediction", ["city", "alpha"]).withColumn("horizon", F.lit(self.label))
 
     def ablation(self) -> DataFrame:
         """R² with and without future weather on the same rows and penalty."""
         history = [c for c in self.columns if not c.startswith("fw_")]
         without = self.sums.fit([ALPHAS[self.label]], history)
-        full = forecast_metrics(predict_linear(self.test, self.models, self.columns), "target", "prediction", ["city"])
-        hist = forecast_metrics(predict_linear(self.test, without, history), "target", "prediction", ["city"])
-        both = join_on(full.select("city", F.col("r2").alias("r2_full")), hist.select("city", F.col("r2").alias("r2_history")), ["city"])
-        return both.select("city", F.lit(self.label).alias("horizon"), "r2_full", "r2_history",
-                           (F.col("r2_full") - F.col("r2_history")).alias("delta_r2"))
+        full = predict_linear(self.test, self.models, self.columns, name="r2_full")
+        both = predict_linear(full, without, history, name="r2_history")
+        kinds = both.unpivot(["city", "target"], ["r2_full", "r2_history"], "kind", "prediction")
+        r2 = forecast_metrics(kinds, "target", "prediction", ["city", "kind"])
+        wide = r2.groupBy("city").agg(*[F.max(F.when(F.col("kind") == k, F.col("r2"))).alias(k) for k in ("r2_full", "r2_history")])
+        return wide.withColumns({"horizon": F.lit(self.label), "delta_r2": F.col("r2_full") - F.col("r2_history")})
 
 
 def train_daily(daily: DataFrame, seed: int = SEED) -> dict[str, DailyRidge]:
-    return {label: DailyRidge(daily, label, n, seed) for label, n in S.HORIZONS}
+    """The three horizons, trained from one table."""
+    table = training_table(daily, seed)
+    known = centres(table, select_daily_features(daily.columns, MAX_HORIZON))
+    known["target"] = known["aqi"]
+    return {label: DailyRidge(table, label, n, known) for label, n in S.HORIZONS}
 
 
 def ridge_daily(ridges: Mapping[str, DailyRidge]) -> DataFrame:
@@ -177,8 +191,8 @@ def ridge_pipeline(train: DataFrame, columns: Sequence[str], alpha: float, label
 
 def anchor_rows(daily: DataFrame, columns: Mapping[str, Sequence[str]]) -> DataFrame:
     """Each city's newest day that at least one horizon can score."""
-    complete = [reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols]) for cols in columns.values()]
-    return latest_row(daily.filter(reduce(lambda a, b: a | b, complete)))
+    complete = [reduce(and_, [F.col(c).isNotNull() for c in cols]) for cols in columns.values()]
+    return latest_row(daily.filter(reduce(or_, complete)))
 
 
 def forecast_3day(daily: DataFrame, models: Mapping[str, DataFrame], columns: Mapping[str, Sequence[str]],

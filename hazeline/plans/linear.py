@@ -9,7 +9,7 @@ group.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -20,7 +20,6 @@ from pyspark.sql import types as T
 from hazeline import schemas as S
 from hazeline.operators.metrics import forecast_metrics
 from hazeline.operators.ordered import join_on, running_sum
-from hazeline.operators.profile import wide_to_long
 from hazeline.operators.splits import walk_forward_blocks
 from hazeline.session import materialize
 
@@ -28,14 +27,20 @@ GROUPS_HELD = 1000
 FLAT = 1e-12
 
 
-def _centres(df: DataFrame, names: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and spread per column; shifting by them keeps the sums accurate."""
-    stats = {"mean": "m", "std": "s"}
-    row = df.agg(*[f(c).alias(f"{p}|{c}") for c in names for p, f in (("m", F.avg), ("s", F.stddev_pop))])
-    found = {r["column"]: r for r in wide_to_long(row, names, stats).collect()}
-    shift = np.array([found[c]["mean"] or 0.0 for c in names])
-    unit = np.array([found[c]["std"] or 1.0 for c in names])
-    return shift, np.where(unit > 0, unit, 1.0)
+def centres(df: DataFrame, names: Sequence[str]) -> dict[str, tuple[float, float]]:
+    """A level and a magnitude per column.
+
+    Any constants give the same models; these keep the sums of products small,
+    so that columns such as pressure lose no digits.
+    """
+    level = [F.avg(c).alias(f"level|{c}") for c in names]
+    magnitude = [F.max(F.abs(F.col(c))).alias(f"magnitude|{c}") for c in names]
+    row = df.agg(*level, *magnitude).first()
+    return {c: (float(row[f"level|{c}"] or 0.0), float(row[f"magnitude|{c}"] or 0.0) or 1.0) for c in names}
+
+
+def _constants(names: Sequence[str], known: dict[str, tuple[float, float]]) -> tuple[np.ndarray, np.ndarray]:
+    return np.array([known[c][0] for c in names]), np.array([known[c][1] for c in names])
 
 
 def _group_fields(df: DataFrame, by: Sequence[str]) -> list[T.StructField]:
@@ -135,10 +140,11 @@ def solve_ridge(
 class RidgeSums:
     """Cross-product sums of training rows, ready for any ridge on them."""
 
-    def __init__(self, train: DataFrame, columns: Sequence[str], label: str, by: Sequence[str] = S.SERIES):
+    def __init__(self, train: DataFrame, columns: Sequence[str], label: str, by: Sequence[str] = S.SERIES,
+                 known: dict[str, tuple[float, float]] | None = None):
         self.by, self.columns, self.label = list(by), list(columns), label
         self.names = [*columns, label]
-        self.shift, self.unit = _centres(train, self.names)
+        self.shift, self.unit = _constants(self.names, known or centres(train, self.names))
         self.sums = materialize(cross_products(train, by, self.names, self.shift, self.unit), "ridge")
 
     def fit(self, alphas: Sequence[float], columns: Sequence[str] | None = None) -> DataFrame:
@@ -148,17 +154,24 @@ class RidgeSums:
         )
 
 
+def dot(coefficients: str, columns: Sequence[str]) -> str:
+    """SQL of Σ coefficients[i] · column i."""
+    return " + ".join(f"{coefficients}[{i}] * `{c}`" for i, c in enumerate(columns))
+
+
 def predict_linear(rows: DataFrame, models: DataFrame, columns: Sequence[str], by: Sequence[str] = S.SERIES,
-                   name: str = "prediction", extra: Sequence[str] = ()) -> DataFrame:
+                   name: str = "prediction", extra: Sequence[str] = (),
+                   also: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """Rows with their group's linear prediction, computed as one expression.
 
-    `extra` model columns, such as alpha, are kept.
+    `extra` model columns, such as alpha, are kept. `also` names predictions of
+    the same models on other input columns, made in the same pass.
     """
     joined = join_on(rows, models.select(*by, *extra, "intercept", "beta"), list(by))
-    total = F.col("intercept")
-    for place, c in enumerate(columns):
-        total = total + F.col("beta")[place] * F.col(c)
-    return joined.withColumn(name, total).drop("intercept", "beta")
+    wanted = {name: columns, **(also or {})}
+    return joined.withColumns(
+        {n: F.expr(f"intercept + {dot('beta', inputs)}") for n, inputs in wanted.items()}
+    ).drop("intercept", "beta")
 
 
 def coefficient_rank(models: DataFrame, columns: Sequence[str], by: Sequence[str] = S.SERIES) -> DataFrame:
@@ -184,14 +197,17 @@ def linear_contributions(rows: DataFrame, models: DataFrame, background: DataFra
     """
     means = background.groupBy(*by).agg(F.array(*[F.avg(c) for c in columns]).alias("_mean"))
     joined = join_on(join_on(rows, models.select(*by, "intercept", "beta"), list(by)), means, list(by))
-    base, prediction, entries = F.col("intercept"), F.col("intercept"), []
-    for place, c in enumerate(columns):
-        beta, mean = F.col("beta")[place], F.col("_mean")[place]
-        base = base + beta * mean
-        prediction = prediction + beta * F.col(c)
-        entries.append(F.struct(F.lit(c).alias("feature"), (beta * (F.col(c) - mean)).alias("contribution")))
+    names = F.array(*[F.lit(c) for c in columns])
+    values = F.array(*[F.col(c).cast("double") for c in columns])
+    parts = F.zip_with(
+        F.arrays_zip(F.col("beta").alias("beta"), values.alias("x"), F.col("_mean").alias("mean")), names,
+        lambda e, name: F.struct(name.alias("feature"), (e["beta"] * (e["x"] - e["mean"])).alias("contribution")),
+    )
+    base = F.zip_with("beta", "_mean", lambda b, m: b * m)
     return joined.select(
-        *by, S.TIME, prediction.alias("prediction"), base.alias("base_value"), F.explode(F.array(*entries)).alias("_e")
+        *by, S.TIME, F.expr(f"intercept + {dot('beta', columns)}").alias("prediction"),
+        F.aggregate(base, F.col("intercept"), lambda total, term: total + term).alias("base_value"),
+        F.explode(parts).alias("_e"),
     ).select(*by, S.TIME, "prediction", "base_value", "_e.*")
 
 
@@ -214,7 +230,7 @@ def walk_forward_ridge(
     by, names = list(by), [*columns, target]
     rows = df.select(*by, *dict.fromkeys([S.TIME, *names]))
     blocks = materialize(walk_forward_blocks(rows, names, step, min_train, by), "blocks")
-    shift, unit = _centres(blocks, names)
+    shift, unit = _constants(names, centres(blocks, names))
     per_block = materialize(cross_products(blocks, [*by, "block"], names, shift, unit), "block_sums")
     upto = running_sum(per_block, [*by, "pos"], ["block"], {"_upto": "v"})
     before = upto.select(*by, (F.col("block") + 1).alias("block"), "pos", F.col("_upto").alias("v"))

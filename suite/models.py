@@ -40,7 +40,7 @@ def split_table(spark, sf_dir):
 
 
 def ridges(spark, sf_dir):
-    return daily_models.train_daily(daily_models.daily_table(station(spark, sf_dir)))
+    return daily_models.train_daily(daily.daily_features(station(spark, sf_dir)))
 
 
 @suite.query("ridge_daily")
