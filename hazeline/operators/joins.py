@@ -35,14 +35,8 @@ def wmo_lookup(code: Column) -> Column:
     return F.when(code.isNull(), "N/A").otherwise(F.coalesce(F.try_element_at(table, code.cast("int")), F.lit("Unknown")))
 
 
-def merge_weather_aqi(weather: DataFrame, aqi: DataFrame) -> DataFrame:
-    """One observation per (city, hour) both sides have.
-
-    Place and weather come from the weather side, pollutants from the
-    air-quality side; each side's `source` label is kept.
-    """
-    if "timestamp" not in weather.columns:
-        weather = weather.withColumn("timestamp", F.date_format(S.TIME, "yyyy-MM-dd'T'HH:mm:ssXXX"))
+def _observation(weather: DataFrame) -> list[Column]:
+    """Observation columns of a pair: `w` is the weather side, `a` the other."""
     labels = {"weather_source": "w.source", "aqi_source": "a.source"}
     from_aqi = ("aqi", "pm2_5", *S.OPTIONAL_FIELDS)
 
@@ -53,11 +47,38 @@ def merge_weather_aqi(weather: DataFrame, aqi: DataFrame) -> DataFrame:
             return F.col(f"a.{name}")
         if name in weather.columns:
             return F.col(f"w.{name}")
+        if name == "timestamp":
+            return F.date_format(F.col(f"w.{S.TIME}"), "yyyy-MM-dd'T'HH:mm:ssXXX")
         return F.lit(None).cast("string" if name in S.TEXT_FIELDS else "double")
 
-    same = [F.col(f"w.{k}") == F.col(f"a.{k}") for k in S.KEY]
-    return weather.alias("w").join(aqi.alias("a"), same).select(
-        *[column(name).alias(name) for name in S.OBSERVATION_FIELDS]
+    return [column(name).alias(name) for name in S.OBSERVATION_FIELDS]
+
+
+def _paired(weather: DataFrame, aqi: DataFrame, on: Sequence[str]) -> DataFrame:
+    return weather.alias("w").join(aqi.alias("a"), [F.col(f"w.{k}") == F.col(f"a.{k}") for k in on])
+
+
+def merge_weather_aqi(weather: DataFrame, aqi: DataFrame, on: Sequence[str] = S.KEY) -> DataFrame:
+    """One observation per key both sides have; each side has a key once.
+
+    Place and weather come from the weather side, pollutants from the
+    air-quality side; each side's `source` label is kept. `on` may name the
+    requested place when providers call it differently.
+    """
+    return _paired(weather, aqi, on).select(*_observation(weather))
+
+
+def bronze_records(weather: DataFrame, aqi: DataFrame, on: Sequence[str] = S.KEY) -> DataFrame:
+    """{weather_raw, aqi_raw, merged} per key, from one join."""
+
+    def whole(side: str, df: DataFrame) -> Column:
+        return F.struct(*[F.col(f"{side}.{c}").alias(c) for c in df.columns])
+
+    return _paired(weather, aqi, on).select(
+        *[F.col(f"w.{k}").alias(k) for k in on],
+        whole("w", weather).alias("weather_raw"),
+        whole("a", aqi).alias("aqi_raw"),
+        F.struct(*_observation(weather)).alias("merged"),
     )
 
 

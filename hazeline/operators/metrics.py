@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from hazeline import schemas as S
 from hazeline.operators.joins import seasonal_lookup
-from hazeline.operators.ordered import over_series
-from hazeline.operators.profile import indexed
+from hazeline.operators.ordered import over_series, series_index
 
 HORIZON_HOURS = (6, 12, 24, 48, 72)
 PERSISTENCE = "Persistence Baseline"
@@ -85,7 +84,8 @@ def _with_targets(df: DataFrame, horizons: Sequence[int]) -> DataFrame:
         w = Window.partitionBy(*by).orderBy(S.TIME)
         return _rolling_naive(frame, by).withColumns({f"_y{h}": F.lead("aqi", h).over(w) for h in horizons})
 
-    wide = over_series(indexed(base), S.SERIES, [S.TIME], 168, max(horizons), add)
+    placed = series_index(base, S.SERIES, [S.TIME])
+    wide = over_series(placed, S.SERIES, [S.TIME], 168, max(horizons), add, size_of=base)
     cut = F.floor(F.col("n_rows") * F.lit(TRAIN_VAL_SHARE))
     targets = F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"_y{h}").alias("y")) for h in horizons])
     return (

@@ -91,6 +91,24 @@ def row_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: st
     return running_sum(df, keys, order, {name: F.lit(1).cast("long")})
 
 
+def series_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], bounded: bool = False) -> DataFrame:
+    """Add `row_index` (from 1) and `n_rows` of each row's series.
+
+    `bounded` skips the measurement for series whose length the data model
+    limits, such as the days of a city.
+    """
+    if bounded or fits_one_task(df, keys):
+        whole = Window.partitionBy(*keys)
+        return df.withColumns(
+            {
+                "row_index": F.row_number().over(whole.orderBy(*order)).cast("long"),
+                "n_rows": F.count("*").over(whole),
+            }
+        )
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("n_rows"))
+    return join_on(row_index(df, keys, order), sizes, list(keys))
+
+
 def neighbours(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, before: str, after: str
 ) -> DataFrame:
@@ -144,16 +162,18 @@ def over_series(
     back: int,
     ahead: int,
     add_columns: Callable[[DataFrame, list[str]], DataFrame],
+    size_of: DataFrame | None = None,
 ) -> DataFrame:
     """Apply row-offset windows to every series, however long.
 
     `add_columns(frame, by)` adds columns whose windows are partitioned by `by`
     and look at most `back` rows back and `ahead` rows ahead. A series beyond
     the row limit is cut into blocks of equal row count, and each block gets
-    copies of just the neighbouring rows its windows reach into.
+    copies of just the neighbouring rows its windows reach into. `size_of` is a
+    frame with the same series that is cheaper to count than `df`.
     """
     keys, order = list(keys), list(order)
-    if fits_one_task(df, keys):
+    if fits_one_task(df if size_of is None else size_of, keys):
         return add_columns(df, keys)
     size = max(row_limit(df), back, ahead, 1)
     position = (F.col("_row") - 1) % size

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hazeline import schemas as S
-from hazeline.operators.ordered import join_on, over_series, row_index
+from hazeline.operators.ordered import join_on, over_series
 from hazeline.operators.ranks import ks_two_sample, long_form, quantiles
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
@@ -303,7 +303,7 @@ def acf(df: DataFrame, lags: int = 72, value: str = "aqi") -> DataFrame:
         w = Window.partitionBy(*by).orderBy(S.TIME)
         return frame.withColumns({f"_p{k}": F.col("_x") * F.lag("_x", k).over(w) for k in range(1, lags + 1)})
 
-    products = over_series(centred, S.SERIES, [S.TIME], lags, 0, add)
+    products = over_series(centred, S.SERIES, [S.TIME], lags, 0, add, size_of=df)
     sums = products.groupBy("city").agg(
         F.sum(F.col("_x") * F.col("_x")).alias("_ss"),
         *[F.coalesce(F.sum(f"_p{k}"), F.lit(0.0)).alias(f"_s{k}") for k in range(1, lags + 1)],
@@ -311,26 +311,3 @@ def acf(df: DataFrame, lags: int = 72, value: str = "aqi") -> DataFrame:
     total = F.when(F.col("_ss") == 0, 1.0).otherwise(F.col("_ss"))
     entries = F.array(*[F.struct(F.lit(k).alias("lag"), (F.col(f"_s{k}") / total).alias("acf")) for k in range(1, lags + 1)])
     return sums.select("city", F.explode(entries).alias("_e")).select("city", "_e.*")
-
-
-def series_size(df: DataFrame, by: Sequence[str] = S.SERIES) -> DataFrame:
-    return df.groupBy(*by).agg(F.count("*").alias("n_rows"))
-
-
-def indexed(
-    df: DataFrame, by: Sequence[str] = S.SERIES, order: Sequence[str] = (S.TIME,), bounded: bool = False
-) -> DataFrame:
-    """Add `row_index` (from 1) and `n_rows` of each row's series.
-
-    Series the data model bounds are counted in the same window; others get
-    their size from an aggregate.
-    """
-    if bounded:
-        whole = Window.partitionBy(*by)
-        return df.withColumns(
-            {
-                "row_index": F.row_number().over(whole.orderBy(*order)).cast("long"),
-                "n_rows": F.count("*").over(whole),
-            }
-        )
-    return join_on(row_index(df, by, order), series_size(df, by), list(by))

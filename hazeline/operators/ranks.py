@@ -2,7 +2,8 @@
 
 `percentile` keeps a column's distinct values in one task. Here the values are
 first reduced to (key, value, count), and ranks come from running totals that
-split a long column over many tasks.
+split a long column over many tasks. The reduced table is written once, because
+sizes and totals read it again.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hazeline.operators.ordered import join_on, running_sum
+from hazeline.session import materialize
 
 
 def long_form(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -24,7 +26,9 @@ def long_form(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -
 def quantiles(values: DataFrame, keys: Sequence[str], probabilities: dict[str, float], value: str = "value") -> DataFrame:
     """Linearly interpolated quantiles `{name: p}` of `value` per key, plus `n`."""
     keys = list(keys)
-    counts = values.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    counts = materialize(
+        values.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n")), "counts"
+    )
     ranked = running_sum(counts, keys, [value], {"_upto": "_n"})
     sizes = counts.groupBy(*keys).agg(F.sum("_n").alias("n"))
     placed = join_on(ranked, sizes, keys)
@@ -53,8 +57,8 @@ def ks_two_sample(values: DataFrame, key: str, first: Column, second: Column, va
     `first` and `second` are boolean columns naming the samples. The p-value is
     the asymptotic one.
     """
-    counts = values.groupBy(key, value).agg(
-        F.count_if(first).alias("_a"), F.count_if(second).alias("_b")
+    counts = materialize(
+        values.groupBy(key, value).agg(F.count_if(first).alias("_a"), F.count_if(second).alias("_b")), "counts"
     )
     ranked = running_sum(counts, [key], [value], {"_upto_a": "_a", "_upto_b": "_b"})
     sizes = counts.groupBy(key).agg(F.sum("_a").alias("n_first"), F.sum("_b").alias("n_second"))

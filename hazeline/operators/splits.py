@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hazeline import schemas as S
-from hazeline.operators.profile import indexed
+from hazeline.operators.ordered import series_index
 
 MIN_ROWS = 10
 
@@ -28,7 +28,7 @@ def _large_enough(split: Column) -> Column:
 
 
 def _labelled(df: DataFrame, split: Column, by: Sequence[str], bounded: bool) -> DataFrame:
-    return indexed(df, by, bounded=bounded).withColumn("split", split).drop("row_index", "n_rows")
+    return series_index(df, by, [S.TIME], bounded).withColumn("split", split).drop("row_index", "n_rows")
 
 
 def split_two(
@@ -88,7 +88,7 @@ def ts_cv_folds(df: DataFrame, k: int = 5, gap: int = 72, by: Sequence[str] = S.
     position = F.col("row_index") - 1
     role = F.when((position >= start) & (position < start + size), "test").when(position < start - gap, "train")
     return (
-        indexed(df, by)
+        series_index(df, by, [S.TIME])
         .withColumn("_k", fewer)
         .withColumn("fold", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
         .withColumn("role", role)
@@ -107,7 +107,7 @@ def walk_forward_blocks(df: DataFrame, columns: Sequence[str], step: int = 336,
     complete = df.na.drop(subset=list(columns))
     block = F.floor((F.col("row_index") - 1 - min_train) / step)
     return (
-        indexed(complete, by)
+        series_index(complete, by, [S.TIME])
         .filter(F.col("n_rows") > min_train)
         .withColumn("block", F.when(F.col("row_index") <= min_train, F.lit(-1)).otherwise(block).cast("long"))
         .drop("row_index", "n_rows")

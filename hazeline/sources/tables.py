@@ -89,16 +89,6 @@ def scan_json_docs(spark: SparkSession, path: str, schema: str | T.StructType) -
     return named.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
 
 
-def bronze_records(weather: DataFrame, aqi: DataFrame, merged: DataFrame) -> DataFrame:
-    """{weather_raw, aqi_raw, merged} per (city, hour)."""
-
-    def nested(df: DataFrame, name: str) -> DataFrame:
-        return df.select(*S.KEY, F.struct(*df.columns).alias(name))
-
-    both = nested(weather, "weather_raw").join(nested(aqi, "aqi_raw"), list(S.KEY))
-    return both.join(nested(merged, "merged"), list(S.KEY))
-
-
 def sink_bronze_json(records: DataFrame, path: str) -> None:
     """Raw and merged records as JSON under city and date folders."""
     placed = records.withColumns({"city_slug": city_slug(F.col("city")), "date": F.to_date(S.TIME)})

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import datetime as dt
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,12 +11,12 @@ from pyspark.sql import functions as F
 from hazeline import schemas as S
 from hazeline.functions.indices import alert_level, aqi_category
 from hazeline.operators.features import series_features
-from hazeline.operators.joins import merge_weather_aqi
+from hazeline.operators.joins import bronze_records, merge_weather_aqi
 from hazeline.operators.ordered import join_on, keep_last
 from hazeline.operators.validate import VIOLATIONS, with_violations
 from hazeline.sources.audit import live_audit
 from hazeline.sources.payloads import norm_aq_station, norm_weather_current
-from hazeline.sources.tables import bronze_records
+from hazeline.session import materialize
 
 DELAY = "2 hours"
 BATCH = "batch_id"
@@ -40,39 +41,47 @@ def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], check
     query.awaitTermination()
 
 
-def write_batch(df: DataFrame, path: str, batch: int, fmt: str = "parquet") -> None:
+def write_batch(df: DataFrame, path: str, batch: int, fmt: str = "parquet", by: Sequence[str] = ()) -> None:
     """Write a batch to its own folder; a repeated batch replaces itself."""
-    df.write.mode("overwrite").format(fmt).save(f"{path}/{BATCH}={batch}")
+    target = f"{path}/{BATCH}={batch}"
+    df.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*by).format(fmt).save(target)
+
+
+REQUEST = ("request_city", S.TIME)
 
 
 def stream_ingest(payloads: DataFrame, out: str, checkpoint: str) -> None:
     """Payload pairs to valid, quarantine, bronze and audit tables.
 
-    `payloads` has city, collection_timestamp, weather_payload and aqi_payload.
-    Time limits are checked against each record's own collection time, so a
-    replay decides the same.
+    `payloads` has city, collection_timestamp, weather_payload and aqi_payload;
+    the sides are paired by the place that was requested, since providers may
+    name it differently. Time limits are checked against each record's own
+    collection time, so a replay decides the same.
     """
 
     def each(batch: DataFrame, number: int) -> None:
-        held = batch.persist()
-        place = [F.col(c) for c in S.KEY]
-        weather = norm_weather_current(held.select(*place, F.col("weather_payload").alias("payload")))
-        aqi = norm_aq_station(held.select(*place, F.col("aqi_payload").alias("payload")))
-        named = held.select("city", S.TIME)
-        good_weather = join_on(
-            weather.filter(F.col("problem").isNull()).drop("problem"), named.distinct(), list(S.KEY)
+        requests = keep_last(batch, S.KEY, ["weather_payload", "aqi_payload"])
+        held = requests.withColumn("request_city", F.col("city")).persist()
+        sides = []
+        for normalise, name in ((norm_weather_current, "weather_payload"), (norm_aq_station, "aqi_payload")):
+            side = normalise(held.select(*REQUEST, "city", F.col(name).alias("payload")))
+            sides.append(side.filter(F.col("problem").isNull()).drop("problem"))
+        paired = bronze_records(*sides, on=REQUEST)
+        flat = paired.select(*[F.col(k).alias(f"_{k}") for k in REQUEST], "weather_raw", "aqi_raw", "merged.*")
+        checked = with_violations(flat, F.col(S.TIME)).persist()
+        usable = F.size(VIOLATIONS) == 0
+        write_batch(checked.filter(usable).select(*S.OBSERVATION_FIELDS), f"{out}/valid", number)
+        write_batch(checked.filter(~usable).select(*S.OBSERVATION_FIELDS, VIOLATIONS), f"{out}/quarantine", number)
+        bronze = checked.filter(usable).select("weather_raw", "aqi_raw", F.struct(*S.OBSERVATION_FIELDS).alias("merged"))
+        write_batch(bronze, f"{out}/bronze", number, "json")
+        found = checked.select(
+            *[F.col(f"_{k}").alias(k) for k in REQUEST], "weather_source", "aqi_source",
+            F.coalesce(F.get(VIOLATIONS, F.lit(0)), F.lit("")).alias("_first"),
+        )
+        outcome = join_on(held.select(*REQUEST), found, list(REQUEST), "left").select(
+            F.col("request_city").alias("city"), S.TIME, "weather_source", "aqi_source",
+            F.nullif(F.coalesce("_first", F.lit("no usable payload")), F.lit("")).alias("problem"),
         )
-        good_aqi = aqi.filter(F.col("problem").isNull()).drop("problem")
-        merged = merge_weather_aqi(good_weather, good_aqi)
-        checked = with_violations(merged, F.col(S.TIME)).persist()
-        valid = checked.filter(F.size(VIOLATIONS) == 0).drop(VIOLATIONS)
-        write_batch(valid, f"{out}/valid", number)
-        write_batch(checked.filter(F.size(VIOLATIONS) > 0), f"{out}/quarantine", number)
-        write_batch(bronze_records(good_weather, good_aqi, valid), f"{out}/bronze", number, "json")
-        problems = F.coalesce(F.get("_v.violations", F.lit(0)), F.lit("no usable payload"))
-        outcome = join_on(
-            named, checked.select(*S.KEY, "weather_source", "aqi_source", F.struct(VIOLATIONS).alias("_v")), list(S.KEY), "left"
-        ).withColumn("problem", F.when(F.col("_v").isNull() | (F.size("_v.violations") > 0), problems))
         write_batch(live_audit(outcome), f"{out}/audit", number)
         checked.unpersist()
         held.unpersist()
@@ -119,36 +128,56 @@ def stream_alerts(stream: DataFrame) -> DataFrame:
     )
 
 
-def _recent(rows: DataFrame, since: DataFrame, keep: int) -> DataFrame:
-    """Per city: rows from `since` on, and the `keep` rows just before it."""
-    marked = join_on(rows, since, ["city"])
-    after = marked.filter(F.col(S.TIME) >= F.col("_since"))
+CONTEXT_DAYS = 60
+
+
+def _context(stored: DataFrame, since: DataFrame, cutoff: dt.date) -> DataFrame:
+    """The newest rows per city before its `_since`, enough for every window.
+
+    Rows since `cutoff` are read first; the date folders make that a pruned
+    scan. Only cities short of rows there are looked up further back.
+    """
+    need = max(S.LAGS)
     newest_first = Window.partitionBy("city").orderBy(F.col(S.TIME).desc())
-    before = (
-        marked.filter(F.col(S.TIME) < F.col("_since"))
-        .withColumn("_back", F.row_number().over(newest_first))
-        .filter(F.col("_back") <= keep)
-        .drop("_back")
-    )
-    return after.unionByName(before).drop("_since")
+
+    def last_before(rows: DataFrame, cities: DataFrame) -> DataFrame:
+        earlier = join_on(rows, cities, ["city"]).filter(F.col(S.TIME) < F.col("_since")).drop("_since")
+        ranked = keep_last(earlier, S.KEY, [BATCH, "ingest_seq"]).withColumn("_back", F.row_number().over(newest_first))
+        return ranked.filter(F.col("_back") <= need).drop("_back")
+
+    near = last_before(stored.filter(F.col("date") >= cutoff), since)
+    counts = near.groupBy("city").agg(F.count("*").alias("_have"))
+    short = join_on(since, counts, ["city"], "left").filter(F.coalesce("_have", F.lit(0)) < need).drop("_have")
+    far = stored.filter(F.col("date") < cutoff)
+    if short.isEmpty() or far.isEmpty():
+        return near
+    complete = near.join(short, "city", "left_anti")
+    return complete.unionByName(last_before(stored, short))
 
 
 def stream_features(observations: DataFrame, store: str, out: str, checkpoint: str) -> None:
     """Recompute the series features the new rows affect, per micro-batch.
 
     New rows are appended to `store`. For every touched city the features are
-    rebuilt from its earliest new row on, with the longest lag as context, and
-    written as a new version under the batch number; `read_versions` returns
-    the newest version of each row.
+    rebuilt from its earliest new row on, with the rows its longest lag needs
+    as context, and written as a new version under the batch number;
+    `read_versions` returns the newest version of each row.
     """
 
     def each(batch: DataFrame, number: int) -> None:
         spark: SparkSession = batch.sparkSession
-        write_batch(batch, store, number)
-        stored = spark.read.option("mergeSchema", False).parquet(store).filter(F.col(BATCH) <= number)
-        new = spark.read.schema(batch.schema).parquet(f"{store}/{BATCH}={number}")
-        since = new.groupBy("city").agg(F.min(S.TIME).alias("_since"))
-        rows = keep_last(_recent(stored, since, 2 * max(S.LAGS)), S.KEY, [BATCH, "ingest_seq"]).drop(BATCH)
+        write_batch(batch.withColumn("date", F.to_date(S.TIME)), store, number, by=["date"])
+        stored = spark.read.parquet(store).filter(F.col(BATCH) <= number)
+        new = stored.filter(F.col(BATCH) == number)
+        since = materialize(new.groupBy("city").agg(F.min(S.TIME).alias("_since")), "since")
+        oldest = since.agg(F.min("_since")).first()[0]
+        if oldest is None:
+            return
+        cutoff = oldest.date() - dt.timedelta(days=CONTEXT_DAYS)
+        affected = join_on(stored.filter(F.col("date") >= oldest.date()), since, ["city"])
+        affected = affected.filter(F.col(S.TIME) >= F.col("_since")).drop("_since")
+        affected = keep_last(affected, S.KEY, [BATCH, "ingest_seq"])
+        rows = materialize(affected.unionByName(_context(stored, since, cutoff)).drop(BATCH, "date"), "touched")
         features = series_features(rows, horizon=None)
         fresh = join_on(features, since, ["city"]).filter(F.col(S.TIME) >= F.col("_since")).drop("_since")
         write_batch(fresh, out, number)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from hazeline.operators.features import series_features
+from hazeline.operators.joins import bronze_records
 from hazeline.operators.metrics import persistence_model
 from hazeline.schemas import KEY, OBSERVATION_FIELDS, OBSERVATIONS
 from hazeline.session import scratch_path
@@ -48,8 +50,6 @@ def scan_observations(spark, sf_dir):
     f"{rounded('aqi_lag_1')} FROM (SELECT *, lag(aqi) OVER (PARTITION BY city ORDER BY collection_timestamp) AS aqi_lag_1 FROM sensor)",
 )
 def scan_features(spark, sf_dir):
-    from hazeline.operators.features import series_features
-
     features = series_features(sensor(spark, sf_dir)).select("city", *["collection_timestamp", "aqi", "pm2_5", "pm10", "aqi_lag_1"])
     path = scratch_path(spark, "features-csv")
     features.withColumn("collection_timestamp", F.date_format("collection_timestamp", ISO)).write.option("header", True).csv(path)
@@ -137,11 +137,8 @@ def sides(spark, sf_dir):
     "round(avg(temperature) + 3.7e-10, 6) AS temperature, round(avg(aqi) + 3.7e-10, 6) AS aqi FROM sensor GROUP BY ALL",
 )
 def sink_bronze_json(spark, sf_dir):
-    from hazeline.operators.joins import merge_weather_aqi
-
-    weather, aqi = sides(spark, sf_dir)
     path = scratch_path(spark, "bronze")
-    tables.sink_bronze_json(tables.bronze_records(weather, aqi, merge_weather_aqi(weather, aqi)), path)
+    tables.sink_bronze_json(bronze_records(*sides(spark, sf_dir)), path)
     schema = (
         "city string, weather_raw struct<temperature:double>, aqi_raw struct<aqi:double>, "
         "merged struct<temperature:double,aqi:double>, city_slug string, date string"
