@@ -148,8 +148,9 @@ def daily_mean_tail(df: DataFrame, days: int = 90) -> DataFrame:
 
 
 def train_cutoff(df: DataFrame, endpoint: str) -> DataFrame:
-    """Rows up to a fixed training endpoint."""
-    return df.filter(F.col(S.TIME) <= F.lit(endpoint).cast("timestamp"))
+    """Rows up to a fixed training endpoint, as a filter the scan can use."""
+    kind = df.schema[S.TIME].dataType
+    return df.filter(F.col(S.TIME) <= F.lit(endpoint).cast("timestamp").cast(kind))
 
 
 def latest_row(df: DataFrame) -> DataFrame:

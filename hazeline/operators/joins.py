@@ -134,12 +134,17 @@ def nearest_in_time(
     dated = measurements.filter(F.col(time).isNotNull())
     first = dated.groupBy(*keys, time).agg(F.min_by(F.struct(*payload), order).alias("_m"))
     wanted = [c for c in requests.columns if c not in keys]
+    # a measurement sorts before the requests of its instant, and the hash lets
+    # many requests of one instant be split over tasks
     line = requests.select(
-        *keys, F.col(time).alias("_at"), F.lit(1).alias("_kind"), F.struct(*wanted).alias("_request")
+        *keys, F.col(time).alias("_at"), F.lit(1).alias("_kind"), F.xxhash64(*wanted).alias("_tie"),
+        F.struct(*wanted).alias("_request"),
     ).unionByName(
-        first.select(*keys, F.col(time).alias("_at"), F.lit(0).alias("_kind"), "_m"), allowMissingColumns=True
+        first.select(*keys, F.col(time).alias("_at"), F.lit(0).alias("_kind"), F.lit(0).cast("long").alias("_tie"), "_m"),
+        allowMissingColumns=True,
     )
-    seen = neighbours(line, keys, ["_at", "_kind"], "_m", "_before", "_after").filter(F.col("_kind") == 1)
+    sizes = requests.select(*keys).unionByName(dated.select(*keys))
+    seen = neighbours(line, keys, ["_at", "_kind", "_tie"], "_m", "_before", "_after", sizes).filter(F.col("_kind") == 1)
 
     def gap(side: str) -> Column:
         return F.abs(F.unix_micros(F.col(side)[time]) - F.unix_micros("_at"))
@@ -210,7 +215,7 @@ def incremental_anti(grid: DataFrame, existing: DataFrame, keys: Sequence[str] =
     wanted = grid.dropDuplicates(list(keys))
     if force:
         return wanted
-    return wanted.join(existing.select(*keys), list(keys), "left_anti")
+    return wanted.join(existing.select(*keys).distinct(), list(keys), "left_anti")
 
 
 def seasonal_lookup(rows: DataFrame, train: DataFrame, value: str, month: str = "month",

@@ -110,12 +110,13 @@ def series_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], bound
 
 
 def neighbours(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, before: str, after: str
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, before: str, after: str,
+    size_of: DataFrame | None = None,
 ) -> DataFrame:
     """Add the last non-null `value` at or before and the first at or after each row."""
     keys, order = list(keys), list(order)
     backwards = [F.col(c).desc() for c in order]
-    longest, total = _sizes(df, keys)
+    longest, total = _sizes(df if size_of is None else size_of, keys)
 
     def nearest_within(frame: DataFrame, by: Sequence[str]) -> DataFrame:
         ahead = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

@@ -71,6 +71,11 @@ def station(spark: SparkSession, sf_dir: str) -> DataFrame:
     return station_columns(table(spark, sf_dir, "orders"))
 
 
+def station_as_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the stored time type, so that time filters reach the scan."""
+    return station_columns(pin_utc(spark).read.parquet(f"{sf_dir}/orders.parquet"))
+
+
 def station_columns(orders: DataFrame) -> DataFrame:
     price = F.col("o_totalprice")
     return orders.select(

@@ -1,7 +1,8 @@
 """Queries over training, backtesting, scoring and explanation.
 
-Model fits have no SQL form; these are checked by rows here and against
-closed-form results in the tests. The ensembles are trained with few trees so
+Fits on many features have no SQL form; they are checked by rows here and
+against closed-form results in the tests. One-feature ridge has one, and the
+`_single` queries compare the same code with it. The ensembles are trained with few trees so
 that the whole suite stays quick; the library's defaults are the full ones.
 """
 
@@ -17,10 +18,13 @@ from hazeline.schemas import FUTURE_VARS, HORIZONS, TIME
 from hazeline.session import materialize, scratch_path
 from hazeline.sources import registry
 from suite.bindings import Suite, sensor, station
+from suite.profiles import scores_sql
+from suite.series import COMPLETE, DAILY, TARGETS, W, rnd
 
 suite = Suite()
 HOURLY = ["temperature", "humidity", "pressure", "wind_speed", "pm2_5", "aqi_lag_1", "aqi_lag_24", "aqi_rolling_mean_24h", "aqi"]
 ALPHA = 100.0
+MIN_TRAIN = 1500
 
 
 def forest():
@@ -151,13 +155,90 @@ def walk_forward_eval(spark, sf_dir):
     return linear.walk_forward_eval(predictions, trees.TARGET)
 
 
-@suite.query("walk_forward_persistence")
+BACKTEST = f"""{COMPLETE}, placed AS (SELECT city, aqi, aqi_target AS y, row_number() OVER ({W}) AS rn FROM complete),
+  blocked AS (SELECT *, CAST(floor((rn - 1 - {MIN_TRAIN}) / 336) AS BIGINT) AS block FROM placed)"""
+
+
+@suite.query(
+    "walk_forward_persistence",
+    f"WITH {BACKTEST} SELECT city, count(*) AS n, {scores_sql('y', 'aqi')}, count(DISTINCT block) AS n_windows FROM blocked WHERE rn > {MIN_TRAIN} GROUP BY city",
+)
 def walk_forward_persistence(spark, sf_dir):
     blocks = splits.walk_forward_blocks(feature_table(spark, sf_dir), [*HOURLY, trees.TARGET])
     scored = metrics.persistence_model(blocks.filter(F.col("block") >= 0))
     return linear.walk_forward_eval(scored, trees.TARGET)
 
 
+# With one feature, ridge has a closed form in SQL aggregates: the least-squares
+# slope shrunk by n / (n + alpha), through the means.
+
+
+@suite.query(
+    "walk_forward_single",
+    f"""WITH {BACKTEST}, windows AS (SELECT DISTINCT city, block, {MIN_TRAIN} + 336 * block AS known FROM blocked WHERE rn > {MIN_TRAIN}),
+    models AS (SELECT w.city, w.block, avg(b.aqi) AS mx, avg(b.y) AS my, count(*) / (count(*) + {ALPHA}) * regr_slope(b.y, b.aqi) AS slope
+      FROM windows w JOIN blocked b ON w.city = b.city AND b.rn <= w.known GROUP BY ALL),
+    scored AS (SELECT b.city, b.block, b.y, my + slope * (b.aqi - mx) AS p FROM blocked b JOIN models m ON b.city = m.city AND b.block = m.block WHERE rn > {MIN_TRAIN})
+    SELECT city, count(*) AS n, {scores_sql('y', 'p')}, count(DISTINCT block) AS n_windows FROM scored GROUP BY city""",
+)
+def walk_forward_single(spark, sf_dir):
+    predictions = linear.walk_forward_ridge(feature_table(spark, sf_dir), ["aqi"], trees.TARGET, ALPHA)
+    return linear.walk_forward_eval(predictions, trees.TARGET)
+
+
+DAYS_AHEAD = f"""{DAILY}, ahead AS ({' UNION ALL '.join(f"SELECT city, collection_timestamp, aqi, '{label}' AS horizon, {TARGETS[f'target{n}']} AS y FROM daily" for label, n in HORIZONS)}),
+  held AS (SELECT *, row_number() OVER v AS rn, count(*) OVER u AS n FROM ahead WHERE y IS NOT NULL
+    WINDOW u AS (PARTITION BY city, horizon), v AS (PARTITION BY city, horizon ORDER BY collection_timestamp)),
+  parted AS (SELECT *, rn > n - floor(n * 0.2::DOUBLE) AS test FROM held)"""
+GRID_SQL = ", ".join(f"({a})" for a in daily_models.ALPHA_GRID)
+
+
+@suite.query(
+    "ridge_single",
+    f"""WITH {DAYS_AHEAD}, models AS (SELECT city, horizon, alpha, avg(aqi) AS mx, avg(y) AS my,
+      count(*) / (count(*) + alpha) * regr_slope(y, aqi) AS slope FROM parted, (VALUES {GRID_SQL}) grid(alpha) WHERE NOT test GROUP BY city, horizon, alpha),
+    scored AS (SELECT p.city, p.horizon, CAST(alpha AS DOUBLE) AS alpha, y, my + slope * (aqi - mx) AS p
+      FROM parted p JOIN models m ON p.city = m.city AND p.horizon = m.horizon WHERE test)
+    SELECT city, horizon, alpha, count(*) AS n, {scores_sql('y', 'p')} FROM scored GROUP BY city, horizon, alpha""",
+)
+def ridge_single(spark, sf_dir):
+    days = daily.daily_resample(station(spark, sf_dir))
+    parts = []
+    for label, n in HORIZONS:
+        rows = features.complete_rows(daily.target_mean_ahead(days, n), ["aqi"], "target")
+        split = materialize(splits.split_tail(rows.select("city", TIME, "aqi", "target"), bounded=True), "split")
+        models = linear.RidgeSums(split.filter("split = 'train'"), ["aqi"], "target").fit(daily_models.ALPHA_GRID)
+        scored = linear.predict_linear(split.filter("split = 'test'"), models, ["aqi"], extra=["alpha"])
+        scores = metrics.forecast_metrics(scored, "target", "prediction", ["city", "alpha"])
+        parts.append(scores.withColumn("horizon", F.lit(label)))
+    return daily_models.stack(parts)
+
+
+@suite.query(
+    "contributions_single",
+    f"""WITH {COMPLETE}, models AS (SELECT city, avg(aqi) AS mx, avg(aqi_target) AS my,
+      count(*) / (count(*) + {ALPHA}) * regr_slope(aqi_target, aqi) AS slope FROM complete GROUP BY city)
+    SELECT c.city, collection_timestamp, {rnd('my + slope * (aqi - mx)', 'prediction')}, {rnd('my', 'base_value')}, 'aqi' AS feature,
+      {rnd('slope * (aqi - mx)', 'contribution')} FROM complete c JOIN models m ON c.city = m.city""",
+)
+def contributions_single(spark, sf_dir):
+    rows = materialize(feature_table(spark, sf_dir).select("city", TIME, "aqi", trees.TARGET), "rows")
+    models = linear.RidgeSums(rows, ["aqi"], trees.TARGET).fit([ALPHA])
+    return linear.linear_contributions(rows, models, rows, ["aqi"])
+
+
+@suite.query(
+    "ridge_pipeline_single",
+    f"""WITH {COMPLETE}, model AS (SELECT avg(aqi) AS mx, avg(aqi_target) AS my,
+      count(*) / (count(*) + {ALPHA}) * regr_slope(aqi_target, aqi) AS slope FROM complete)
+    SELECT city, collection_timestamp, {rnd('my + slope * (aqi - mx)', 'prediction')} FROM complete, model""",
+)
+def ridge_pipeline_single(spark, sf_dir):
+    rows = materialize(feature_table(spark, sf_dir).select("city", TIME, "aqi", trees.TARGET), "rows")
+    model = daily_models.ridge_pipeline(rows, ["aqi"], ALPHA, trees.TARGET)
+    return model.transform(rows).select("city", TIME, "prediction")
+
+
 @suite.query("horizon_sweep")
 def horizon_sweep(spark, sf_dir):
     table = features.build_features(sensor(spark, sf_dir), complete_only=False)

@@ -8,7 +8,7 @@ from hazeline import schemas as S
 from hazeline.functions import calendar, indices
 from hazeline.operators import daily, features, profile, validate
 from hazeline.operators.ordered import keep_last
-from suite.bindings import NUDGE, SENSOR, STATION, Suite, rounded, sensor, station, table
+from suite.bindings import NUDGE, SENSOR, STATION, Suite, rounded, sensor, station_as_stored, table
 
 suite = Suite()
 AS_OF = "2024-02-01T00:00:00Z"
@@ -196,7 +196,7 @@ def numeric_columns(spark, sf_dir):
     "WHERE collection_timestamp <= TIMESTAMP '1999-06-30 23:00:00'",
 )
 def train_cutoff(spark, sf_dir):
-    return daily.train_cutoff(station(spark, sf_dir), "1999-06-30 23:00:00+00:00").select(
+    return daily.train_cutoff(station_as_stored(spark, sf_dir), "1999-06-30 23:00:00+00:00").select(
         "city", "collection_timestamp", "aqi", "ingest_seq"
     )
 
@@ -207,7 +207,7 @@ def train_cutoff(spark, sf_dir):
     "WHERE collection_timestamp >= (SELECT max(collection_timestamp) FROM station) - INTERVAL 365 DAY",
 )
 def history_window(spark, sf_dir):
-    return profile.history_window(station(spark, sf_dir), 365).select("city", "collection_timestamp", "aqi", "ingest_seq")
+    return profile.history_window(station_as_stored(spark, sf_dir), 365).select("city", "collection_timestamp", "aqi", "ingest_seq")
 
 
 @suite.query(

@@ -161,6 +161,19 @@ def test_streamed_features_equal_batch_features(spark, tmp_path):
     assert feature_rows(live.read_versions(spark, out)) == feature_rows(expected)
 
 
+def test_streamed_features_look_far_back_for_sparse_cities(spark, tmp_path):
+    """Readings ten days apart: the context lies beyond the recent dates."""
+    inbox, store, out, progress = (str(tmp_path / n) for n in ("in", "store", "out", "progress"))
+    sparse = observations(spark, range(0, 240 * 200, 240))
+    dense = observations(spark, range(240 * 199 - 300, 240 * 199), "y", 500)
+    parts = [sparse.union(dense), observations(spark, [240 * 200 + 3], first=900).union(observations(spark, [240 * 200 + 1], "y", 950))]
+    for part in parts:
+        arrive(part, inbox)
+        live.stream_features(spark.readStream.schema(OBS).parquet(inbox), store, out, progress)
+    expected = features.series_features(parts[0].union(parts[1]), horizon=None)
+    assert feature_rows(live.read_versions(spark, out)) == feature_rows(expected)
+
+
 def test_stream_dedup_across_runs(spark, tmp_path):
     inbox = str(tmp_path / "in")
     arrive(observations(spark, range(5)), inbox)
