@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hazeline import schemas as S
+from hazeline.operators.moments import pair_moments
 from hazeline.operators.ordered import join_on, over_series
 from hazeline.operators.ranks import ks_two_sample, long_form, quantiles
 
@@ -183,36 +183,34 @@ def pearson(a: Column, b: Column) -> Column:
     return F.try_divide(F.covar_pop(a, b), F.stddev_pop(left) * F.stddev_pop(right))
 
 
-PAIRS_PER_PASS = 300
+FLAT = 1e-12
 
 
-def correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """(feature_1, feature_2, r) for the given pairs, pairwise complete.
+def correlations(df: DataFrame, left: Sequence[str], right: Sequence[str]) -> DataFrame:
+    """(feature_1, feature_2, r) of every left and right column, pairwise complete.
 
-    Each pass computes a few hundred pairs with map-side partial sums, which
-    keeps the generated code of one aggregate small.
+    One pass for any number of columns; a side that is constant over the pair's
+    rows has no correlation.
     """
-    out = None
-    for start in range(0, len(pairs), PAIRS_PER_PASS):
-        chunk = pairs[start:start + PAIRS_PER_PASS]
-        row = df.agg(*[pearson(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"r{i}") for i, (a, b) in enumerate(chunk)])
-        entries = F.array(
-            *[F.struct(F.lit(a).alias("feature_1"), F.lit(b).alias("feature_2"), F.col(f"r{i}").alias("r"))
-              for i, (a, b) in enumerate(chunk)]
-        )
-        part = row.select(F.explode(entries).alias("_e")).select("_e.*")
-        out = part if out is None else out.unionByName(part)
-    return out
+    c, n = F.col, F.nullif(F.col("n"), F.lit(0.0))
+    cov = c("sxy") - c("sx") * c("sy") / n
+    var_x, var_y = c("sxx") - c("sx") * c("sx") / n, c("syy") - c("sy") * c("sy") / n
+    varies = (var_x > FLAT * c("sxx")) & (var_y > FLAT * c("syy"))
+    return pair_moments(df, left, right).select(
+        "feature_1", "feature_2", F.when(c("n") > 1, F.when(varies, cov / F.sqrt(var_x * var_y))).alias("r")
+    )
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Upper triangle of the correlation matrix."""
-    return correlations(df, list(combinations(columns, 2)))
+    """Upper triangle of the correlation matrix, in column order."""
+    place = F.array(*[F.lit(c) for c in columns])
+    earlier = F.array_position(place, F.col("feature_1")) < F.array_position(place, F.col("feature_2"))
+    return correlations(df, columns, columns).filter(earlier)
 
 
 def target_correlation(df: DataFrame, columns: Sequence[str], target: str = "aqi_target", k: int = 20) -> DataFrame:
     """The k features most correlated with the target, by absolute value."""
-    found = correlations(df, [(c, target) for c in columns if c != target])
+    found = correlations(df, [c for c in columns if c != target], [target])
     return found.select(F.col("feature_1").alias("feature"), "r").orderBy(F.desc_nulls_last(F.abs("r")), "feature").limit(k)
 
 

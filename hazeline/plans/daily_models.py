@@ -18,8 +18,9 @@ from hazeline.functions.noise import forecast_noise
 from hazeline.operators.daily import daily_features, latest_row, target_mean_ahead
 from hazeline.operators.features import complete_rows, select_daily_features
 from hazeline.operators.metrics import forecast_metrics
+from hazeline.operators.moments import centres
 from hazeline.operators.ordered import join_on
-from hazeline.plans.linear import RidgeSums, centres, coefficient_rank, linear_contributions, predict_linear
+from hazeline.plans.linear import RidgeSums, coefficient_rank, linear_contributions, predict_linear
 from hazeline.session import materialize
 
 # Penalties, holdout and training endpoint.

@@ -19,66 +19,14 @@ from pyspark.sql import types as T
 
 from hazeline import schemas as S
 from hazeline.operators.metrics import forecast_metrics
+from hazeline.operators.moments import centres, constants, cross_products
 from hazeline.operators.ordered import join_on, running_sum
 from hazeline.operators.splits import walk_forward_blocks
 from hazeline.session import materialize
 
-GROUPS_HELD = 1000
 FLAT = 1e-12
 
 
-def centres(df: DataFrame, names: Sequence[str]) -> dict[str, tuple[float, float]]:
-    """A level and a magnitude per column.
-
-    Any constants give the same models; these keep the sums of products small,
-    so that columns such as pressure lose no digits.
-    """
-    level = [F.avg(c).alias(f"level|{c}") for c in names]
-    magnitude = [F.max(F.abs(F.col(c))).alias(f"magnitude|{c}") for c in names]
-    row = df.agg(*level, *magnitude).first()
-    return {c: (float(row[f"level|{c}"] or 0.0), float(row[f"magnitude|{c}"] or 0.0) or 1.0) for c in names}
-
-
-def _constants(names: Sequence[str], known: dict[str, tuple[float, float]]) -> tuple[np.ndarray, np.ndarray]:
-    return np.array([known[c][0] for c in names]), np.array([known[c][1] for c in names])
-
-
-def _group_fields(df: DataFrame, by: Sequence[str]) -> list[T.StructField]:
-    return [df.schema[c] for c in by]
-
-
-def cross_products(df: DataFrame, by: Sequence[str], names: Sequence[str], shift: np.ndarray, unit: np.ndarray) -> DataFrame:
-    """(by..., pos, v): upper triangle of Σ z zᵀ with z = (1, shifted columns)."""
-    by, names = list(by), list(names)
-    upper = np.triu_indices(len(names) + 1)
-
-    def reduce_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple, np.ndarray] = {}
-
-        def emit() -> pd.DataFrame:
-            keys = pd.DataFrame(list(held), columns=by)
-            return keys.assign(products=[v.tolist() for v in held.values()])
-
-        for rows in batches:
-            z = (rows[names].to_numpy(dtype="float64") - shift) / unit
-            z = np.column_stack([np.ones(len(z)), z])
-            for key, places in rows.groupby(by, sort=False).indices.items():
-                block = z[places]
-                key = key if isinstance(key, tuple) else (key,)
-                held[key] = held.get(key, 0.0) + (block.T @ block)[upper]
-            if len(held) > GROUPS_HELD:
-                yield emit()
-                held.clear()
-        if held:
-            yield emit()
-
-    schema = T.StructType([*_group_fields(df, by), T.StructField("products", T.ArrayType(T.DoubleType()))])
-    partial = df.select(*by, *[F.col(c).cast("double").alias(c) for c in names]).mapInPandas(reduce_rows, schema)
-    return (
-        partial.select(*by, F.posexplode("products").alias("pos", "v")).groupBy(*by, "pos").agg(F.sum("v").alias("v"))
-    )
-
-
 def _gathered(entries: DataFrame, by: Sequence[str]) -> DataFrame:
     """One row per group with its matrix entries in order."""
     ordered = F.array_sort(F.collect_list(F.struct("pos", "v")))
@@ -128,7 +76,7 @@ def solve_ridge(
     vector = T.ArrayType(T.DoubleType())
     schema = T.StructType(
         [
-            *_group_fields(sums, by),
+            *[sums.schema[c] for c in by],
             T.StructField("alpha", T.DoubleType()), T.StructField("n_train", T.LongType()),
             T.StructField("intercept", T.DoubleType()), T.StructField("coef", vector),
             T.StructField("beta", vector), T.StructField("means", vector),
@@ -144,7 +92,7 @@ class RidgeSums:
                  known: dict[str, tuple[float, float]] | None = None):
         self.by, self.columns, self.label = list(by), list(columns), label
         self.names = [*columns, label]
-        self.shift, self.unit = _constants(self.names, known or centres(train, self.names))
+        self.shift, self.unit = constants(self.names, known or centres(train, self.names))
         self.sums = materialize(cross_products(train, by, self.names, self.shift, self.unit), "ridge")
 
     def fit(self, alphas: Sequence[float], columns: Sequence[str] | None = None) -> DataFrame:
@@ -230,7 +178,7 @@ def walk_forward_ridge(
     by, names = list(by), [*columns, target]
     rows = df.select(*by, *dict.fromkeys([S.TIME, *names]))
     blocks = materialize(walk_forward_blocks(rows, names, step, min_train, by), "blocks")
-    shift, unit = _constants(names, centres(blocks, names))
+    shift, unit = constants(names, centres(blocks, names))
     per_block = materialize(cross_products(blocks, [*by, "block"], names, shift, unit), "block_sums")
     upto = running_sum(per_block, [*by, "pos"], ["block"], {"_upto": "v"})
     before = upto.select(*by, (F.col("block") + 1).alias("block"), "pos", F.col("_upto").alias("v"))

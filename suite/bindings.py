@@ -126,11 +126,13 @@ class Suite:
     """Queries with their oracle SQL side by side."""
 
     def __init__(self) -> None:
+        self.plain: dict = {}
         self.queries: dict = {}
         self.oracles: dict[str, str] = {}
 
     def query(self, name: str, sql: str | None = None):
         def register(fn):
+            self.plain[name] = fn
             self.queries[name] = lambda spark, sf_dir: tidy(fn(pin_utc(spark), sf_dir))
             if sql is not None:
                 self.oracles[name] = sql

@@ -121,6 +121,8 @@ def test_constant_column_has_no_correlation(spark):
     df = spark.createDataFrame([(1.0, 2.0, 3.0), (1.0, 3.0, 4.0), (1.0, None, 9.0)], "a double, b double, c double")
     r = {(x.feature_1, x.feature_2): x.r for x in profile.correlation_matrix(df, ["a", "b", "c"]).collect()}
     assert r[("a", "b")] is None and r[("b", "c")] == pytest.approx(1.0)
+    apart = spark.createDataFrame([(1.0, None), (2.0, None), (None, 3.0)], "a double, b double")
+    assert profile.correlation_matrix(apart, ["a", "b"]).first().r is None
     empty = profile.iqr_outliers(df.withColumn("d", F.lit(None).cast("double")), ["d"]).first()
     assert (empty["count"], empty.pct, empty.lower_bound) == (0, 0.0, None)
 
