@@ -119,7 +119,7 @@ def aqi_category(aqi: Column, field: str = "label") -> Column:
     return chain.otherwise(AQI_BANDS[-1][place])
 
 
-def trend(value: Column, baseline: Column, stable_within: float = STABLE_WITHIN) -> Column:
+def trend_delta(value: Column, baseline: Column, stable_within: float = STABLE_WITHIN) -> Column:
     """Direction of value against baseline; null when either is missing."""
     delta = value - baseline
     return (

@@ -164,13 +164,22 @@ def select_daily_features(columns: Sequence[str], n_days: int) -> list[str]:
 
 
 def complete_rows(df: DataFrame, columns: Sequence[str], target: str | None = None) -> DataFrame:
-    """Rows with every feature (and the target) present.
-
-    Missing columns are an error; used both for training (`build_xy`) and for
-    scoring (`build_feature_matrix`).
-    """
+    """Rows with every feature (and the target) present; missing columns are an error."""
     needed = [*columns, *([target] if target else [])]
     absent = [c for c in needed if c not in df.columns]
     if absent:
         raise ValueError(f"missing columns: {absent}")
     return df.na.drop(subset=needed)
+
+
+def build_xy(df: DataFrame, columns: Sequence[str], target: str = "aqi_target") -> DataFrame:
+    """Features and target of the complete rows; none left is an error."""
+    rows = complete_rows(df, columns, target).select(*columns, target)
+    if rows.isEmpty():
+        raise ValueError("no complete rows to train on")
+    return rows
+
+
+def build_feature_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Features of the rows that can be scored."""
+    return complete_rows(df, columns).select(*columns)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazeline import schemas as S
-from hazeline.functions.indices import aqi_category, alert_level, trend
+from hazeline.functions.indices import aqi_category, alert_level, trend_delta
 from hazeline.functions.noise import forecast_noise
 from hazeline.operators.daily import daily_features, latest_row, target_mean_ahead
 from hazeline.operators.features import complete_rows, select_daily_features
@@ -180,6 +180,8 @@ def ridge_pipeline(train: DataFrame, columns: Sequence[str], alpha: float, label
     """
     size = train.agg(F.count("*").alias("n"), F.stddev_pop(label).alias("spread")).first()
     n, spread = size["n"], size["spread"]
+    if not n:
+        raise ValueError("no complete rows to train on")
     penalty = alpha * (n - 1) / n * spread / n
     return Pipeline(
         stages=[
@@ -229,7 +231,7 @@ def forecast_cards(forecast: DataFrame, latest: DataFrame) -> DataFrame:
         "city", "horizon", "prediction",
         F.expr("date_add(forecast_date, n_days - 1)").alias("target_date"),
         aqi_category(value).alias("category"),
-        F.coalesce(trend(value, baseline), F.lit("Unavailable")).alias("direction"),
+        F.coalesce(trend_delta(value, baseline), F.lit("Unavailable")).alias("direction"),
         (value - baseline).alias("delta"),
         alert_level(F.col("peak")).alias("peak_alert"),
     )

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hazeline import schemas as S
-from hazeline.operators.features import complete_rows
+from hazeline.operators.features import build_xy, complete_rows
 from hazeline.operators.metrics import PERSISTENCE, comparison_table, forecast_metrics, persistence_model, select_best
 from hazeline.operators.splits import concat_train_val, ts_cv_folds, walk_forward_blocks
 from hazeline.session import materialize
@@ -74,17 +74,14 @@ def candidates(seed: int = SEED) -> dict[str, object]:
     return {**boosted, "Extra Trees": forest.copy().setBootstrap(False), "Random Forest": forest}
 
 
-def assembled(df: DataFrame, columns: Sequence[str], target: str | None = TARGET) -> DataFrame:
-    """Complete rows with the feature vector."""
-    return VectorAssembler(inputCols=list(columns), outputCol=FEATURES, handleInvalid="error").transform(
-        complete_rows(df, columns, target)
-    )
-
-
 def fit_pipeline(estimator, train: DataFrame, columns: Sequence[str], target: str = TARGET) -> PipelineModel:
-    """Assembler plus estimator, so the fitted model scores plain tables."""
+    """Assembler plus estimator, so the fitted model scores plain tables.
+
+    Training rows without a single complete one are an error.
+    """
+    rows = build_xy(train, columns, target)
     vector = VectorAssembler(inputCols=list(columns), outputCol=FEATURES, handleInvalid="error")
-    return Pipeline(stages=[vector, estimator.copy().setLabelCol(target)]).fit(complete_rows(train, columns, target))
+    return Pipeline(stages=[vector, estimator.copy().setLabelCol(target)]).fit(rows)
 
 
 def score_batch(model: PipelineModel, df: DataFrame, name: str = "prediction") -> DataFrame:
@@ -125,6 +122,8 @@ def random_search_cv(
     if not space:
         return fit_pipeline(estimator, train, columns, target), []
     folds = materialize(ts_cv_folds(complete_rows(train, columns, target), k, gap), "folds")
+    if folds.isEmpty():
+        raise ValueError("no complete rows to train on")
     numbers = [r["fold"] for r in folds.select("fold").distinct().orderBy("fold").collect()]
     trials = []
     for setting in sample_settings(space, n_iter, seed):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,13 +18,28 @@ def _sources(column: str) -> Column:
     return F.when(joined == "", "Unknown").otherwise(joined)
 
 
-def backfill_audit(steps: DataFrame) -> DataFrame:
+BACKFILL_FIELDS = (
+    "run_start", "run_end", "execution_time_seconds", "pipeline_type", "city", "weather_source", "aqi_source",
+    "interval_hours", "total_requested_steps", "successful_records", "skipped_duplicates", "error_count",
+    "start_date", "end_date", "force_mode", "errors", "status",
+)
+
+
+def backfill_audit(
+    steps: DataFrame, started: dt.datetime, ended: dt.datetime, start_date: str, end_date: str,
+    interval_hours: int = 1, force: bool = False,
+) -> DataFrame:
     """One audit row per city from per-step outcomes.
 
     `steps` has city, collection_timestamp, status (new, skipped or error),
     weather_source, aqi_source and error. Sources are distinct and sorted; the
     first 20 errors in time order are kept as text.
     """
+    run = {
+        "run_start": started.isoformat(), "run_end": ended.isoformat(),
+        "execution_time_seconds": round((ended - started).total_seconds(), 2), "pipeline_type": "historical",
+        "interval_hours": interval_hours, "start_date": start_date, "end_date": end_date, "force_mode": force,
+    }
     counted = steps.groupBy("city").agg(
         _sources("weather_source").alias("weather_source"),
         _sources("aqi_source").alias("aqi_source"),
@@ -43,11 +60,14 @@ def backfill_audit(steps: DataFrame) -> DataFrame:
     )
     status = F.when(F.col("error_count") == 0, "SUCCESS").otherwise("PARTIAL")
     return join_on(counted, errors, ["city"], "left").withColumns(
-        {"errors": F.coalesce("errors", F.array().cast("array<string>")), "status": status}
-    )
+        {
+            "errors": F.coalesce("errors", F.array().cast("array<string>")), "status": status,
+            **{name: F.lit(value) for name, value in run.items()},
+        }
+    ).select(*BACKFILL_FIELDS)
 
 
-def live_audit(rows: DataFrame) -> DataFrame:
+def live_audit(rows: DataFrame, run_time: Column) -> DataFrame:
     """One audit row per city for a live run: SUCCESS when a row was written."""
     good = F.col("problem").isNull()
     return rows.groupBy("city").agg(
@@ -56,6 +76,9 @@ def live_audit(rows: DataFrame) -> DataFrame:
         F.count_if(good).alias("records"),
         F.when(F.count_if(good) > 0, "SUCCESS").otherwise("FAILED").alias("status"),
         F.min(F.when(~good, F.col("problem"))).alias("error"),
+    ).select(
+        F.date_format(run_time, "yyyy-MM-dd'T'HH:mm:ssXXX").alias("run_time"),
+        "city", "weather_source", "aqi_source", "records", "status", "error",
     )
 
 

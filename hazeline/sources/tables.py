@@ -61,7 +61,7 @@ def sink_append(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Append rows; an empty batch or a different column set is an error."""
     if df.isEmpty():
         raise ValueError("nothing to append")
-    stored = _stored(df.sparkSession, path, fmt)
+    stored = read_stored(df.sparkSession, path, fmt)
     if stored is not None:
         odd = set(stored.columns) ^ set(df.columns)
         if odd:
@@ -70,7 +70,7 @@ def sink_append(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     df.write.mode("append").option("header", True).format(fmt).save(path)
 
 
-def _stored(spark: SparkSession, path: str, fmt: str) -> DataFrame | None:
+def read_stored(spark: SparkSession, path: str, fmt: str) -> DataFrame | None:
     """The table at `path`, or None when nothing is stored there yet."""
     try:
         return spark.read.option("header", True).format(fmt).load(path)
@@ -114,7 +114,7 @@ def feature_table_upsert(df: DataFrame, path: str, order: str, keys: Sequence[st
     """
     new = df.withColumn("date", F.to_date(S.TIME))
     merged = new.withColumn("_new", F.lit(1))
-    stored = _stored(df.sparkSession, path, "parquet")
+    stored = read_stored(df.sparkSession, path, "parquet")
     if stored is not None:
         touched = stored.withColumn("_new", F.lit(0)).join(new.select("date").distinct(), "date", "left_semi")
         merged = touched.unionByName(merged, allowMissingColumns=True)

@@ -82,7 +82,7 @@ def stream_ingest(payloads: DataFrame, out: str, checkpoint: str) -> None:
             F.col("request_city").alias("city"), S.TIME, "weather_source", "aqi_source",
             F.nullif(F.coalesce("_first", F.lit("no usable payload")), F.lit("")).alias("problem"),
         )
-        write_batch(live_audit(outcome), f"{out}/audit", number)
+        write_batch(live_audit(outcome, F.current_timestamp()), f"{out}/audit", number)
         checked.unpersist()
         held.unpersist()
 

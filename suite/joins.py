@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from hazeline import schemas as S
 from hazeline.operators import daily, joins
+from hazeline.plans.backfill import Archives, run_backfill
+from hazeline.session import scratch_path
 from hazeline.sources import payloads
 from hazeline.sources.payloads import sensor_observations
 from suite.bindings import NUDGE, SENSOR, STATION, Suite, rounded, sensor, station, table
 from suite.rules import GRID, grid, subindex_sql
 from suite.series import rnd
-from suite.sources import FORECAST, HOURLY, forecast_payloads, hourly
+from suite.sources import FORECAST, HOURLY, day_arrays, forecast_payloads, hourly
 
 suite = Suite()
 
@@ -172,10 +174,10 @@ def sensor_observations_query(spark, sf_dir):
 @suite.query(
     "incremental_anti",
     f"WITH {GRID}, {HOURLY} SELECT city, collection_timestamp FROM grid g "
-    "WHERE NOT EXISTS (SELECT 1 FROM hourly h WHERE h.city = g.city AND h.hour = g.collection_timestamp)",
+    "WHERE NOT EXISTS (SELECT 1 FROM hourly h WHERE h.city = g.city AND h.hour = g.collection_timestamp AND h.last_seq % 4 <> 0)",
 )
 def incremental_anti(spark, sf_dir):
-    stored = hourly(spark, sf_dir).select("city", F.col("hour").alias("collection_timestamp"))
+    stored = hourly(spark, sf_dir).filter(F.col("last_seq") % 4 != 0).select("city", F.col("hour").alias("collection_timestamp"))
     return joins.incremental_anti(grid(spark, sf_dir), stored)
 
 
@@ -291,3 +293,41 @@ def append_live(spark, sf_dir):
     rows, _, live = datasets(spark, sf_dir)
     too_short = rows.filter(F.col("aqi") < 0)
     return joins.append_live(too_short, rows, live)
+
+
+def archives(spark, sf_dir):
+    """Daily weather and model documents of the hours that have readings; the
+    station catalogs are empty."""
+    weather = {
+        "temperature_2m": F.col("temperature"), "relative_humidity_2m": F.col("humidity"), "surface_pressure": F.col("pressure"),
+        "wind_speed_10m": F.col("wind_speed"), "wind_direction_10m": F.col("wind_direction"), "cloud_cover": F.col("clouds"),
+    }
+    model = {"us_aqi": F.col("aqi"), "pm2_5": F.col("pm2_5")}
+
+    def documents(fields):
+        body = F.struct(F.lit(27.7).alias("latitude"), F.lit(68.8).alias("longitude"), F.struct("time", *fields).alias("hourly"))
+        return day_arrays(spark, sf_dir, fields).select("city", F.col("day").alias("date"), F.to_json(body).alias("payload"))
+
+    cities = sensor(spark, sf_dir).select("city").distinct()
+    nothing = F.lit('{"results": []}').alias("payload")
+    return Archives(
+        documents(weather), cities.select("city", nothing),
+        cities.select(F.lit(0).cast("long").alias("sensor_id"), nothing), documents(model),
+    )
+
+
+@suite.query(
+    "backfill",
+    f"""WITH {HOURLY}, per_city AS (SELECT city, count(*) AS n, avg(aqi) AS aqi FROM hourly GROUP BY city)
+    SELECT city, CAST(720 AS BIGINT) AS total_requested_steps, n AS successful_records, CAST(0 AS BIGINT) AS skipped_duplicates,
+      720 - n AS error_count, 'OpenMeteo-AirQuality' AS aqi_source, CASE WHEN n = 720 THEN 'SUCCESS' ELSE 'PARTIAL' END AS status,
+      n AS stored, {rounded('aqi')} FROM per_city""",
+)
+def backfill(spark, sf_dir):
+    places = sensor(spark, sf_dir).select("city").distinct()
+    store, bronze, audits = (scratch_path(spark, n) for n in ("store", "bronze", "audits"))
+    audit = run_backfill(places, archives(spark, sf_dir), "2024-01-01", "2024-01-30", store, bronze, audits)
+    stored = spark.read.parquet(store).groupBy("city").agg(F.count("*").alias("stored"), F.avg("aqi").alias("aqi"))
+    return audit.select(
+        "city", "total_requested_steps", "successful_records", "skipped_duplicates", "error_count", "aqi_source", "status"
+    ).join(stored, "city")

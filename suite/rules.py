@@ -313,7 +313,7 @@ def aqi_category(spark, sf_dir):
 )
 def trend_delta(spark, sf_dir):
     now, before = F.col("aqi"), F.col("pm2_5")
-    return sensor(spark, sf_dir).select("ingest_seq", indices.trend(now, before).alias("direction"), (now - before).alias("delta"))
+    return sensor(spark, sf_dir).select("ingest_seq", indices.trend_delta(now, before).alias("direction"), (now - before).alias("delta"))
 
 
 @suite.query(

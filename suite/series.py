@@ -90,7 +90,7 @@ XY = ["aqi", "pm2_5", "pm10", "aqi_lag_24"]
 )
 def build_xy(spark, sf_dir):
     wide = features.series_features(sensor(spark, sf_dir))
-    return features.complete_rows(wide, XY, "aqi_target").select(*XY, "aqi_target")
+    return features.build_xy(wide, XY)
 
 
 @suite.query(
@@ -99,7 +99,7 @@ def build_xy(spark, sf_dir):
 )
 def build_feature_matrix(spark, sf_dir):
     wide = features.series_features(sensor(spark, sf_dir))
-    return features.complete_rows(wide, XY).select(*XY)
+    return features.build_feature_matrix(wide, XY)
 
 
 NAIVE = {

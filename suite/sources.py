@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from hazeline.operators.features import series_features
@@ -170,7 +172,9 @@ AUDIT = f"""{STATION}, steps AS (SELECT *,
 
 @suite.query(
     "sink_run_audit",
-    f"""WITH {AUDIT} SELECT s.city, 'Open-Meteo Archive' AS weather_source,
+    f"""WITH {AUDIT} SELECT '2002-01-01T06:00:00' AS run_start, '2002-01-01T06:02:01' AS run_end,
+    121.0::DOUBLE AS execution_time_seconds, 'historical' AS pipeline_type, 1 AS interval_hours, '1995-01-01' AS start_date,
+    '2001-08-01' AS end_date, false AS force_mode, s.city, 'Open-Meteo Archive' AS weather_source,
     string_agg(DISTINCT aqi_source, ', ' ORDER BY aqi_source) FILTER (WHERE status = 'new') AS aqi_source,
     count(*) AS total_requested_steps, count(*) FILTER (WHERE status = 'new') AS successful_records,
     count(*) FILTER (WHERE status = 'skipped') AS skipped_duplicates, count(*) FILTER (WHERE status = 'error') AS error_count,
@@ -178,7 +182,8 @@ AUDIT = f"""{STATION}, steps AS (SELECT *,
     FROM steps s JOIN errs ON s.city = errs.city GROUP BY s.city""",
 )
 def sink_run_audit(spark, sf_dir):
-    rows = audit.backfill_audit(backfill_steps(spark, sf_dir))
+    run = {"started": dt.datetime(2002, 1, 1, 6), "ended": dt.datetime(2002, 1, 1, 6, 2, 1), "start_date": "1995-01-01", "end_date": "2001-08-01"}
+    rows = audit.backfill_audit(backfill_steps(spark, sf_dir), **run)
     path = scratch_path(spark, "audit")
     audit.sink_run_audit(rows, path)
     stored = spark.read.schema(rows.schema).json(path)

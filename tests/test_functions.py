@@ -49,7 +49,7 @@ def test_bands_and_alerts(spark, aqi, label, alert):
 
 @pytest.mark.parametrize("now, base, direction", [(101.0, 100.0, "Stable"), (120.0, 100.0, "Increasing"), (98.0, 100.0, "Decreasing")])
 def test_trend(spark, now, base, direction):
-    assert value(spark, indices.trend(F.col("a"), F.col("b")), a=now, b=base) == direction
+    assert value(spark, indices.trend_delta(F.col("a"), F.col("b")), a=now, b=base) == direction
 
 
 def test_pollution_index_needs_two_columns(spark):

@@ -241,6 +241,14 @@ def test_splits_validate(spark):
         splits.split_tail(exact_rows(spark, 4)).collect()
 
 
+def test_training_on_nothing_is_an_error(spark):
+    rows, forest = exact_rows(spark, 3).limit(0), RandomForestRegressor(featuresCol="features")
+    for fit in (lambda: trees.fit_pipeline(forest, rows, ["x"], "y"), lambda: daily_models.ridge_pipeline(rows, ["x"], 1.0, "y"),
+                lambda: trees.random_search_cv(forest, {"maxDepth": [2]}, rows, ["x"], "y")):
+        with pytest.raises(ValueError, match="no complete rows"):
+            fit()
+
+
 def test_feature_lists(spark):
     rows = exact_rows(spark, 5).withColumn("pm2_5", F.lit(None).cast("double"))
     assert features.select_features(rows) == ["aqi"]

@@ -71,7 +71,7 @@ def test_scalars_stay_in_generated_code(spark, small):
     events = table(spark, small, "events")
     value = F.col("value")
     scalars = events.select(
-        indices.epa_aqi(pm2_5=value, o3=value), indices.aqi_category(value), indices.alert_level(value), indices.trend(value, value / 2),
+        indices.epa_aqi(pm2_5=value, o3=value), indices.aqi_category(value), indices.alert_level(value), indices.trend_delta(value, value / 2),
         calendar.align_interval(F.col("ts"), 3), calendar.cycle(value, 24.0)[0], joins.wmo_lookup(F.col("user_id")),
     )
     text = plan(scalars)

@@ -88,11 +88,13 @@ def test_audits_of_both_kinds(spark):
         [("x", START + dt.timedelta(hours=i), "error" if i < 25 else "new", "w", "b" if i % 2 else "a", f"e{i}") for i in range(30)],
         "city string, collection_timestamp timestamp, status string, weather_source string, aqi_source string, error string",
     )
-    row = audit.backfill_audit(steps).first()
+    run = (START, START + dt.timedelta(seconds=32.178), "2026-01-01", "2026-01-02")
+    row = audit.backfill_audit(steps, *run).first()
+    assert (row.execution_time_seconds, row.pipeline_type, row.force_mode, len(row)) == (32.18, "historical", False, 17)
     assert (row.aqi_source, row.status, row.error_count, len(row.errors), row.errors[0]) == ("a, b", "PARTIAL", 25, 20, "[2026-01-01T00:00:00] e0")
-    none = audit.backfill_audit(steps.withColumn("status", F.lit("skipped"))).first()
+    none = audit.backfill_audit(steps.withColumn("status", F.lit("skipped")), *run).first()
     assert (none.weather_source, none.status, none.errors) == ("Unknown", "SUCCESS", [])
-    both = audit.union_audits(audit.live_audit(steps.withColumn("problem", F.lit("down"))), audit.backfill_audit(steps))
+    both = audit.union_audits(audit.live_audit(steps.withColumn("problem", F.lit("down")), F.lit(START)), audit.backfill_audit(steps, *run))
     assert both.count() == 2 and sorted(r.status for r in both.collect()) == ["FAILED", "PARTIAL"]
 
 
