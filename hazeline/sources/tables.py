@@ -19,7 +19,9 @@ from hazeline.session import materialize
 def scan_observations(spark: SparkSession, path: str, schema: T.StructType = S.OBSERVATIONS) -> DataFrame:
     """Observation CSV with parsed UTC time; rows without a usable time are dropped.
 
-    An empty input and a header without the key columns are errors.
+    `ingest_seq` orders the rows as they were appended: by file time, file,
+    position of the block in the file and row. An empty input and a header
+    without the key columns are errors.
     """
     header = spark.read.option("header", True).csv(path).columns
     absent = [c for c in S.KEY if c not in header]
@@ -27,9 +29,14 @@ def scan_observations(spark: SparkSession, path: str, schema: T.StructType = S.O
         raise ValueError(f"missing columns: {absent}")
     known = {f.name: f for f in schema.fields}
     fields = T.StructType([known.get(c, T.StructField(c, T.StringType())) for c in header])
-    rows = nan_to_null(spark.read.schema(fields).option("header", True).csv(path))
-    if rows.isEmpty():
+    lines = spark.read.schema(fields).option("header", True).csv(path)
+    if lines.isEmpty():
         raise ValueError(f"input is empty: {path}")
+    appended = F.struct(
+        "_metadata.file_modification_time", "_metadata.file_path", "_metadata.file_block_start",
+        F.monotonically_increasing_id().alias("row"),
+    )
+    rows = nan_to_null(lines.select("*", appended.alias("ingest_seq")))
     return rows.withColumn(S.TIME, to_utc(F.col(S.TIME))).filter(F.col(S.TIME).isNotNull())
 
 

@@ -32,6 +32,23 @@ def test_scan_drops_unusable_times(spark, tmp_path):
         tables.scan_observations(spark, str(path))
 
 
+def test_last_appended_row_wins(spark, tmp_path):
+    import os
+
+    from hazeline.operators.ordered import keep_last
+
+    lines = [f"2026-01-01T{i % 3:02d}:00:00Z,x,{i}" for i in range(30)]
+    for n, (name, part) in enumerate((("b.csv", lines[:15]), ("a.csv", lines[15:]))):
+        (tmp_path / name).write_text("\n".join(["collection_timestamp,city,aqi", *part]) + "\n")
+        os.utime(tmp_path / name, (1_700_000_000 + n * 60,) * 2)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "128")
+    try:
+        kept = keep_last(tables.scan_observations(spark, str(tmp_path)), ["city", "collection_timestamp"], "ingest_seq").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(r.aqi for r in kept) == [27.0, 28.0, 29.0]
+
+
 def test_append_checks_columns(spark, tmp_path):
     path = str(tmp_path / "t")
     tables.sink_append(spark.sql("select 1 a, 'x' b"), path, "csv")
