@@ -105,13 +105,16 @@ def _month_means(rows: DataFrame) -> DataFrame:
 def target_stats(df: DataFrame, horizons: Sequence[int] = HORIZON_HOURS) -> DataFrame:
     """Target spread on the newest 15 % and what a month mean explains of it.
 
-    Month means use the target of the first 85 % of rows.
+    Month means use the target of the first 85 % of rows; their scores are null
+    when the test rows hold a month those rows lack.
     """
     test = _month_means(_with_targets(df, horizons)).filter(F.col("y").isNotNull())
     scores = metric_columns(F.col("y"), F.col("seasonal_month"))
+    known = F.count("seasonal_month") == F.count("*")
     return test.groupBy("city", "horizon").agg(
         F.count("*").alias("n"), F.avg("y").alias("mean"), F.stddev_pop("y").alias("std"), F.var_pop("y").alias("var"),
-        scores["r2"].alias("month_mean_baseline_r2"), scores["rmse"].alias("month_mean_baseline_rmse"),
+        F.when(known, scores["r2"]).alias("month_mean_baseline_r2"),
+        F.when(known, scores["rmse"]).alias("month_mean_baseline_rmse"),
     )
 
 

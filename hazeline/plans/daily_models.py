@@ -9,7 +9,7 @@ from operator import and_, or_
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hazeline import schemas as S
@@ -22,6 +22,7 @@ from hazeline.operators.moments import centres
 from hazeline.operators.ordered import join_on
 from hazeline.plans.linear import RidgeSums, coefficient_rank, linear_contributions, predict_linear
 from hazeline.session import materialize
+from hazeline.sources.registry import load_coefficients, model_save, run_document, save_coefficients
 
 # Penalties, holdout and training endpoint.
 ALPHAS = {"day1_avg": 100.0, "day2_avg": 300.0, "day3_avg": 300.0}
@@ -157,20 +158,41 @@ def run_metadata(ridges: Mapping[str, DailyRidge], city: str | None = None) -> d
     """
     document = {}
     for label, r in ridges.items():
-        test, train = r.test, r.train
+        test, models = r.test, r.models
         if city is not None:
-            test, train = test.filter(F.col("city") == city), train.filter(F.col("city") == city)
-        scored = forecast_metrics(predict_linear(test, r.models, r.columns), "target", "prediction").first()
-        naive = forecast_metrics(test, "target", "aqi").first()
+            test, models = test.filter(F.col("city") == city), models.filter(F.col("city") == city)
+        scored = predict_linear(test, models, r.columns, name="test_metrics").withColumn("naive_baseline", F.col("aqi"))
+        kinds = scored.unpivot(["target"], ["test_metrics", "naive_baseline"], "kind", "prediction")
+        scores = {row["kind"]: row for row in forecast_metrics(kinds, "target", "prediction", ["kind"]).collect()}
         document[label] = {
             "version": "v6", "n_days": r.n_days, "alpha": ALPHAS[label], "feature_cols": r.columns,
-            "n_train": train.count(), "n_test": scored["n"], "target": f"mean AQI over next {r.n_days} day(s)",
-            "naive_baseline": {k: naive[k] for k in ("rmse", "mae", "r2")},
-            "test_metrics": {k: scored[k] for k in ("rmse", "mae", "r2")},
+            "n_train": models.agg(F.sum("n_train")).first()[0], "n_test": scores["test_metrics"]["n"],
+            "target": f"mean AQI over next {r.n_days} day(s)",
+            **{kind: {k: row[k] for k in ("rmse", "mae", "r2")} for kind, row in scores.items()},
         }
     return document
 
 
+def save_run(ridges: Mapping[str, DailyRidge], registry: str, run: str) -> str:
+    """Store a run: the models of every city and horizon, and its metadata."""
+    models = stack([r.models.withColumn("horizon", F.lit(label)) for label, r in ridges.items()])
+    folder = save_coefficients(models, registry, run)
+    model_save(models.sparkSession, registry, run, {}, run_metadata(ridges))
+    return folder
+
+
+def load_run(spark: SparkSession, registry: str, run: str) -> tuple[dict[str, DataFrame], dict[str, list[str]]]:
+    """Models and input columns per horizon of a stored run; a missing horizon
+    is an error."""
+    document = run_document(spark, registry, run)
+    absent = [label for label, _ in S.HORIZONS if label not in document]
+    if absent:
+        raise ValueError(f"run '{run}' lacks {absent}")
+    stored = load_coefficients(spark, registry, run)
+    models = {label: stored.filter(F.col("horizon") == label).drop("horizon") for label, _ in S.HORIZONS}
+    return models, {label: document[label]["feature_cols"] for label, _ in S.HORIZONS}
+
+
 def ridge_pipeline(train: DataFrame, columns: Sequence[str], alpha: float, label: str = "target") -> PipelineModel:
     """One scaled ridge over all rows as a Spark ML pipeline that can be saved.
 

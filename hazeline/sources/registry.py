@@ -49,15 +49,24 @@ def registry_documents(spark: SparkSession, registry: str) -> DataFrame:
     return docs.select(run.alias("run"), F.col("value").alias("document"))
 
 
+def load_coefficients(spark: SparkSession, registry: str, run: str) -> DataFrame:
+    return spark.read.parquet(f"{registry}/{run}/coefficients")
+
+
+def run_document(spark: SparkSession, registry: str, run: str) -> dict[str, dict]:
+    """The metadata document of a run; none is an error."""
+    docs = registry_documents(spark, registry).filter(F.col("run") == run).head()
+    if docs is None:
+        raise ValueError(f"run '{run}' has no metadata")
+    return json.loads(docs["document"])
+
+
 def model_load(spark: SparkSession, registry: str, run: str) -> tuple[dict[str, PipelineModel], dict[str, dict]]:
     """Models and metadata of a run; a missing part is an error.
 
     Metadata without a feature list takes the one of the model's assembler.
     """
-    docs = registry_documents(spark, registry).filter(F.col("run") == run).head()
-    if docs is None:
-        raise ValueError(f"run '{run}' has no metadata")
-    metadata = json.loads(docs["document"])
+    metadata = run_document(spark, registry, run)
     models = {label: PipelineModel.load(f"{registry}/{run}/{label}_model") for label in metadata}
     for label, model in models.items():
         if not metadata[label].get("feature_cols"):

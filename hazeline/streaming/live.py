@@ -55,8 +55,7 @@ def stream_ingest(payloads: DataFrame, out: str, checkpoint: str) -> None:
 
     `payloads` has city, collection_timestamp, weather_payload and aqi_payload;
     the sides are paired by the place that was requested, since providers may
-    name it differently. Time limits are checked against each record's own
-    collection time, so a replay decides the same.
+    name it differently.
     """
 
     def each(batch: DataFrame, number: int) -> None:
@@ -68,7 +67,7 @@ def stream_ingest(payloads: DataFrame, out: str, checkpoint: str) -> None:
             sides.append(side.filter(F.col("problem").isNull()).drop("problem"))
         paired = bronze_records(*sides, on=REQUEST)
         flat = paired.select(*[F.col(k).alias(f"_{k}") for k in REQUEST], "weather_raw", "aqi_raw", "merged.*")
-        checked = with_violations(flat, F.col(S.TIME)).persist()
+        checked = with_violations(flat, F.current_timestamp()).persist()
         usable = F.size(VIOLATIONS) == 0
         write_batch(checked.filter(usable).select(*S.OBSERVATION_FIELDS), f"{out}/valid", number)
         write_batch(checked.filter(~usable).select(*S.OBSERVATION_FIELDS, VIOLATIONS), f"{out}/quarantine", number)

@@ -17,8 +17,9 @@ from hazeline.plans import daily_models, linear, reports, trees
 from hazeline.schemas import FUTURE_VARS, HORIZONS, TIME
 from hazeline.session import materialize, scratch_path
 from hazeline.sources import registry
-from suite.bindings import Suite, sensor, station
-from suite.profiles import scores_sql
+from suite.bindings import SENSOR, Suite, sensor, station
+from suite.profiles import PROFILED, scores_sql
+from suite.profiles import suite as profiles
 from suite.series import COMPLETE, DAILY, TARGETS, W, rnd
 
 suite = Suite()
@@ -80,9 +81,11 @@ def forecast_noise(spark, sf_dir):
 
 
 def served(spark, sf_dir):
+    """The daily table with the models of a stored and reloaded run."""
     table = daily_models.daily_table(station(spark, sf_dir))
-    fitted = daily_models.train_daily(table)
-    return table, {k: r.models for k, r in fitted.items()}, {k: r.columns for k, r in fitted.items()}
+    folder, run = scratch_path(spark, "registry"), "ridge_3day_dailyavg_v6_20010801T000000Z"
+    daily_models.save_run(daily_models.train_daily(table), folder, run)
+    return (table, *daily_models.load_run(spark, folder, run))
 
 
 @suite.query("forecast_3day")
@@ -228,12 +231,12 @@ def contributions_single(spark, sf_dir):
 
 
 @suite.query(
-    "ridge_pipeline_single",
+    "ridge_ml_single",
     f"""WITH {COMPLETE}, model AS (SELECT avg(aqi) AS mx, avg(aqi_target) AS my,
       count(*) / (count(*) + {ALPHA}) * regr_slope(aqi_target, aqi) AS slope FROM complete)
     SELECT city, collection_timestamp, {rnd('my + slope * (aqi - mx)', 'prediction')} FROM complete, model""",
 )
-def ridge_pipeline_single(spark, sf_dir):
+def ridge_ml_single(spark, sf_dir):
     rows = materialize(feature_table(spark, sf_dir).select("city", TIME, "aqi", trees.TARGET), "rows")
     model = daily_models.ridge_pipeline(rows, ["aqi"], ALPHA, trees.TARGET)
     return model.transform(rows).select("city", TIME, "prediction")
@@ -245,10 +248,34 @@ def horizon_sweep(spark, sf_dir):
     return reports.horizon_sweep(table, boosted(), {}, HOURLY, horizons=(6, 72))
 
 
-@suite.query("diagnose_report")
+def section(name: str, item: str, metrics_of: list[str], sql: str, city: str = "city") -> str:
+    return " UNION ALL ".join(
+        f"SELECT {city} AS city, '{name}' AS section, CAST({item} AS VARCHAR) AS item, '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM ({sql})"
+        for m in metrics_of
+    )
+
+
+REPORT = " UNION ALL ".join(
+    [
+        section("shape", "'all'", ["n_rows", "first_epoch", "last_epoch"],
+                f"WITH {SENSOR} SELECT city, count(*) AS n_rows, round(epoch_us(min(collection_timestamp)) / 1e6 + 3.7e-10, 6) AS first_epoch, "
+                "round(epoch_us(max(collection_timestamp)) / 1e6 + 3.7e-10, 6) AS last_epoch FROM sensor GROUP BY city"),
+        section("month", "month", ["mean", "std", "n"],
+                f"WITH {SENSOR} SELECT city, month(collection_timestamp) AS month, {rnd('avg(aqi)', 'mean')}, {rnd('stddev_samp(aqi)', 'std')}, "
+                "count(aqi) AS n FROM sensor GROUP BY 1, 2"),
+        section("acf", "lag", ["acf"], profiles.oracles["acf"]),
+        section("split", "split", ["n", "aqi_mean", "aqi_std", "aqi_min", "aqi_max"], profiles.oracles["split_stats"]),
+        section("shift", '"column"', ["train_mean", "test_mean", "train_std", "test_std", "ks_stat", "ks_pvalue"],
+                profiles.oracles["distribution_shift"], "NULL"),
+        section("target", "horizon", ["n", "mean", "std", "var", "month_mean_baseline_r2", "month_mean_baseline_rmse"], profiles.oracles["target_stats"]),
+        section("baseline", "horizon || ':' || baseline", ["rmse", "mae", "r2", "smape"], profiles.oracles["naive_baselines"]),
+    ]
+)
+
+
+@suite.query("diagnose_report", REPORT)
 def diagnose_report(spark, sf_dir):
-    table = feature_table(spark, sf_dir)
-    return reports.diagnose_report(table, ["aqi", "pm2_5", "temperature", "aqi_lag_24", "aqi_rolling_std_24h"])
+    return reports.diagnose_report(sensor(spark, sf_dir), PROFILED)
 
 
 def saved_run(spark, sf_dir):

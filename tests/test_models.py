@@ -169,7 +169,7 @@ def test_target_needs_full_coming_days(spark):
     assert got == [None, 3.5, 4.5, None, None]
 
 
-def test_training_serving_and_cards(spark):
+def test_training_serving_and_cards(spark, tmp_path):
     rows = hourly_rows(spark, 120).unionByName(hourly_rows(spark, 90, city="y"))
     table = daily_models.daily_table(rows)
     ridges = daily_models.train_daily(table)
@@ -196,6 +196,12 @@ def test_training_serving_and_cards(spark):
     assert gap.count() == 6
     document = daily_models.run_metadata(ridges, "x")
     assert document["day3_avg"]["n_days"] == 3 and len(document["day3_avg"]["feature_cols"]) == 61
+    daily_models.save_run(ridges, str(tmp_path), "ridge_3day_dailyavg_v6_20260501T000000Z")
+    loaded, inputs = daily_models.load_run(spark, str(tmp_path), "ridge_3day_dailyavg_v6_20260501T000000Z")
+    assert inputs == columns
+    assert daily_models.forecast_3day(table, loaded, inputs).exceptAll(forecast).isEmpty()
+    with pytest.raises(Exception, match="no metadata|PATH_NOT_FOUND"):
+        daily_models.load_run(spark, str(tmp_path), "ridge_3day_dailyavg_v6_20260101T000000Z")
     with pytest.raises(ValueError, match="complete history"):
         daily_models.forecast_3day(daily.daily_features(hourly_rows(spark, 10)), models, columns)
 
