@@ -70,33 +70,42 @@ def split_tail(
     return _labelled(df, F.when(n_test < 1, empty).otherwise(label), by, bounded)
 
 
-def ts_cv_folds(df: DataFrame, k: int = 5, gap: int = 72, by: Sequence[str] = S.SERIES) -> DataFrame:
-    """One copy of a row per fold it takes part in, with `fold` and `role`.
+def with_folds(df: DataFrame, k: int = 5, gap: int = 72, by: Sequence[str] = S.SERIES) -> DataFrame:
+    """Add what `fold_role` needs: `row_index`, `n_rows` and `folds`.
 
-    Folds expand in time and leave `gap` rows between train and test. A series
-    too short for k folds gets fewer, down to two.
+    A series too short for k folds gets fewer, down to two.
     """
     if k < 2:
         raise ValueError("time-series folds need k >= 2")
     if gap < 0:
         raise ValueError("the gap must not be negative")
-    fewer = F.lit(2)
-    for folds in range(3, k + 1):
-        fewer = F.when(F.col("n_rows") >= (folds + 1) + gap * folds, F.lit(folds)).otherwise(fewer)
-    size = F.floor(F.col("n_rows") / (F.col("_k") + 1))
-    start = F.col("n_rows") - (F.col("_k") - F.col("fold")) * size
+    folds = F.lit(2)
+    for count in range(3, k + 1):
+        folds = F.when(F.col("n_rows") >= (count + 1) + gap * count, F.lit(count)).otherwise(folds)
+    return series_index(df, by, [S.TIME]).withColumn("folds", folds)
+
+
+def fold_role(fold: Column, gap: int = 72) -> Column:
+    """train, test or null for a row's part in an expanding fold.
+
+    `gap` rows between train and test take no part.
+    """
+    size = F.floor(F.col("n_rows") / (F.col("folds") + 1))
+    start = F.col("n_rows") - (F.col("folds") - fold) * size
     position = F.col("row_index") - 1
-    role = F.when((position >= start) & (position < start + size), "test").when(position < start - gap, "train")
-    return (
-        series_index(df, by, [S.TIME])
-        .withColumn("_k", fewer)
-        .withColumn("fold", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
-        .withColumn("role", role)
-        .filter(F.col("role").isNotNull())
-        .drop("_k", "row_index", "n_rows")
+    return F.when(
+        fold < F.col("folds"),
+        F.when((position >= start) & (position < start + size), "test").when(position < start - gap, "train"),
     )
 
 
+def ts_cv_folds(df: DataFrame, k: int = 5, gap: int = 72, by: Sequence[str] = S.SERIES) -> DataFrame:
+    """One copy of a row per fold it takes part in, with `fold` and `role`."""
+    placed = with_folds(df, k, gap, by).withColumn("fold", F.explode(F.sequence(F.lit(0), F.col("folds") - 1)))
+    roles = placed.withColumn("role", fold_role(F.col("fold"), gap))
+    return roles.filter(F.col("role").isNotNull()).drop("folds", "row_index", "n_rows")
+
+
 def walk_forward_blocks(df: DataFrame, columns: Sequence[str], step: int = 336, min_train: int = 1500,
                         by: Sequence[str] = S.SERIES) -> DataFrame:
     """Complete rows with `block`: -1 for the first training rows, then 0, 1, ...

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from hazeline import schemas as S
 from hazeline.operators.features import build_xy, complete_rows
 from hazeline.operators.metrics import PERSISTENCE, comparison_table, forecast_metrics, persistence_model, select_best
-from hazeline.operators.splits import concat_train_val, ts_cv_folds, walk_forward_blocks
+from hazeline.operators.splits import concat_train_val, fold_role, walk_forward_blocks, with_folds
 from hazeline.session import materialize
 
 TARGET = "aqi_target"
@@ -116,23 +116,24 @@ def random_search_cv(
 ) -> tuple[PipelineModel, list[dict]]:
     """Sampled settings scored by mean rmse over expanding folds, best refitted.
 
-    The fold table is written once; every fit reads its fold from it. Returns
-    the refitted model and the trials, best first. No settings, no search.
+    The rows are numbered and written once; each fit filters its fold from
+    them, so no fold is copied. Returns the refitted model and the trials, best
+    first. No settings, no search.
     """
     if not space:
         return fit_pipeline(estimator, train, columns, target), []
-    folds = materialize(ts_cv_folds(complete_rows(train, columns, target), k, gap), "folds")
-    if folds.isEmpty():
+    rows = materialize(with_folds(complete_rows(train, columns, target), k, gap), "folds")
+    folds = rows.agg(F.max("folds")).first()[0]
+    if folds is None:
         raise ValueError("no complete rows to train on")
-    numbers = [r["fold"] for r in folds.select("fold").distinct().orderBy("fold").collect()]
     trials = []
     for setting in sample_settings(space, n_iter, seed):
         tuned = estimator.copy({estimator.getParam(p): v for p, v in setting.items()})
         errors = []
-        for fold in numbers:
-            part = folds.filter(F.col("fold") == fold)
-            model = fit_pipeline(tuned, part.filter(F.col("role") == "train"), columns, target)
-            errors.append(evaluate_model(model, part.filter(F.col("role") == "test"), target).first()["rmse"])
+        for fold in range(folds):
+            role = fold_role(F.lit(fold), gap)
+            model = fit_pipeline(tuned, rows.filter(role == "train"), columns, target)
+            errors.append(evaluate_model(model, rows.filter(role == "test"), target).first()["rmse"])
         trials.append({"setting": setting, "rmse": sum(errors) / len(errors), "estimator": tuned})
     trials.sort(key=lambda t: t["rmse"])
     return fit_pipeline(trials[0]["estimator"], train, columns, target), trials

@@ -165,13 +165,13 @@ def stream_features(observations: DataFrame, store: str, out: str, checkpoint: s
 
     def each(batch: DataFrame, number: int) -> None:
         spark: SparkSession = batch.sparkSession
+        if batch.isEmpty():
+            return
         write_batch(batch.withColumn("date", F.to_date(S.TIME)), store, number, by=["date"])
         stored = spark.read.parquet(store).filter(F.col(BATCH) <= number)
         new = stored.filter(F.col(BATCH) == number)
         since = materialize(new.groupBy("city").agg(F.min(S.TIME).alias("_since")), "since")
         oldest = since.agg(F.min("_since")).first()[0]
-        if oldest is None:
-            return
         cutoff = oldest.date() - dt.timedelta(days=CONTEXT_DAYS)
         affected = join_on(stored.filter(F.col("date") >= oldest.date()), since, ["city"])
         affected = affected.filter(F.col(S.TIME) >= F.col("_since")).drop("_since")

@@ -43,6 +43,20 @@ def test_group_ridge_equals_closed_form(linear_rows, alpha):
         assert np.allclose(closed_form(x, y, alpha)(x), rows["prediction"], atol=1e-8)
 
 
+def test_sums_of_many_groups_are_passed_on_in_parts(linear_rows, monkeypatch):
+    from hazeline.operators import moments
+
+    whole = linear.RidgeSums(linear_rows, COLUMNS, "y").fit([1.0]).orderBy("city").collect()
+    monkeypatch.setattr(moments, "GROUPS_HELD", 0)
+    linear_rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        parts = linear.RidgeSums(linear_rows, COLUMNS, "y").fit([1.0]).orderBy("city").collect()
+    finally:
+        linear_rows.sparkSession.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for a, b in zip(whole, parts):
+        assert a.city == b.city and a.n_train == b.n_train and np.allclose(a.beta, b.beta, atol=1e-9)
+
+
 def test_subset_of_sums_equals_own_fit(linear_rows):
     sums = linear.RidgeSums(linear_rows, COLUMNS, "y")
     scored = linear.predict_linear(linear_rows, sums.fit([10.0], ["q", "r"]), ["q", "r"]).toPandas()
