@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,13 +15,50 @@ FUTURE_SECONDS = 86400
 ISO_DATE = r"^\s*\d{4}-\d{2}-\d{2}"
 
 
-def _reasons(*checks: Column) -> Column:
-    return F.array_compact(F.array(*checks))
+def _reasons(checks: Sequence[Column]) -> Column:
+    """The reasons of the checks that fail; a check is null when it passes."""
+    return F.array_compact(F.array(*checks)) if checks else F.array().cast("array<string>")
+
+
+def _number(df: DataFrame, name: str) -> Column:
+    kind = df.schema[name].dataType
+    if isinstance(kind, T.NumericType):
+        return F.col(name)
+    if isinstance(kind, T.StringType):
+        return F.col(name).try_cast("double")
+    return F.lit(None).cast("double")
+
+
+def _required() -> list[Column]:
+    return [F.when(F.col(c).isNull(), f"required:{c}") for c in S.REQUIRED_FIELDS]
+
+
+def _datatypes(df: DataFrame) -> list[Column]:
+    open_types = [c for c in S.NUMERIC_FIELDS if c in df.columns and not isinstance(df.schema[c].dataType, T.NumericType)]
+    return [F.when(F.col(c).isNotNull() & _number(df, c).isNull(), f"numeric:{c}") for c in open_types]
+
+
+def _non_negative(df: DataFrame) -> list[Column]:
+    return [F.when(_number(df, c) < 0, f"negative:{c}") for c in S.NON_NEGATIVE_FIELDS if c in df.columns]
+
+
+def _coordinates(df: DataFrame) -> list[Column]:
+    return [
+        F.when(~F.coalesce(_number(df, c).between(-bound, bound), F.lit(False)), f"range:{c}")
+        for c, bound in (("latitude", 90), ("longitude", 180))
+    ]
+
+
+def _timestamp(as_of: Column, field: str) -> list[Column]:
+    text = F.col(field)
+    parsed = F.when(text.rlike(ISO_DATE), F.try_to_timestamp(F.trim(text)))
+    ahead = parsed.cast("double") - as_of.cast("double")
+    return [F.when(parsed.isNull(), f"format:{field}"), F.when(ahead > FUTURE_SECONDS, f"future:{field}")]
 
 
 def rule_required() -> Column:
     """Fields that must not be null."""
-    return _reasons(*[F.when(F.col(c).isNull(), f"required:{c}") for c in S.REQUIRED_FIELDS])
+    return _reasons(_required())
 
 
 def rule_optional_keys(df: DataFrame) -> None:
@@ -31,63 +70,28 @@ def rule_optional_keys(df: DataFrame) -> None:
 
 def rule_datatypes(df: DataFrame) -> Column:
     """Numeric fields hold numbers; booleans are not numbers, null is skipped."""
-    checks = []
-    for name in S.NUMERIC_FIELDS:
-        if name not in df.columns:
-            continue
-        kind = df.schema[name].dataType
-        if isinstance(kind, T.NumericType):
-            continue
-        if isinstance(kind, T.StringType):
-            wrong = F.col(name).isNotNull() & F.col(name).try_cast("double").isNull()
-        else:
-            wrong = F.col(name).isNotNull()
-        checks.append(F.when(wrong, f"numeric:{name}"))
-    return _reasons(*checks) if checks else F.array().cast("array<string>")
-
-
-def _number(df: DataFrame, name: str) -> Column:
-    kind = df.schema[name].dataType
-    if isinstance(kind, T.NumericType):
-        return F.col(name)
-    if isinstance(kind, T.StringType):
-        return F.col(name).try_cast("double")
-    return F.lit(None).cast("double")
+    return _reasons(_datatypes(df))
 
 
 def rule_non_negative(df: DataFrame) -> Column:
-    return _reasons(
-        *[F.when(_number(df, c) < 0, f"negative:{c}") for c in S.NON_NEGATIVE_FIELDS if c in df.columns]
-    )
+    return _reasons(_non_negative(df))
 
 
 def rule_coordinates(df: DataFrame) -> Column:
     """Latitude in [-90, 90] and longitude in [-180, 180]; null fails."""
-
-    def outside(name: str, bound: int) -> Column:
-        inside = F.coalesce(_number(df, name).between(-bound, bound), F.lit(False))
-        return F.when(~inside, f"range:{name}")
-
-    return _reasons(outside("latitude", 90), outside("longitude", 180))
+    return _reasons(_coordinates(df))
 
 
 def rule_timestamp(as_of: Column, field: str = "timestamp") -> Column:
     """ISO-8601 text, not more than a day after `as_of`."""
-    text = F.col(field)
-    parsed = F.when(text.rlike(ISO_DATE), F.try_to_timestamp(F.trim(text)))
-    ahead = parsed.cast("double") - as_of.cast("double")
-    return _reasons(
-        F.when(parsed.isNull(), f"format:{field}"),
-        F.when(ahead > FUTURE_SECONDS, f"future:{field}"),
-    )
+    return _reasons(_timestamp(as_of, field))
 
 
 def with_violations(df: DataFrame, as_of: Column) -> DataFrame:
+    """All rules at once: `violations` holds every reason of a row."""
     rule_optional_keys(df)
-    reasons = F.concat(
-        rule_required(), rule_datatypes(df), rule_non_negative(df), rule_coordinates(df), rule_timestamp(as_of)
-    )
-    return df.withColumn(VIOLATIONS, reasons)
+    checks = [*_required(), *_datatypes(df), *_non_negative(df), *_coordinates(df), *_timestamp(as_of, "timestamp")]
+    return df.withColumn(VIOLATIONS, _reasons(checks))
 
 
 def validate_records(df: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:

@@ -59,12 +59,17 @@ def diagnose_report(features: DataFrame, columns: Sequence[str] | None = None, l
     return out
 
 
+def sweep_baselines(test: DataFrame, train: DataFrame) -> DataFrame:
+    """Scores of the naive forecasts on `test`, per model; month means are of
+    the training rows' current AQI."""
+    forecasts = seasonal_lookup(test, train, "aqi").withColumn("persistence", F.col("aqi"))
+    long = forecasts.unpivot(["aqi_target"], list(NAIVE), "model", "prediction")
+    return forecast_metrics(long, "aqi_target", "prediction", ["model"])
+
+
 def horizon_sweep(features: DataFrame, estimator, space: Mapping[str, Sequence], columns: Sequence[str] | None = None,
                   horizons: Sequence[int] = HORIZON_HOURS, n_iter: int = 40, k: int = 5, seed: int = 42) -> DataFrame:
-    """Tuned model and naive forecasts per horizon, scored on the newest 15 %.
-
-    Month means use the current AQI of the first 70 % of rows.
-    """
+    """Tuned model and naive forecasts per horizon, scored on the newest 15 %."""
     columns = list(columns or select_features(features))
     base = materialize(rolling_naive(complete_rows(features, columns)), "sweep")
     out = None
@@ -76,9 +81,7 @@ def horizon_sweep(features: DataFrame, estimator, space: Mapping[str, Sequence],
         chosen = trials[0]["estimator"] if trials else estimator
         model = fit_pipeline(chosen, concat_train_val(split), columns)
         scored = evaluate_model(model, test).withColumn("model", F.lit("model"))
-        naive = seasonal_lookup(test, train, "aqi").withColumn("persistence", F.col("aqi"))
-        naive = naive.unpivot(["aqi_target"], list(NAIVE), "model", "prediction")
-        both = scored.unionByName(forecast_metrics(naive, "aqi_target", "prediction", ["model"]))
+        both = scored.unionByName(sweep_baselines(test, train))
         both = both.withColumn("horizon", F.lit(h))
         out = both if out is None else out.unionByName(both)
     return out

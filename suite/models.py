@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import functions as F
 
+from hazeline.functions.calendar import time_fields
 from hazeline.functions.noise import forecast_noise as add_noise
 from hazeline.operators import daily, features, metrics, splits
 from hazeline.plans import daily_models, linear, reports, trees
@@ -20,7 +21,7 @@ from hazeline.sources import registry
 from suite.bindings import SENSOR, Suite, sensor, station
 from suite.profiles import PROFILED, scores_sql
 from suite.profiles import suite as profiles
-from suite.series import COMPLETE, DAILY, TARGETS, W, rnd
+from suite.series import COMPLETE, DAILY, NAIVE, TARGETS, W, rnd
 
 suite = Suite()
 HOURLY = ["temperature", "humidity", "pressure", "wind_speed", "pm2_5", "aqi_lag_1", "aqi_lag_24", "aqi_rolling_mean_24h", "aqi"]
@@ -248,6 +249,26 @@ def horizon_sweep(spark, sf_dir):
     return reports.horizon_sweep(table, boosted(), {}, HOURLY, horizons=(6, 72))
 
 
+SWEPT = f"""{SENSOR}, valid AS (SELECT city, collection_timestamp, aqi, month(collection_timestamp) AS m, {NAIVE['roll_mean_24h']} AS roll_mean_24h,
+    {NAIVE['roll_mean_7d']} AS roll_mean_7d, lead(aqi, 24) OVER ({W}) AS y FROM sensor QUALIFY y IS NOT NULL),
+  spots AS (SELECT *, row_number() OVER ({W}) AS rn, count(*) OVER (PARTITION BY city) AS n FROM valid),
+  seasonal AS (SELECT city, m, avg(aqi) AS seasonal_month FROM spots WHERE rn <= floor(n * 0.7::DOUBLE) GROUP BY ALL),
+  tested AS (SELECT s.*, aqi AS persistence, seasonal_month FROM spots s LEFT JOIN seasonal x ON s.city = x.city AND s.m = x.m
+    WHERE rn > floor(n * (0.7::DOUBLE + 0.15::DOUBLE)))"""
+
+
+@suite.query(
+    "sweep_baselines",
+    f"WITH {SWEPT} " + " UNION ALL ".join(
+        f"SELECT '{p}' AS model, count({p}) AS n, {scores_sql('y', p)} FROM tested WHERE {p} IS NOT NULL" for p in metrics.NAIVE
+    ),
+)
+def sweep_baselines(spark, sf_dir):
+    ahead = features.target_ahead(time_fields(metrics.rolling_naive(sensor(spark, sf_dir))), 24)
+    split = materialize(splits.split_three(features.complete_rows(ahead, ["aqi_target"])), "sweep")
+    return reports.sweep_baselines(split.filter("split = 'test'"), split.filter("split = 'train'"))
+
+
 def section(name: str, item: str, metrics_of: list[str], sql: str, city: str = "city") -> str:
     return " UNION ALL ".join(
         f"SELECT {city} AS city, '{name}' AS section, CAST({item} AS VARCHAR) AS item, '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM ({sql})"
