@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,7 +15,7 @@ SETTINGS = {
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
-_local_scratch: dict[str, str] = {}
+_named_scratch: dict[str, str] = {}
 
 
 def build_session(app: str = "hazeline", **extra: str) -> SparkSession:
@@ -33,24 +33,25 @@ def pin_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder the cluster shares for intermediate tables.
+def use_scratch(spark: SparkSession, folder: Callable[[], str]) -> None:
+    """Name the folder for intermediate tables of a session that sets no
+    spark.checkpoint.dir; the first name given to an application stays."""
+    app = spark.sparkContext.applicationId
+    if not _configured(spark) and app not in _named_scratch:
+        _named_scratch[app] = folder()
 
-    `spark.checkpoint.dir` names it. Only a local master, as in tests, may fall
-    back to a temporary folder; on a cluster a machine-local folder would be
-    lost with its machine.
-    """
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(
-        "spark.checkpoint.dir", None
-    )
-    if shared:
-        return shared
-    if not spark.sparkContext.master.startswith("local"):
+
+def _configured(spark: SparkSession) -> str | None:
+    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """The folder the cluster shares for intermediate tables: `spark.checkpoint.dir`,
+    or the one that the caller named with `use_scratch`."""
+    shared = _configured(spark) or _named_scratch.get(spark.sparkContext.applicationId)
+    if not shared:
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _local_scratch:
-        _local_scratch[app] = tempfile.mkdtemp(prefix="hazeline-")
-    return _local_scratch[app]
+    return shared
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

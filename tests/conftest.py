@@ -9,9 +9,9 @@ from hazeline.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = build_session(
-        "tests", spark__master="local[4]", spark__sql__shuffle__partitions="4", spark__ui__enabled="false",
+        "tests", spark__checkpoint__dir=str(tmp_path_factory.mktemp("scratch")), spark__master="local[4]", spark__sql__shuffle__partitions="4", spark__ui__enabled="false",
         spark__driver__memory="6g",
     )
     session.sparkContext.setLogLevel("ERROR")
