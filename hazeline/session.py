@@ -68,5 +68,5 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     written.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
