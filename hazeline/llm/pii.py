@@ -142,7 +142,7 @@ def spans_of(kind: str, text: Column) -> Column:
     between = F.split(text, pattern, -1)
     # Matches and gaps are zipped, then folded in one pass; the position is where the
     # next gap begins. The gap after the last match has no match and falls away.
-    zipped = F.arrays_zip(found.alias("m"), between.alias("gap"), F.slice(between, 2, 2**31 - 1).alias("after"))
+    zipped = F.arrays_zip(found.alias("m"), between.alias("gap"), F.slice(between, 2, F.size(between)).alias("after"))
     pairs = F.filter(zipped, lambda x: x["m"].isNotNull())
 
     def step(at: Column, x: Column) -> tuple[Column, Column]:
