@@ -78,7 +78,7 @@ def sorted_suffixes(data: np.ndarray) -> np.ndarray:
     """
     n = len(data)
     padded = np.zeros(n + 7, np.int64)
-    padded[:n] = data
+    padded[:n] = data.astype(np.int64) + 1
     key = np.zeros(n, np.int64)
     for k in range(7):
         key = key << 9 | padded[k : n + k]
@@ -215,39 +215,48 @@ def cut_windows(wanted: DataFrame, length: int) -> DataFrame:
     return wanted.select("text", "cuts").mapInArrow(run, "fp long, wh long, window binary")
 
 
+SPAN_COLUMNS = ["fp", "wh", "a", "b", "slice", "strings", "places", "open"]
+SLICES = 64
+
+
 def shard_spans(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
-    """Runs of repeated starts (fp, wh, a, b) in a shard; in a split one also every
-    different string: its hash, and whether it is repeated here."""
+    """Runs of repeated starts (fp, wh, a, b) in a shard; in a split one also its
+    different strings, as sorted slices of their hashes with (wh, a) of each and whether it is
+    still unrepeated here."""
     pdf = pdf.sort_values(["fp", "wh"], kind="stable").drop_duplicates(["fp", "wh"])
     windows = pdf["window"].tolist()
     again, group = repeated_starts(windows, length)
     sizes = np.array([len(w) - length + 1 for w in windows])
     row, a, b = spans(again, sizes)
     fp, wh = pdf["fp"].to_numpy(), pdf["wh"].to_numpy()
-    found = pd.DataFrame({"fp": fp[row], "wh": wh[row], "a": a, "b": b, "string": 0, "open": False, "found": True})
-    if not pdf["split"].iloc[0]:
-        return found
-    owner = np.repeat(np.arange(len(windows)), sizes)
-    place = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    once = np.unique(group, return_index=True)[1]
-    hashes = np.array([xxhash.xxh3_64_intdigest(windows[owner[i]][place[i] : place[i] + length]) for i in once], np.uint64).view(np.int64)
-    strings = pd.DataFrame({
-        "fp": fp[owner[once]], "wh": wh[owner[once]], "a": place[once], "b": place[once], "string": hashes, "open": ~again[once], "found": False,
-    })
-    return pd.concat([found, strings], ignore_index=True)
+    out = [(f, w, x, y, -1, None, None, None) for f, w, x, y in zip(fp[row], wh[row], a, b, strict=True)]
+    if pdf["split"].iloc[0]:
+        owner = np.repeat(np.arange(len(windows)), sizes)
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        once = np.unique(group, return_index=True)[1]
+        hashes = np.array([xxhash.xxh3_64_intdigest(windows[owner[i]][place[i] : place[i] + length]) for i in once], np.uint64)
+        order = np.argsort(hashes)
+        once, hashes = once[order], hashes[order]
+        cuts = np.searchsorted(hashes, np.arange(1, SLICES, dtype=np.uint64) * np.uint64(2**64 // SLICES))
+        places = np.stack([wh[owner[once]], place[once]], 1)
+        for n, (i, j) in enumerate(zip([0, *cuts], [*cuts, len(once)], strict=True)):
+            if i < j:
+                out.append((fp[0], 0, 0, 0, n, hashes[i:j].tobytes(), places[i:j].tobytes(), (~again[once[i:j]]).tobytes()))
+    return pd.DataFrame(out, columns=SPAN_COLUMNS)
 
 
 def merged_strings(pdf: pd.DataFrame) -> pd.DataFrame:
     """Starts of strings that other shards hold too, by binary search in their sorted hashes."""
-    keep = np.zeros(len(pdf), bool)
-    salt, string = pdf["salt"].to_numpy(), pdf["string"].to_numpy()
-    lists = {s: np.sort(string[salt == s]) for s in np.unique(salt)}
-    for s, own in ((s, np.flatnonzero(salt == s)) for s in lists):
-        for other, hashes in lists.items():
-            if other != s:
-                at = np.minimum(np.searchsorted(hashes, string[own]), len(hashes) - 1)
-                keep[own] |= hashes[at] == string[own]
-    return pdf.loc[keep & pdf["open"].to_numpy(), ["fp", "wh", "a", "b"]]
+    lists = [np.frombuffer(x, np.uint64) for x in pdf["strings"]]
+    out = []
+    for n, (own, places, open_) in enumerate(zip(lists, pdf["places"], pdf["open"], strict=True)):
+        found = np.zeros(len(own), bool)
+        for m, other in enumerate(lists):
+            if m != n:
+                found |= other[np.minimum(np.searchsorted(other, own), len(other) - 1)] == own
+        found &= np.frombuffer(open_, bool)
+        out += [(pdf["fp"].iloc[0], w, a, a) for w, a in np.frombuffer(places, np.int64).reshape(-1, 2)[found]]
+    return pd.DataFrame(out, columns=["fp", "wh", "a", "b"])
 
 
 def repeated(df: DataFrame, length: int, shard: int, split: int) -> DataFrame:
@@ -274,17 +283,11 @@ def repeated(df: DataFrame, length: int, shard: int, split: int) -> DataFrame:
         "shard": F.when(salts > 1, F.col("fp")).otherwise(F.pmod(F.xxhash64("fp"), F.lit(1 + total // shard))),
         "salt": F.when(salts > 1, F.pmod(F.xxhash64("wh"), salts)).otherwise(F.lit(0)),
     })
-    schema = "salt long, fp long, wh long, a long, b long, string long, open boolean, found boolean"
-
-    def of_shard(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = shard_spans(pdf, length)
-        out.insert(0, "salt", key[2])
-        return out
-
-    parts = materialize(dealt.groupBy("split", "shard", "salt").applyInPandas(of_shard, schema), "shards")
-    strings = parts.where("not found").withColumn("slice", F.pmod(F.col("string"), F.lit(64)))
-    merged = strings.groupBy("fp", "slice").applyInPandas(merged_strings, "fp long, wh long, a long, b long")
-    starts = parts.where("found").select("fp", "wh", "a", "b").unionByName(merged)
+    schema = "fp long, wh long, a long, b long, slice long, strings binary, places binary, open binary"
+    parts = dealt.groupBy("split", "shard", "salt").applyInPandas(lambda pdf: shard_spans(pdf, length), schema)
+    parts = materialize(parts, "shards")
+    merged = parts.where("slice >= 0").groupBy("fp", "slice").applyInPandas(merged_strings, "fp long, wh long, a long, b long")
+    starts = parts.where("slice < 0").select("fp", "wh", "a", "b").unionByName(merged)
     # Every text that has the window has its repeated starts.
     single = starts.join(windows.where("not many").select("fp", "wh"), ["fp", "wh"], "left_semi")
     partial = found.join(single, ["fp", "wh"]).select("t", (F.col("p") + F.col("a")).alias("a"), (F.col("p") + F.col("b")).alias("b"))
