@@ -39,13 +39,12 @@ def forecast_noise(daily: DataFrame, max_horizon: int, seed: int = 42) -> DataFr
     Null features stay null, so the rows that survive a null drop are the same
     with and without noise.
     """
-    changed = {}
-    for name, (base, growth) in FORECAST_NOISE.items():
-        for h in range(1, max_horizon + 1):
-            column = f"fw_{name}{h}"
-            if column not in daily.columns:
-                continue
-            draw = standard_normal(F.col("city"), F.col("collection_timestamp"), name, h, seed)
-            noisy = F.col(column) + F.lit(base + growth * (h - 1)) * draw
-            changed[column] = clip_percent(noisy) if name in PERCENT_VARS else noisy
-    return daily.withColumns(changed) if changed else daily
+
+    def noisy(variable: str, day: int) -> Column:
+        first, growth = FORECAST_NOISE[variable]
+        error = standard_normal(F.col("city"), F.col("collection_timestamp"), variable, day, seed)
+        value = F.col(f"fw_{variable}{day}") + (first + growth * (day - 1)) * error
+        return clip_percent(value) if variable in PERCENT_VARS else value
+
+    features = {f"fw_{v}{d}": (v, d) for d in range(1, max_horizon + 1) for v in FORECAST_NOISE}
+    return daily.withColumns({c: noisy(*features[c]) for c in daily.columns if c in features})

@@ -81,11 +81,9 @@ def distinct_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def source_summary(df: DataFrame, source: str = "aqi_source") -> DataFrame:
     """Records and percent per source, most first."""
     counts = df.groupBy(F.coalesce(F.col(source), F.lit("Unavailable")).alias("source")).agg(F.count("*").alias("records"))
-    total = df.agg(F.count("*").alias("_total"))
-    shared = join_on(counts.withColumn("_one", F.lit(1)), total.withColumn("_one", F.lit(1)), ["_one"])
-    return shared.select(
-        "source", "records", (F.col("records") / F.col("_total") * 100).alias("percent")
-    ).orderBy(F.desc("records"), "source")
+    # One row per source is left by now, so the total is a window over few rows.
+    total = F.sum("records").over(Window.partitionBy())
+    return counts.select("source", "records", (F.col("records") / total * 100).alias("percent")).orderBy(F.desc("records"), "source")
 
 
 def history_summary(df: DataFrame) -> DataFrame:
@@ -113,13 +111,15 @@ def history_window(df: DataFrame, days: int) -> DataFrame:
 
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """count, mean, std, min, quartiles and max per column."""
+    """count, mean, std, min, quartiles and max per column; a column of nulls has count 0."""
     values = long_form(df, columns)
     moments = values.groupBy("column").agg(
         F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"), F.max("value").alias("max"),
     )
-    return join_on(moments, quantiles(values, ["column"], QUARTILES).drop("n"), ["column"])
+    found = moments.join(quantiles(values, ["column"], QUARTILES).drop("n"), "column")
+    names = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    return names.join(found, "column", "left").withColumn("count", F.coalesce("count", F.lit(0).cast("long")))
 
 
 def box_stats(df: DataFrame, key: str, value: str = "aqi") -> DataFrame:
@@ -150,7 +150,7 @@ def iqr_outliers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         F.coalesce("count", F.lit(0)).alias("count"),
         F.coalesce("pct", F.lit(0.0)).alias("pct"),
         "lower_bound", "upper_bound",
-    )
+    ).orderBy(F.desc("count"), "column")
 
 
 def histogram(df: DataFrame, columns: Sequence[str], bins: int = 20) -> DataFrame:

@@ -99,8 +99,9 @@ def run_backfill(
 
     steps = materialize(_outcomes(grid, wanted, weather, checked, rejected), "steps")
     if not valid.isEmpty():
-        sink_append(valid, store)
+        # The store is what a rerun skips by, so it comes last.
         sink_bronze_json(_bronze(checked), bronze)
+        sink_append(valid, store)
     audit = backfill_audit(steps, started, dt.datetime.now(dt.timezone.utc), start_date, end_date, hours, force)
     sink_run_audit(audit, audits)
     return audit

@@ -20,26 +20,41 @@ def scan_observations(spark: SparkSession, path: str, schema: T.StructType = S.O
     """Observation CSV with parsed UTC time; rows without a usable time are dropped.
 
     `ingest_seq` orders the rows as they were appended: by file time, file,
-    position of the block in the file and row. An empty input and a header
-    without the key columns are errors.
+    position of the block in the file and row. Files may differ in their columns
+    and the order of them: each is read by its own header. An empty input and a
+    header without the key columns are errors.
     """
-    header = spark.read.option("header", True).csv(path).columns
-    absent = [c for c in S.KEY if c not in header]
-    if absent:
-        raise ValueError(f"missing columns: {absent}")
     known = {f.name: f for f in schema.fields}
-    fields = T.StructType([known.get(c, T.StructField(c, T.StringType())) for c in header])
-    lines = spark.read.schema(fields).option("header", True).csv(path)
-    if lines.isEmpty():
+    lines = None
+    for header, files in files_by_header(spark, path).items():
+        absent = [c for c in S.KEY if c not in header]
+        if absent:
+            raise ValueError(f"missing columns: {absent}")
+        fields = T.StructType([known.get(c, T.StructField(c, T.StringType())) for c in header])
+        part = spark.read.schema(fields).option("header", True).csv(files).select("*", "_metadata")
+        lines = part if lines is None else lines.unionByName(part, allowMissingColumns=True)
+    if lines is None or lines.isEmpty():
         raise ValueError(f"input is empty: {path}")
     appended = F.struct(
         "_metadata.file_modification_time", "_metadata.file_path", "_metadata.file_block_start",
         F.monotonically_increasing_id().alias("row"),
     )
-    rows = nan_to_null(lines.select("*", appended.alias("ingest_seq")))
+    rows = nan_to_null(lines.select("*", appended.alias("ingest_seq")).drop("_metadata"))
     return rows.withColumn(S.TIME, to_utc(F.col(S.TIME))).filter(F.col(S.TIME).isNotNull())
 
 
+def files_by_header(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+    """CSV files below `path` by their columns; one short row per file and layout."""
+    first = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start").where("file_block_start = 0")
+    row = F.monotonically_increasing_id()
+    heads = first.withColumn("row", row).groupBy("file_path").agg(F.min_by("value", "row").alias("head"))
+    found: dict[tuple[str, ...], list[str]] = {}
+    for head, files in sorted((r["head"], r["files"]) for r in heads.groupBy("head").agg(F.sort_array(F.collect_list("file_path")).alias("files")).collect()):
+        columns = tuple(spark.read.option("header", True).csv(files[0]).columns)
+        found.setdefault(columns, []).extend(files)
+    return found
+
+
 def scan_csv_strings(spark: SparkSession, path: str) -> DataFrame:
     """Header CSV with every value as text."""
     return spark.read.option("header", True).option("inferSchema", False).csv(path)

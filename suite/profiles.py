@@ -12,7 +12,7 @@ from suite.bindings import NUDGE, SENSOR, STATION, Suite, rounded, sensor, stati
 from suite.series import COMPLETE, PLACED, THREE, W, rnd
 
 suite = Suite()
-PROFILED = ("aqi", "pm2_5", "pm10", "temperature", "humidity", "wind_speed")
+PROFILED = ("aqi", "pm2_5", "pm10", "temperature", "humidity", "wind_speed", "pressure", "clouds", "feels_like")
 LONG = "long AS (" + " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", CAST({c} AS DOUBLE) AS value FROM sensor WHERE {c} IS NOT NULL" for c in PROFILED
 ) + ")"
@@ -31,7 +31,7 @@ def dataset_quality(spark, sf_dir):
     return out.select(*[F.col(c).cast("long").alias(c) for c in out.columns])
 
 
-MISSING = [*PROFILED, "pressure", "clouds"]
+MISSING = [*PROFILED, "wind_direction", "city", "user_id", "ingest_seq"]
 MISSING_SQL = " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", avg(CASE WHEN {c} IS NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS missing, "
     f"count(*) FILTER (WHERE {c} IS NULL) AS missing_count, count(*) AS n FROM sensor" for c in MISSING
@@ -45,10 +45,10 @@ def missing_ratio(spark, sf_dir):
 
 @suite.query(
     "topk_missing",
-    f"WITH {SENSOR}, m AS ({MISSING_SQL}) SELECT \"column\", {rounded('missing')} FROM m ORDER BY m.missing DESC, \"column\" LIMIT 3",
+    f"WITH {SENSOR}, m AS ({MISSING_SQL}) SELECT \"column\", {rounded('missing')} FROM m ORDER BY m.missing DESC, \"column\" LIMIT 15",
 )
 def topk_missing(spark, sf_dir):
-    return profile.topk_missing(sensor(spark, sf_dir).select(*MISSING), 3)
+    return profile.topk_missing(sensor(spark, sf_dir).select(*MISSING), 15)
 
 
 @suite.query(
@@ -88,9 +88,13 @@ def describe(spark, sf_dir):
     return profile.describe(sensor(spark, sf_dir), PROFILED)
 
 
-@suite.query("duplicate_rows", "SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT l_suppkey, l_quantity, l_discount, l_returnflag FROM lineitem)) AS duplicate_rows FROM lineitem")
+# Lines as they would be without their numbers, so that full rows repeat.
+@suite.query(
+    "duplicate_rows",
+    "SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT * EXCLUDE (l_orderkey, l_linenumber) FROM lineitem)) AS duplicate_rows FROM lineitem",
+)
 def duplicate_rows(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_quantity", "l_discount", "l_returnflag")
+    rows = table(spark, sf_dir, "lineitem").drop("l_orderkey", "l_linenumber")
     return profile.duplicate_rows(rows).select(F.col("duplicate_rows").cast("long").alias("duplicate_rows"))
 
 
@@ -238,9 +242,9 @@ def distribution_shift(spark, sf_dir):
     return profile.distribution_shift(splits.split_three(sensor(spark, sf_dir)), PROFILED)
 
 
-@suite.query("topk_shift", f"WITH {SHIFT} {SHIFT_OUT} ORDER BY t.ks_stat DESC LIMIT 3")
+@suite.query("topk_shift", f"WITH {SHIFT} {SHIFT_OUT} ORDER BY t.ks_stat DESC LIMIT 25")
 def topk_shift(spark, sf_dir):
-    return profile.distribution_shift(splits.split_three(sensor(spark, sf_dir)), PROFILED, k=3)
+    return profile.distribution_shift(splits.split_three(sensor(spark, sf_dir)), PROFILED, k=25)
 
 
 ACF_LAGS = 72
