@@ -33,7 +33,8 @@ def test_line_stage_keeps_one_of_each_line(spark, docs, small):
     out = pipeline.line_dedup(spark, docs.where("text is not null"), small)
     assert out.columns == pipeline.COLUMNS
     rows = {r["doc_id"]: r for r in out.collect()}
-    assert 10_003 not in rows
+    # Of the copy only lines too short to take part are left.
+    assert 10_003 not in rows or all(len(line.split()) < 12 for line in rows[10_003]["text"].split("\n"))
     assert all(r["n_chars"] == len(r["text"]) for r in rows.values())
     lines = [line for r in rows.values() for line in r["text"].split("\n") if len(line.split()) >= 12]
     assert len(lines) == len(set(lines))
