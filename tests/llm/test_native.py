@@ -163,3 +163,30 @@ def test_simhash_is_the_majority_of_bits(spark):
 def test_lines_of_an_empty_table(spark):
     df = spark.createDataFrame([], "key long, text string")
     assert lines.deduplicate(df, "key", "text").collect() == []
+
+
+def test_lines_of_any_length_match_edit_similarity_alone(spark):
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(3_000)]
+    rows, lines_of = [], {}
+    for k in range(120):
+        base = rng.choices(vocabulary, k=rng.choice([8, 9, 10, 14, 20, 24, 50, 100]))
+        for j in range(3):
+            line = list(base)
+            for _ in range(rng.randint(1, len(base) // 5) if j else 0):
+                at = rng.randrange(len(line))
+                line[at : at + 1] = rng.choice([[], [rng.choice(vocabulary)], [line[at], rng.choice(vocabulary)]])
+            if len(line) >= lines.MIN_WORDS:
+                lines_of[len(rows)] = line
+                rows.append((len(rows), " ".join(line)))
+    rows += [(len(rows) + i, "la la la la " * 3 + w) for i, w in enumerate(("one", "two three"))]
+    lines_of |= {k: t.split() for k, t in rows[-2:]}
+    first = {k: k for k in lines_of}
+    pairs = [(a, b) for a in lines_of for b in lines_of if a < b and abs(len(lines_of[a]) - len(lines_of[b])) <= 25 and set(lines_of[a]) & set(lines_of[b])]
+    for a, b in pairs:
+        if edit_distance(lines_of[a], lines_of[b]) * 5 <= max(len(lines_of[a]), len(lines_of[b])):
+            low, high = sorted((first[a], first[b]))
+            first = {k: low if v == high else v for k, v in first.items()}
+    df = spark.createDataFrame(rows, "key long, text string")
+    got = {r["key"] for r in lines.find_copies(df, "key", "text").collect()}
+    assert got == {k for k, v in first.items() if v != k} and len(got) > 150
