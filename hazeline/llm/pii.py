@@ -6,7 +6,7 @@ raise or lower its score. Positions count code points from 0, ends exclusive.
 Kinds, in the order that breaks ties of position:
 
     email, ip, card, phone    the base: pattern and check alone decide
-    iban                      two letters, two digits, 11 to 30 more; mod-97 is 1
+    iban                      two letters, two digits, as many more as the country has (11 to 30 if it is not in `LENGTHS`); mod-97 is 1
     ssn                       three, two and four digits; needs a context word
 
 A pattern is applied twice, once for its matches and once for what stands
@@ -24,6 +24,19 @@ from pyspark.sql import functions as F
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn")
 
+#: Characters of an account number by country, from the registry of ISO 13616.
+LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+COUNTRIES = "|".join(" ".join(LENGTHS.values()).split())
+#: The length of the country first, so that a match does not run into what follows; any other stops before the next account number.
+IBAN = "(?:{}|{})".format(
+    "|".join(rf"(?:{'|'.join(names.split())})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])" for n, names in LENGTHS.items()),
+    rf"[A-Z]{{2}}[0-9]{{2}}(?:(?!\x20(?:{COUNTRIES})[0-9]{{2}})\x20?[A-Z0-9]){{11,30}}",
+)
+
 # A match can only begin where a run of its first characters begins, or where the
 # match before ended (\G). Saying so, with possessive runs, keeps long runs linear
 # and off the stack; what is found stays the same.
@@ -32,7 +45,7 @@ PATTERNS = {
     "ip": r"(?=[0-9])(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}",
+    "iban": r"(?<![A-Za-z0-9])(?=[A-Z]{2}[0-9]{2})" + IBAN,
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
 }
 #: What a text must hold before its pattern is tried.
@@ -50,6 +63,8 @@ CONTEXT = {
 #: Words that speak against personal data: order numbers, versions, examples.
 AGAINST = ("order", "version", "invoice", "isbn")
 NEAR, STEP, LEAST = 40, 0.2, 0.5
+#: Characters in a piece of a text, when parts of it are looked up by position.
+PIECE = 256
 RUN = 256
 
 
@@ -135,27 +150,36 @@ def fold(items: Column, kind: str, step: Callable[[Column, Column], tuple[Column
     return let(items, lambda every: let(whole(every), lambda s: F.struct(s["at"].alias("at"), F.flatten(s["out"]).alias("out"))))
 
 
+def part(pieces: Column, first: Column, n: Column | int) -> Column:
+    """At most `NEAR` characters of a text from a position on, given its pieces."""
+    i = F.floor(first / PIECE).cast("int")
+    both = F.concat(F.coalesce(F.get(pieces, i), F.lit("")), F.coalesce(F.get(pieces, i + 1), F.lit("")))
+    return F.substring(both, first - i * PIECE + 1, n)
+
+
 def spans_of(kind: str, text: Column) -> Column:
     """Confirmed spans of one kind as an array of (order, start, end, score, text)."""
     pattern = PATTERNS[kind]
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
     # Matches and gaps are zipped, then folded in one pass; the position is where the
-    # next gap begins. The gap after the last match has no match and falls away.
-    zipped = F.arrays_zip(found.alias("m"), between.alias("gap"), F.slice(between, 2, F.size(between)).alias("after"))
+    # next gap begins. The gap after the last match has no match and falls away. What is
+    # near a match is read from the text, as other matches may stand there.
+    zipped = F.arrays_zip(found.alias("m"), between.alias("gap"))
     pairs = F.filter(zipped, lambda x: x["m"].isNotNull())
 
-    def step(at: Column, x: Column) -> tuple[Column, Column]:
+    def step(at: Column, x: Column, pieces: Column) -> tuple[Column, Column]:
         first = at + F.char_length(x["gap"])
         last = first + F.char_length(x["m"])
-        before, after = F.right(x["gap"], F.lit(NEAR)), F.left(x["after"], F.lit(NEAR))
+        start = F.greatest(F.lit(0), first - NEAR)
+        before, after = part(pieces, start, first - start), part(pieces, last, F.lit(NEAR))
         span = F.struct(
             F.lit(KINDS.index(kind)).alias("order"), first.alias("start"), last.alias("end"),
             score(kind, before, after).alias("score"), x["m"].alias("text"),
         )
         return last, F.when(confirmed(kind, x["m"], before, after), span)
 
-    every = fold(pairs, SPAN, step)["out"]
+    every = let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)), lambda p: fold(pairs, SPAN, lambda at, x: step(at, x, p))["out"])
     kept = every if kind in BASE else F.filter(every, lambda s: s["score"] >= LEAST)
     return F.when(text.rlike(HINTS[kind]), kept).otherwise(F.array().cast(f"array<{SPAN}>"))
 

@@ -70,6 +70,17 @@ def test_added_kinds_need_their_checks(spark):
     assert rows[0]["masked"] == "iban <iban> ok"
 
 
+def test_context_reaches_across_matches(spark):
+    filler = "\U0001034d" * 250
+    rows = found(spark, [
+        "SSN: 123-45-6789, 987-65-4321", filler + " ssn 123-45-6789, 987-65-4321", "987-65-4321, 123-45-6789 ssn", "123-45-6789 " + "x" * 60 + " 987-65-4321 ssn",
+        "IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX", "DE89 3704 0044 0532 0130 00 GB29 NWBK 6016 1331 9268 19", "NO12 3456 DE89 3704 0044 0532 0130 00 EUR 12",
+    ])
+    assert [rows[i]["spans"] for i in range(7)] == [
+        "ssn:5:16,ssn:18:29", "ssn:255:266,ssn:268:279", "ssn:0:11,ssn:13:24", "ssn:73:84", "iban:5:32", "iban:0:27,iban:28:55", "iban:10:37",
+    ]
+
+
 def test_masking_joins_overlaps(spark):
     rows = found(spark, ["+4222222222222 x", "write a@b.c, 1.2.3.4 now"])
     assert rows[0]["spans"] == "phone:0:14,card:1:14" and rows[0]["masked"] == "<phone> x"
