@@ -6,6 +6,9 @@ the languages of neighbouring words are learned too, from sequences that switch
 between texts of different languages. Forward-backward gives each word a
 probability for each language; the text takes the language with the largest sum.
 
+A word of more than `LETTERS` letters, such as a run of a script without spaces, is
+cut into pieces of so many characters, and each takes a place of its own in the chain.
+
 Texts are cut into blocks of `BLOCK` words. The product of the step matrices of a
 block carries probabilities across it, so all blocks of a batch advance together
 and one very long text takes no more steps than many short ones.
@@ -31,7 +34,7 @@ UNKNOWN = "und"
 SAMPLE, LONGEST = 300, 20_000
 FEATURES = 1 << 17
 SEQUENCES, LENGTH, ROUNDS = 3_000, 48, 40
-BLOCK = 128
+BLOCK, LETTERS = 128, 64
 CACHED = 300_000
 
 
@@ -47,13 +50,20 @@ def features(word: str) -> list[int]:
     w = "".join(c for c in word.lower() if c.isalpha())
     if not w:
         return [0]
-    w = w[:64]
     edged = f"<{w}>"
     named = ["w" + w, *("p" + w[:n] for n in (1, 2, 3)), *("s" + w[-n:] for n in (1, 2, 3))]
     named += ["g" + edged[i : i + n] for n in (2, 3) for i in range(len(edged) - n + 1)]
     return [0, *(1 + xxhash.xxh32_intdigest(f) % (FEATURES - 1) for f in named)]
 
 
+def words_of(text: str) -> list[str]:
+    """The words between spaces; those of more than `LETTERS` letters in pieces."""
+    found = text.split()
+    if max(map(len, found), default=0) <= LETTERS:
+        return found
+    return [p for w in found for p in ([w[i : i + LETTERS] for i in range(0, len(w), LETTERS)] if sum(map(str.isalpha, w)) > LETTERS else [w])]
+
+
 def has_letter(word: str) -> bool:
     return any(map(str.isalpha, word))
 
@@ -83,7 +93,7 @@ def sample(df: DataFrame, key: str, text: str, lang: str) -> list[tuple[str, str
 def switching(texts: list[tuple[str, str]], labels: list[str]) -> tuple[list[list[str]], np.ndarray]:
     """Word sequences that change texts every few words, and the label of every word."""
     rng = np.random.default_rng(7)
-    split = [(labels.index(lang), w) for lang, t in texts if len(w := t.split()) > 0]
+    split = [(labels.index(lang), w) for lang, t in texts if len(w := words_of(t)) > 0]
     by_label = [[w for k, w in split if k == label] for label in range(len(labels))]
     by_label = [(k, ws) for k, ws in enumerate(by_label) if ws]
     out, truth = [], np.zeros((SEQUENCES, LENGTH), np.int64)
@@ -180,7 +190,7 @@ class Labeller:
         """Probabilities of every word of all texts, whether it has letters, and words by text."""
         if len(self.number) > CACHED:
             self.forget()
-        words = [t.split() for t in texts]
+        words = [words_of(t) for t in texts]
         counts = np.fromiter(map(len, words), np.int64, len(words))
         new = set(chain.from_iterable(words)).difference(self.number)
         if new:
@@ -245,7 +255,7 @@ def train(df: DataFrame, key: str, text: str, lang: str) -> Model:
 def label(df: DataFrame, text: str, model: Model, keep: list[str]) -> DataFrame:
     """The columns `keep` and `lang_pred, score, n_words, runs` of every row.
 
-    `score` is the mean probability of that language over the words with letters;
+    Words are those of `words_of`. `score` is the mean probability of that language over the words with letters;
     `runs` are the languages of consecutive words, (lang, n_words), in order. Null
     texts and those without letters are `und` with score 0.
     """

@@ -131,6 +131,15 @@ def test_texts_without_letters_or_labels(spark):
     assert {r["lang_pred"] for r in nothing} == {"und"}
 
 
+def test_long_runs_are_judged_whole(spark):
+    model = langid.fit([("de", "und sie der die das ist nicht " * 5), ("en", "the of and is was it not " * 5)])
+    run = "the" * 20 + "undsiederdieistnicht" * 40
+    rows = langid.label(spark.createDataFrame([(1, run), (2, "-" * 90 + "the")], "doc_id long, text string"), "text", model, ["doc_id"]).collect()
+    got = {r["doc_id"]: r for r in rows}
+    assert got[1]["lang_pred"] == "de" and got[1]["n_words"] == -(-len(run) // 64) and len(got[1]["runs"]) > 1
+    assert got[2]["lang_pred"] == "en" and got[2]["n_words"] == 1
+
+
 def test_blocks_give_the_plain_forward_backward():
     rng = np.random.default_rng(3)
     model = langid.Model(["a", "b", "c"], np.zeros((langid.FEATURES, 3), np.float32), rng.normal(size=(3, 3)).astype(np.float32))
