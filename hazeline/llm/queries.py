@@ -43,7 +43,7 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = lines.deduplicate(documents(spark, sf_dir), "doc_id", "text")
+    cleaned = lines.deduplicate(documents(spark, sf_dir), "doc_id", "text", short=True)
     return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 

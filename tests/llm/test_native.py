@@ -201,3 +201,10 @@ def test_lines_of_any_length_match_edit_similarity_alone(spark):
     df = spark.createDataFrame(rows, "key long, text string")
     got = {r["key"] for r in lines.find_copies(df, "key", "text").collect()}
     assert got == {k for k, v in first.items() if v != k} and len(got) > 150
+
+
+def test_short_copies_and_unspaced_lines(spark):
+    han = "今天天气很好我们一起去公园散步吧然后回家吃饭"
+    rows = [(1, "All rights reserved.\n}\n" + han), (2, "all rights reserved\n}\n" + han.replace("公", "花")), (3, "some rights reserved\n\n"), (4, "\n" + han[:3])]
+    df = spark.createDataFrame(rows, "key long, text string")
+    assert {(r["key"], r["line_no"]) for r in lines.find_copies(df, "key", "text", short=True).collect()} == {(2, 0), (2, 2)}
