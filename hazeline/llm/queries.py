@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazeline.llm import bpe, langid, licences, lines, minhash, neighbours, packing, pii, quality, suffixes
+from hazeline.llm import audit, bpe, langid, licences, lines, middle, minhash, neighbours, packing, pii, quality, suffixes, threshold
 from hazeline.llm.oracles import ORACLES
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -90,4 +90,24 @@ def op10_licence_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "licence", "score", "n_matches", F.col("matches.licence").alias("licences"), F.col("matches.first_line").alias("first_lines"))
 
 
+@query
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return audit.audit(documents(spark, sf_dir), labels, "doc_id", "text", "source")
+
+
+@query
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = middle.fill_in_middle(documents(spark, sf_dir), "doc_id", "text")
+    back = middle.restore(made, "output", "form")
+    digests = [F.sha2(F.col(c), 256).alias(f"{c}_sha256") for c in ("output", "restored")]
+    return back.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+@query
+def op13_threshold_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return threshold.search(vectors, "vec_id", "embedding", vectors.where("vec_id % 50 = 0"), k=5, scale=256)
+
+
 __all__ = ["ORACLES", "QUERIES"]
