@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from hazeline import schemas as S
 from hazeline.operators.joins import seasonal_lookup
 from hazeline.operators.ordered import over_series, series_index
+from hazeline.session import materialize
 
 HORIZON_HOURS = (6, 12, 24, 48, 72)
 PERSISTENCE = "Persistence Baseline"
@@ -85,7 +86,8 @@ def _with_targets(df: DataFrame, horizons: Sequence[int]) -> DataFrame:
         return _rolling_naive(frame, by).withColumns({f"_y{h}": F.lead("aqi", h).over(w) for h in horizons})
 
     placed = series_index(base, S.SERIES, [S.TIME])
-    wide = over_series(placed, S.SERIES, [S.TIME], 168, max(horizons), add, size_of=base)
+    # Written once, because test and training rows are both read from it.
+    wide = materialize(over_series(placed, S.SERIES, [S.TIME], 168, max(horizons), add, size_of=base), "targets")
     cut = F.floor(F.col("n_rows") * F.lit(TRAIN_VAL_SHARE))
     targets = F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"_y{h}").alias("y")) for h in horizons])
     return (

@@ -1,15 +1,15 @@
-"""Ordered computation over series of any length.
-
-A window partitioned by city puts a whole city in one task. That is the plan
-of choice while the longest series is known to fit; one grouped count decides.
-Beyond the limit the same results come from two levels: the rows are range
-partitioned by (series, order), each part is processed on its own, and one
-small row per part carries totals or last values across the parts.
+"""Ordered computation over series of any length, in one plan for all sizes.
+
+No series is ever one task. Row-offset windows and positions rest on a small table
+of the days of a series: rows per day, counted and added up, give each day its
+place, and from that its block and the blocks whose windows reach into it. Running
+totals and nearest values, whose order need not be time, rest on a range
+partitioning by (series, order), with one small row per part that carries totals or last
+values across the parts.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,24 +17,11 @@ from pyspark.sql import functions as F
 
 from hazeline.session import materialize
 
-ROW_LIMIT_CONF = "hazeline.series.maxRowsPerTask"
-ROW_LIMIT = 4_000_000
-PART = "_part"
-
-
-def row_limit(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get(ROW_LIMIT_CONF, str(ROW_LIMIT)))
-
-
-def _sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
-    counts = df.groupBy(*keys).count()
-    row = counts.agg(F.max("count"), F.sum("count")).first()
-    return int(row[0] or 0), int(row[1] or 0)
-
-
-def fits_one_task(df: DataFrame, keys: Sequence[str]) -> bool:
-    """Whether every group of `keys` is small enough for a single window task."""
-    return _sizes(df, keys)[0] <= row_limit(df)
+#: Rows of a block. A block also holds the rows before and after it that its windows need.
+BLOCK_ROWS = 50_000
+#: Blocks are so many times longer than what their windows reach over, at least.
+REACHES = 4
+PART, DAY, BLOCK = "_part", "_day", "_block"
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -48,13 +35,21 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     return joined.drop(*[f"_r_{k}" for k in keys])
 
 
-def _spread(df: DataFrame, keys: Sequence[str], order: Sequence[str], total: int) -> DataFrame:
+def _days(df: DataFrame, keys: Sequence[str], time: str) -> DataFrame:
+    """`keys, _day, _n, _before, _total`: rows of each day, of all days before it, and of the series."""
+    counts = df.groupBy(*keys, F.to_date(time).alias(DAY)).agg(F.count("*").alias("_n"))
+    series = Window.partitionBy(*keys)
+    upto = F.sum("_n").over(series.orderBy(DAY).rowsBetween(Window.unboundedPreceding, 0))
+    return counts.withColumns({"_before": upto - F.col("_n"), "_total": F.sum("_n").over(series)})
+
+
+def _spread(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Range-partition by (keys, order) and record the part of every row.
 
     The parts are written out, so the part ids do not change when a lost task
     is run again.
     """
-    parts = max(2, math.ceil(2 * total / row_limit(df)))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = df.repartitionByRange(parts, *keys, *order).withColumn(PART, F.spark_partition_id())
     return materialize(placed, "ordered")
 
@@ -62,22 +57,18 @@ def _spread(df: DataFrame, keys: Sequence[str], order: Sequence[str], total: int
 def running_sum(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: dict[str, Column | str]
 ) -> DataFrame:
-    """Add inclusive running totals `{name: value}` in `order` within `keys`.
+    """Add inclusive running totals `{name: value}` in `order` within `keys`, and `<name>_total` of all of them.
 
     `order` must be unique within `keys`.
     """
     keys, order = list(keys), list(order)
-    longest, total = _sizes(df, keys)
     values = {name: F.col(v) if isinstance(v, str) else v for name, v in sums.items()}
-    if longest <= row_limit(df):
-        upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumns({name: F.sum(v).over(upto) for name, v in values.items()})
-
-    parts = _spread(df, keys, order, total)
+    parts = _spread(df, keys, order)
     per_part = parts.groupBy(*keys, PART).agg(*[F.sum(v).alias(f"_sum_{n}") for n, v in values.items()])
     earlier = Window.partitionBy(*keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_part.select(
-        *keys, PART, *[F.coalesce(F.sum(f"_sum_{n}").over(earlier), F.lit(0)).alias(f"_off_{n}") for n in values]
+        *keys, PART, *[F.coalesce(F.sum(f"_sum_{n}").over(earlier), F.lit(0)).alias(f"_off_{n}") for n in values],
+        *[F.sum(f"_sum_{n}").over(Window.partitionBy(*keys)).alias(f"{n}_total") for n in values],
     )
     upto = Window.partitionBy(*keys, PART).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     joined = join_on(parts, offsets, [*keys, PART])
@@ -86,18 +77,14 @@ def running_sum(
     ).drop(PART, *[f"_off_{n}" for n in values])
 
 
-def row_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "row_index") -> DataFrame:
-    """Add the 1-based position of each row of its series."""
-    return running_sum(df, keys, order, {name: F.lit(1).cast("long")})
-
-
 def series_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], bounded: bool = False) -> DataFrame:
-    """Add `row_index` (from 1) and `n_rows` of each row's series.
+    """Add `row_index` (from 1) and `n_rows` of each row's series, ordered by time first.
 
-    `bounded` skips the measurement for series whose length the data model
+    `bounded` takes plain windows, for series whose length the data model
     limits, such as the days of a city.
     """
-    if bounded or fits_one_task(df, keys):
+    keys = list(keys)
+    if bounded:
         whole = Window.partitionBy(*keys)
         return df.withColumns(
             {
@@ -105,40 +92,25 @@ def series_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], bound
                 "n_rows": F.count("*").over(whole),
             }
         )
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("n_rows"))
-    return join_on(row_index(df, keys, order), sizes, list(keys))
+    dated = df.withColumn(DAY, F.to_date(order[0]))
+    placed = join_on(dated, _days(df, keys, order[0]).drop("_n"), [*keys, DAY])
+    within = F.row_number().over(Window.partitionBy(*keys, DAY).orderBy(*order))
+    return placed.withColumns(
+        {"row_index": F.col("_before") + within, "n_rows": F.col("_total")}
+    ).drop(DAY, "_before", "_total")
 
 
 def neighbours(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, before: str, after: str,
-    size_of: DataFrame | None = None,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, before: str, after: str
 ) -> DataFrame:
     """Add the last non-null `value` at or before and the first at or after each row."""
     keys, order = list(keys), list(order)
     backwards = [F.col(c).desc() for c in order]
-    longest, total = _sizes(df if size_of is None else size_of, keys)
-
-    def nearest_within(frame: DataFrame, by: Sequence[str]) -> DataFrame:
-        ahead = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        behind = Window.partitionBy(*by).orderBy(*backwards).rowsBetween(Window.unboundedPreceding, 0)
-        return frame.withColumns(
-            {before: F.last(value, True).over(ahead), after: F.last(value, True).over(behind)}
-        )
-
-    if longest <= row_limit(df):
-        return nearest_within(df, keys)
-
-    parts = _spread(df, keys, order, total)
-    held = parts.filter(F.col(value).isNotNull())
-    position = F.struct(*order)
-    ends = parts.select(*keys, PART).distinct()
-    ends = join_on(
-        ends,
-        held.groupBy(*keys, PART).agg(
-            F.max_by(value, position).alias("_last"), F.min_by(value, position).alias("_first")
-        ),
-        [*keys, PART],
-        "left",
+    parts = _spread(df, keys, order)
+    held = F.col(value).isNotNull()
+    position = F.when(held, F.struct(*order))
+    ends = parts.groupBy(*keys, PART).agg(
+        F.max_by(value, position).alias("_last"), F.min_by(value, position).alias("_first")
     )
     earlier = Window.partitionBy(*keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
     later = Window.partitionBy(*keys).orderBy(F.col(PART).desc()).rowsBetween(Window.unboundedPreceding, -1)
@@ -147,15 +119,43 @@ def neighbours(
         F.last("_last", True).over(earlier).alias("_carry_before"),
         F.last("_first", True).over(later).alias("_carry_after"),
     )
-    joined = join_on(nearest_within(parts, [*keys, PART]), carried, [*keys, PART])
+    by = [*keys, PART]
+    ahead = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    behind = Window.partitionBy(*by).orderBy(*backwards).rowsBetween(Window.unboundedPreceding, 0)
+    joined = join_on(parts, carried, by)
     return joined.withColumns(
         {
-            before: F.coalesce(before, "_carry_before"),
-            after: F.coalesce(after, "_carry_after"),
+            before: F.coalesce(F.last(value, True).over(ahead), "_carry_before"),
+            after: F.coalesce(F.last(value, True).over(behind), "_carry_after"),
         }
     ).drop(PART, "_carry_before", "_carry_after")
 
 
+def in_blocks(
+    df: DataFrame, keys: Sequence[str], time: str, back: int, ahead: int, size_of: DataFrame | None = None
+) -> DataFrame:
+    """The rows of every block, with `_block` and `_own`.
+
+    Days are the unit: a day belongs to the block in which it starts and is copied to
+    each block that has a row at most `back` rows after it or `ahead` rows before it.
+    In a block, the rows around its own ones stand complete, so row-offset
+    windows are right for the rows with `_own` = `_block`. `size_of` is a frame
+    with the same series that is cheaper to count than `df`.
+    """
+    keys = list(keys)
+    size = max(BLOCK_ROWS, REACHES * (back + ahead))
+    own = F.floor(F.col("_before") / size)
+    days = _days(df if size_of is None else size_of, keys, time).withColumn("_own", own)
+    first = F.col("_own")
+    if ahead:
+        reached = Window.partitionBy(*keys).orderBy("_before").rangeBetween(Window.unboundedPreceding, -ahead)
+        first = F.coalesce(F.max("_own").over(reached), F.lit(0).cast("long"))
+    last = F.floor((F.col("_before") + F.col("_n") - 1 + back) / size) if back else F.col("_own")
+    spans = days.select(*keys, DAY, "_own", F.sequence(first, last).alias(BLOCK))
+    dated = df.withColumn(DAY, F.to_date(time))
+    return join_on(dated, spans, [*keys, DAY]).drop(DAY).withColumn(BLOCK, F.explode(BLOCK))
+
+
 def over_series(
     df: DataFrame,
     keys: Sequence[str],
@@ -168,32 +168,11 @@ def over_series(
     """Apply row-offset windows to every series, however long.
 
     `add_columns(frame, by)` adds columns whose windows are partitioned by `by`
-    and look at most `back` rows back and `ahead` rows ahead. A series beyond
-    the row limit is cut into blocks of equal row count, and each block gets
-    copies of just the neighbouring rows its windows reach into. `size_of` is a
-    frame with the same series that is cheaper to count than `df`.
+    and look at most `back` rows back and `ahead` rows ahead. Series are ordered
+    by time first and cut into blocks.
     """
-    keys, order = list(keys), list(order)
-    if fits_one_task(df if size_of is None else size_of, keys):
-        return add_columns(df, keys)
-    size = max(row_limit(df), back, ahead, 1)
-    position = (F.col("_row") - 1) % size
-    own = F.floor((F.col("_row") - 1) / size)
-    blocks = F.array(
-        own,
-        F.when(position >= size - back, own + 1),
-        F.when((position < ahead) & (own > 0), own - 1),
-    )
-    copies = (
-        row_index(df, keys, order, "_row")
-        .withColumn("_own", own)
-        .withColumn("_block", F.explode(F.array_compact(blocks)))
-    )
-    return (
-        add_columns(copies, [*keys, "_block"])
-        .filter(F.col("_block") == F.col("_own"))
-        .drop("_row", "_own", "_block")
-    )
+    copies = in_blocks(df, keys, order[0], back, ahead, size_of)
+    return add_columns(copies, [*keys, BLOCK]).filter(F.col(BLOCK) == F.col("_own")).drop("_own", BLOCK)
 
 
 def keep_last(df: DataFrame, keys: Sequence[str], order: str | Sequence[str]) -> DataFrame:

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hazeline import schemas as S
 from hazeline.operators.moments import pair_moments
-from hazeline.operators.ordered import join_on, over_series
+from hazeline.operators.ordered import BLOCK, in_blocks, join_on, over_series
 from hazeline.operators.ranks import ks_two_sample, long_form, quantiles
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
@@ -289,23 +291,27 @@ def distribution_shift(df: DataFrame, columns: Sequence[str], split: str = "spli
 def acf(df: DataFrame, lags: int = 72, value: str = "aqi") -> DataFrame:
     """(city, lag, acf): autocorrelation at row lags 1..lags.
 
-    Products of centred values are summed per lag and divided by the total sum
-    of squares (1 when that is zero).
+    Each block of a series sums the products of its centred values with those up to
+    `lags` rows before, missing ones as nothing; the few sums per block are added up and
+    divided by the sum of squares (1 when that is zero).
     """
     means = df.groupBy("city").agg(F.avg(value).alias("_mean"))
     centred = join_on(df.select("city", S.TIME, value), means, ["city"]).select(
         "city", S.TIME, (F.col(value) - F.col("_mean")).alias("_x")
     )
 
-    def add(frame: DataFrame, by: list[str]) -> DataFrame:
-        w = Window.partitionBy(*by).orderBy(S.TIME)
-        return frame.withColumns({f"_p{k}": F.col("_x") * F.lag("_x", k).over(w) for k in range(1, lags + 1)})
-
-    products = over_series(centred, S.SERIES, [S.TIME], lags, 0, add, size_of=df)
-    sums = products.groupBy("city").agg(
-        F.sum(F.col("_x") * F.col("_x")).alias("_ss"),
-        *[F.coalesce(F.sum(f"_p{k}"), F.lit(0.0)).alias(f"_s{k}") for k in range(1, lags + 1)],
-    )
-    total = F.when(F.col("_ss") == 0, 1.0).otherwise(F.col("_ss"))
+    def products(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(S.TIME, kind="stable", na_position="first")
+        x, own = pdf["_x"].to_numpy(), (pdf[BLOCK] == pdf["_own"]).to_numpy()
+        known = bool((own & ~np.isnan(x)).any())
+        x = np.nan_to_num(x)
+        sums = [float((x[k:] * x[: len(x) - k])[own[k:]].sum()) for k in range(min(lags + 1, len(x)))]
+        return pd.DataFrame({"city": pdf["city"].iloc[:1], "_s": [sums + [0.0] * (lags + 1 - len(sums))], "_known": [known]})
+
+    city = df.schema["city"].dataType.simpleString()
+    per_block = in_blocks(centred, S.SERIES, S.TIME, lags, 0, size_of=df).groupBy("city", BLOCK).applyInPandas(products, f"city {city}, _s array<double>, _known boolean")
+    sums = per_block.groupBy("city").agg(F.max("_known").alias("_known"), *[F.sum(F.col("_s")[k]).alias("_ss" if k == 0 else f"_s{k}") for k in range(lags + 1)])
+    # Without any value there is no autocorrelation either.
+    total = F.when(F.col("_known"), F.when(F.col("_ss") == 0, 1.0).otherwise(F.col("_ss")))
     entries = F.array(*[F.struct(F.lit(k).alias("lag"), (F.col(f"_s{k}") / total).alias("acf")) for k in range(1, lags + 1)])
     return sums.select("city", F.explode(entries).alias("_e")).select("city", "_e.*")

@@ -2,19 +2,20 @@
 
 `percentile` keeps a column's distinct values in one task. Here the values are
 first reduced to (key, value, count), and ranks come from running totals that
-split a long column over many tasks. The reduced table is written once, because
-sizes and totals read it again.
+split a long column over many tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from hazeline.operators.ordered import join_on, running_sum
-from hazeline.session import materialize
+from hazeline.operators.ordered import running_sum
 
 
 def long_form(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -26,12 +27,9 @@ def long_form(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -
 def quantiles(values: DataFrame, keys: Sequence[str], probabilities: dict[str, float], value: str = "value") -> DataFrame:
     """Linearly interpolated quantiles `{name: p}` of `value` per key, plus `n`."""
     keys = list(keys)
-    counts = materialize(
-        values.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n")), "counts"
-    )
+    counts = values.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
     ranked = running_sum(counts, keys, [value], {"_upto": "_n"})
-    sizes = counts.groupBy(*keys).agg(F.sum("_n").alias("n"))
-    placed = join_on(ranked, sizes, keys)
+    placed = ranked.withColumnRenamed("_upto_total", "n")
 
     def at_rank(rank: Column) -> Column:
         holds = (F.col("_upto") - F.col("_n") <= rank) & (rank < F.col("_upto"))
@@ -54,19 +52,50 @@ def quantiles(values: DataFrame, keys: Sequence[str], probabilities: dict[str, f
 def ks_two_sample(values: DataFrame, key: str, first: Column, second: Column, value: str = "value") -> DataFrame:
     """Kolmogorov-Smirnov distance of two samples per key.
 
-    `first` and `second` are boolean columns naming the samples. The p-value is
-    the asymptotic one.
+    `first` and `second` are boolean columns naming the samples. The p-value is exact
+    while both samples have at most EXACT_VALUES values, asymptotic beyond.
     """
-    counts = materialize(
-        values.groupBy(key, value).agg(F.count_if(first).alias("_a"), F.count_if(second).alias("_b")), "counts"
-    )
+    counts = values.groupBy(key, value).agg(F.count_if(first).alias("_a"), F.count_if(second).alias("_b"))
     ranked = running_sum(counts, [key], [value], {"_upto_a": "_a", "_upto_b": "_b"})
-    sizes = counts.groupBy(key).agg(F.sum("_a").alias("n_first"), F.sum("_b").alias("n_second"))
+    sized = ranked.withColumnsRenamed({"_upto_a_total": "n_first", "_upto_b_total": "n_second"})
     distance = F.abs(
         F.try_divide(F.col("_upto_a"), F.col("n_first")) - F.try_divide(F.col("_upto_b"), F.col("n_second"))
     )
-    result = join_on(ranked, sizes, [key]).groupBy(key, "n_first", "n_second").agg(F.max(distance).alias("ks_stat"))
-    return result.withColumn("ks_pvalue", ks_pvalue(F.col("ks_stat"), F.col("n_first"), F.col("n_second")))
+    result = sized.groupBy(key, "n_first", "n_second").agg(F.max(distance).alias("ks_stat"))
+    stat, n, m = F.col("ks_stat"), F.col("n_first"), F.col("n_second")
+    return result.withColumn("ks_pvalue", F.coalesce(_exact_pvalues(stat, n, m), ks_pvalue(stat, n, m)))
+
+
+#: Fixed value: samples up to this size have exact p-values.
+EXACT_VALUES = 10_000
+
+
+def exact_pvalue(distance: float, n: int, m: int) -> float:
+    """Share of the orders of n and m values whose distribution functions differ by `distance` or more somewhere.
+
+    An order is a path over the lattice of (values of the first, of the second sample) so far. The
+    share of paths to a point that have already strayed that far is 1 if the point itself has, else
+    the mean of its two predecessors, weighted by the paths that come from each. Points with the
+    same total are one step.
+    """
+    n, m = min(n, m), max(n, m)
+    least = round(distance * n * m)
+    i = np.arange(n + 1, dtype=np.int64)
+    strayed = np.zeros(n + 1)
+    strayed[0] = float(least <= 0)
+    for total in range(1, n + m + 1):
+        j = total - i
+        via_first = np.concatenate([[0.0], strayed[:-1]]) * i
+        strayed = np.where(np.abs(i * m - j * n) >= least, 1.0, (via_first + strayed * np.maximum(j, 0)) / total)
+    return float(strayed[n])
+
+
+@F.pandas_udf(T.DoubleType())
+def _exact_pvalues(distance: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+    """One value per column of a table, null where a sample is large or empty."""
+    return pd.Series(
+        [exact_pvalue(d, int(a), int(b)) if 0 < a <= EXACT_VALUES and 0 < b <= EXACT_VALUES else None for d, a, b in zip(distance, n, m, strict=True)], dtype="float64"
+    )
 
 
 KS_TERMS = 100

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from hazeline import schemas as S
 from hazeline.operators.metrics import forecast_metrics
 from hazeline.operators.moments import centres, constants, cross_products
-from hazeline.operators.ordered import join_on, running_sum
+from hazeline.operators.ordered import join_on
 from hazeline.operators.splits import walk_forward_blocks
 from hazeline.session import materialize
 
@@ -180,8 +180,9 @@ def walk_forward_ridge(
     blocks = materialize(walk_forward_blocks(rows, names, step, min_train, by), "blocks")
     shift, unit = constants(names, centres(blocks, names))
     per_block = materialize(cross_products(blocks, [*by, "block"], names, shift, unit), "block_sums")
-    upto = running_sum(per_block, [*by, "pos"], ["block"], {"_upto": "v"})
-    before = upto.select(*by, (F.col("block") + 1).alias("block"), "pos", F.col("_upto").alias("v"))
+    # One row for every `step` rows of a series.
+    upto = Window.partitionBy(*by, "pos").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
+    before = per_block.select(*by, (F.col("block") + 1).alias("block"), "pos", F.sum("v").over(upto).alias("v"))
     models = solve_ridge(before, [*by, "block"], names, columns, target, [alpha], shift, unit)
     return predict_linear(blocks.filter(F.col("block") >= 0), models, columns, [*by, "block"])
 

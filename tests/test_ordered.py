@@ -1,4 +1,4 @@
-"""Series operators give the same results whole and split over tasks."""
+"""Series operators give the same results for blocks of any size, and match plain loops."""
 
 import datetime as dt
 import random
@@ -6,8 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from hazeline.operators import features, joins, metrics, profile, splits
-from hazeline.operators.ordered import ROW_LIMIT_CONF, keep_last, neighbours, row_index, running_sum
+from hazeline.operators import features, joins, metrics, ordered, profile, splits
+from hazeline.operators.ordered import in_blocks, keep_last, neighbours, running_sum, series_index
 from hazeline.operators.ranks import quantiles
 
 START = dt.datetime(2026, 1, 1, tzinfo=dt.timezone.utc)
@@ -26,13 +26,6 @@ def skewed(spark):
     return spark.createDataFrame(rows, schema).repartition(5).cache()
 
 
-@pytest.fixture()
-def split_limit(spark):
-    spark.conf.set(ROW_LIMIT_CONF, "200")
-    yield
-    spark.conf.unset(ROW_LIMIT_CONF)
-
-
 def rows_of(df):
     def plain(v):
         return round(v, 7) if isinstance(v, float) else v
@@ -44,7 +37,7 @@ CASES = {
     "features": lambda d: features.series_features(d, 24),
     "target": lambda d: features.target_ahead(d, 72),
     "rolling": metrics.rolling_naive,
-    "index": lambda d: row_index(d, ["city"], ["collection_timestamp"]),
+    "index": lambda d: series_index(d, ["city"], ["collection_timestamp"]),
     "split": splits.split_three,
     "folds": lambda d: splits.ts_cv_folds(d, 5, 10),
     "blocks": lambda d: splits.walk_forward_blocks(d, ["temperature"], 30, 20),
@@ -57,20 +50,60 @@ CASES = {
 }
 
 
-@pytest.mark.parametrize("name", [n for n in CASES if n != "split"] + ["split"])
-def test_split_series_equal_whole_series(spark, skewed, name):
+@pytest.mark.parametrize("name", list(CASES))
+def test_small_blocks_equal_one_block(monkeypatch, skewed, name):
     source = skewed.filter("city <> 'tiny'") if name == "split" else skewed
-    spark.conf.unset(ROW_LIMIT_CONF)
     whole = rows_of(CASES[name](source))
-    spark.conf.set(ROW_LIMIT_CONF, "200")
-    try:
-        parted = rows_of(CASES[name](source))
-    finally:
-        spark.conf.unset(ROW_LIMIT_CONF)
-    assert whole and parted == whole
+    monkeypatch.setattr(ordered, "BLOCK_ROWS", 30)
+    monkeypatch.setattr(ordered, "REACHES", 1)
+    assert whole and rows_of(CASES[name](source)) == whole
+
+
+@pytest.mark.parametrize(("back", "ahead"), [(0, 0), (7, 0), (0, 9), (30, 30), (100, 3)])
+def test_blocks_hold_what_their_windows_reach(spark, monkeypatch, back, ahead):
+    monkeypatch.setattr(ordered, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(ordered, "REACHES", 1)
+    rng = random.Random(back + ahead)
+    days = [d for d in range(120) for _ in range(rng.choice([0, 0, 1, 3, 3, 60]))]
+    rows = [("c", START + dt.timedelta(days=d, seconds=i), i) for i, d in enumerate(days)] + [(None, START, 0), (None, None, -1)]
+    df = spark.createDataFrame(rows, "city string, collection_timestamp timestamp, i int")
+    held = {}
+    for r in in_blocks(df, ["city"], "collection_timestamp", back, ahead).collect():
+        held.setdefault((r.city, r["_block"]), []).append((r.i, r["_own"] == r["_block"]))
+    own = [i for (city, _), block in held.items() if city for i, mine in block if mine]
+    assert sorted(own) == list(range(len(days)))
+    for (city, _), block in held.items():
+        if city and any(mine for _, mine in block):
+            there = {i for i, _ in block}
+            for i, mine in block:
+                assert not mine or there.issuperset(range(max(0, i - back), min(len(days), i + ahead + 1)))
+    assert len([b for b in held if b[0]]) > 3
+    assert sorted(i for (city, _), block in held.items() if city is None for i, mine in block if mine) == [-1, 0]
+
+
+def test_positions_match_a_plain_count(skewed):
+    got = {(r.city, r.collection_timestamp): (r.row_index, r.n_rows) for r in series_index(skewed, ["city"], ["collection_timestamp"]).collect()}
+    keys = sorted(got)
+    assert len(keys) == 943
+    for city, n in (("big", 900), ("small", 40), ("tiny", 3)):
+        assert [got[k] for k in keys if k[0] == city] == [(i + 1, n) for i in range(n)]
+
+
+def test_autocorrelation_matches_numpy(spark, skewed):
+    import numpy as np
+
+    got = {(r.city, r.lag): r.acf for r in profile.acf(skewed, 5).collect()}
+    for city in ("big", "small", "tiny"):
+        x = [r.aqi for r in sorted(skewed.collect(), key=lambda r: r.collection_timestamp) if r.city == city]
+        mean = np.mean([v for v in x if v is not None])
+        x = np.array([0.0 if v is None else v - mean for v in x])
+        for k in range(1, 6):
+            assert got[city, k] == pytest.approx((x[k:] * x[:-k]).sum() / (x * x).sum())
+    empty = spark.createDataFrame([("c", START, None)], "city string, collection_timestamp timestamp, aqi double")
+    assert [r.acf for r in profile.acf(empty, 2).collect()] == [None, None]
 
 
-def test_running_sum_counts_null_as_nothing(spark, skewed, split_limit):
+def test_running_sum_counts_null_as_nothing(skewed):
     got = running_sum(skewed, ["city"], ["collection_timestamp"], {"total": "temperature", "n": F.lit(1)})
     expected, seen = {}, {}
     for r in sorted(skewed.collect(), key=lambda r: (r.city, r.collection_timestamp)):
@@ -80,7 +113,7 @@ def test_running_sum_counts_null_as_nothing(spark, skewed, split_limit):
         assert r.total == pytest.approx(expected[(r.city, r.collection_timestamp)])
 
 
-def test_neighbours_split(spark, skewed, split_limit):
+def test_neighbours_split(skewed):
     got = neighbours(skewed, ["city"], ["collection_timestamp"], "pm10", "before", "after")
     ordered = sorted(skewed.collect(), key=lambda r: (r.city, r.collection_timestamp))
     for r in got.collect():
@@ -89,22 +122,16 @@ def test_neighbours_split(spark, skewed, split_limit):
         assert (r.before, r.after) == (past[-1] if past else None, next_[0] if next_ else None)
 
 
-@pytest.mark.parametrize("limit", [None, "150"])
-def test_nearest_equals_brute_force(spark, limit):
+def test_nearest_equals_brute_force(spark):
     rng = random.Random(3)
     at = lambda: START + dt.timedelta(minutes=10 * rng.randrange(2000))
     requests = [(rng.choice(["hot", "hot", "cold"]), at(), i) for i in range(300)]
     measured = [(rng.choice(["hot", "hot", "cold", "none"]), at(), i, float(i)) for i in range(250)]
-    if limit:
-        spark.conf.set(ROW_LIMIT_CONF, limit)
-    try:
-        got = joins.nearest_measurement(
-            spark.createDataFrame(requests, "sensor string, collection_timestamp timestamp, request long"),
-            spark.createDataFrame(measured, "sensor string, collection_timestamp timestamp, seq long, value double"),
-            ["sensor"], hours=6,
-        ).collect()
-    finally:
-        spark.conf.unset(ROW_LIMIT_CONF)
+    got = joins.nearest_measurement(
+        spark.createDataFrame(requests, "sensor string, collection_timestamp timestamp, request long"),
+        spark.createDataFrame(measured, "sensor string, collection_timestamp timestamp, seq long, value double"),
+        ["sensor"], hours=6,
+    ).collect()
     assert len(got) == len(requests)
     wanted = {r[2]: r for r in requests}
     for r in got:

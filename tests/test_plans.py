@@ -29,22 +29,48 @@ def orders(spark, small):
     return station(spark, small)
 
 
-def test_series_features_share_one_shuffle_and_sort(rows):
+@pytest.fixture()
+def no_broadcast(spark):
+    """Joins as they are when no side is small."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_series_features_sort_their_rows_once(rows):
     text = plan(features.series_features(rows))
-    assert text.count("Exchange hashpartitioning") == 1 and text.count("Sort [") == 1
+    # Of the rows themselves; the small table of days is grouped and sorted beside them.
+    assert text.count("Exchange hashpartitioning(city") == 3 and "_block" in text
+    assert len([line for line in text.splitlines() if "Sort [city" in line and "_block" in line]) == 1
+    assert "CartesianProduct" not in text and "NestedLoop" not in text
+
 
+def test_series_plans_run_nothing_before_they_are_asked(spark, rows):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("lazy", "plans only")
+    try:
+        plan(features.series_features(rows))
+        plan(splits.split_three(rows))
+        assert not tracker.getJobIdsForGroup("lazy")
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
 
-def test_feature_table_needs_no_second_shuffle(rows):
-    assert shuffles(features.build_features(rows)) == 1
+
+def test_large_series_are_dealt_by_day_then_by_block(rows, no_broadcast):
+    text = plan(features.series_features(rows))
+    assert "BroadcastHashJoin" not in text and "SortMergeJoin" in text
+    dealt = [line for line in text.splitlines() if "Exchange hashpartitioning" in line]
+    assert sum("_block" in line for line in dealt) == 1 and not any("hashpartitioning(city" in line and "_day" not in line and "_block" not in line and "aqi" in line for line in dealt)
 
 
 def test_daily_features_shuffle_once_to_aggregate_and_once_for_windows(orders):
     assert shuffles(daily.daily_features(orders)) == 2
 
 
-def test_split_of_measured_series_joins_nothing(rows):
+def test_a_split_numbers_rows_within_days(rows):
     text = plan(splits.split_three(rows))
-    assert "Join" not in text and text.count("Exchange hashpartitioning") == 1
+    windows = [line for line in text.splitlines() if "Window [row_number" in line]
+    assert windows and all("_day" in line.split("windowspecdefinition(")[1].split(" ASC")[0] for line in windows)
 
 
 def test_dedupe_reduces_before_the_shuffle(rows):
@@ -91,7 +117,9 @@ def test_nearest_forms_no_pairs(rows):
     near = joins.nearest_in_time(
         rows.select("city", "collection_timestamp", "user_id"), rows.select("city", "collection_timestamp", "aqi", F.col("ingest_seq").alias("seq")), ["city"]
     )
-    assert "Join" not in plan(near)
+    text = plan(near)
+    # The one join brings what the parts before and after a part hold.
+    assert text.count("HashJoin") + text.count("MergeJoin") <= 2 and "_part" in text and "NestedLoop" not in text
 
 
 def test_anti_join_and_fallback_shapes(rows):
