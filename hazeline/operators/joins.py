@@ -35,8 +35,8 @@ def wmo_lookup(code: Column) -> Column:
     return F.when(code.isNull(), "N/A").otherwise(F.coalesce(F.try_element_at(table, code.cast("int")), F.lit("Unknown")))
 
 
-def _observation(weather: DataFrame) -> list[Column]:
-    """Observation columns of a pair: `w` is the weather side, `a` the other."""
+def observation_of(weather: Sequence[str]) -> list[Column]:
+    """Observation columns of a pair: `w` is the weather side with the columns `weather`, `a` the other."""
     labels = {"weather_source": "w.source", "aqi_source": "a.source"}
     from_aqi = ("aqi", "pm2_5", *S.OPTIONAL_FIELDS)
 
@@ -45,7 +45,7 @@ def _observation(weather: DataFrame) -> list[Column]:
             return F.col(labels[name])
         if name in from_aqi:
             return F.col(f"a.{name}")
-        if name in weather.columns:
+        if name in weather:
             return F.col(f"w.{name}")
         if name == "timestamp":
             return F.date_format(F.col(f"w.{S.TIME}"), "yyyy-MM-dd'T'HH:mm:ssXXX")
@@ -65,7 +65,7 @@ def merge_weather_aqi(weather: DataFrame, aqi: DataFrame, on: Sequence[str] = S.
     air-quality side; each side's `source` label is kept. `on` may name the
     requested place when providers call it differently.
     """
-    return _paired(weather, aqi, on).select(*_observation(weather))
+    return _paired(weather, aqi, on).select(*observation_of(weather.columns))
 
 
 def bronze_records(weather: DataFrame, aqi: DataFrame, on: Sequence[str] = S.KEY) -> DataFrame:
@@ -78,7 +78,7 @@ def bronze_records(weather: DataFrame, aqi: DataFrame, on: Sequence[str] = S.KEY
         *[F.col(f"w.{k}").alias(k) for k in on],
         whole("w", weather).alias("weather_raw"),
         whole("a", aqi).alias("aqi_raw"),
-        F.struct(*_observation(weather)).alias("merged"),
+        F.struct(*observation_of(weather.columns)).alias("merged"),
     )
 
 
@@ -143,8 +143,7 @@ def nearest_in_time(
         first.select(*keys, F.col(time).alias("_at"), F.lit(0).alias("_kind"), F.lit(0).cast("long").alias("_tie"), "_m"),
         allowMissingColumns=True,
     )
-    sizes = requests.select(*keys).unionByName(dated.select(*keys))
-    seen = neighbours(line, keys, ["_at", "_kind", "_tie"], "_m", "_before", "_after", sizes).filter(F.col("_kind") == 1)
+    seen = neighbours(line, keys, ["_at", "_kind", "_tie"], "_m", "_before", "_after").filter(F.col("_kind") == 1)
 
     def gap(side: str) -> Column:
         return F.abs(F.unix_micros(F.col(side)[time]) - F.unix_micros("_at"))
@@ -159,17 +158,33 @@ def nearest_in_time(
     return out.select(*[c if c in keys else F.col("_request")[c].alias(c) for c in requests.columns], hit)
 
 
+#: Columns of a reading that say which time the response it came in was asked for.
+WINDOW = ("window_from", "window_to")
+
+
 def nearest_measurement(
     requests: DataFrame, measurements: DataFrame, keys: Sequence[str], time: str = S.TIME,
     order: str = "seq", hours: int = WINDOW_HOURS,
 ) -> DataFrame:
-    """Nearest reading within ± `hours`; the first undated one if none is dated."""
+    """Nearest reading within ± `hours`; where there is none, an undated one of a response that covers the request.
+
+    A reading without a time stands for the window its response was asked for,
+    `window_from` to `window_to`: it serves requests within that window alone, the one
+    whose window has its middle nearest, then the first. An undated reading of
+    an unknown window serves nobody. Responses to one key have windows of one length.
+    """
     found = nearest_in_time(requests, measurements, keys, time, order, hours * 3600)
-    payload = [c for c in measurements.columns if c not in keys]
-    undated = measurements.filter(F.col(time).isNull()).groupBy(*keys).agg(
-        F.min_by(F.struct(*payload), order).alias("_undated")
-    )
-    return join_on(found, undated, list(keys), "left").withColumn("hit", F.coalesce("hit", "_undated")).drop("_undated")
+    if not set(WINDOW) <= set(measurements.columns):
+        return found
+    start, end = (F.unix_micros(c) for c in WINDOW)
+    undated = measurements.filter(F.col(time).isNull() & F.col(WINDOW[0]).isNotNull() & F.col(WINDOW[1]).isNotNull())
+    placed = undated.withColumn(time, F.timestamp_micros(F.floor((start + end) / 2)))
+    second = nearest_in_time(found, placed, keys, time, order, hit="_second")
+    second_start, second_end = (F.col("_second")[c] for c in WINDOW)
+    covered = F.col(time).between(second_start, second_end)
+    # Its time is only the middle of the window, so it goes without one again.
+    bare = F.when(covered, F.col("_second").withField(time, F.lit(None).cast("timestamp")))
+    return second.withColumn("hit", F.coalesce("hit", bare)).drop("_second")
 
 
 def nearest_hour(requests: DataFrame, hourly: DataFrame, time: str = S.TIME, order: str = "seq") -> DataFrame:

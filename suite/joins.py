@@ -74,27 +74,31 @@ def source_fallback(spark, sf_dir):
     return chosen.withColumn("reasons", F.lit(None).cast("string")).unionByName(rejected, allowMissingColumns=True)
 
 
-def readings(spark, sf_dir, kind):
-    return sensor(spark, sf_dir).filter(F.col("city") == kind).select(
-        "user_id", "collection_timestamp", F.col("aqi").alias("value"), F.col("ingest_seq").alias("seq")
-    )
-
-
-NEAR = """a AS (SELECT user_id, ts, event_id FROM events WHERE event_type = 'purchase'),
-  b AS (SELECT user_id, ts, event_id, value FROM events WHERE event_type = 'view')"""
+READINGS = """asked AS (SELECT user_id, event_id AS request, ts + to_hours(CAST(event_id % 3 * 500 AS INTEGER)) AS at FROM events),
+  readings AS (SELECT user_id, event_id AS seq, value, CASE WHEN event_id % 4 <> 0 THEN ts + to_minutes(CAST(event_id % 90 AS INTEGER)) END AS at, ts AS middle FROM events)"""
 
 
 @suite.query(
     "nearest_measurement",
-    f"""WITH {NEAR}, ranked AS (SELECT a.event_id AS request, b.event_id AS seq, b.value,
-      row_number() OVER (PARTITION BY a.event_id ORDER BY abs(epoch_us(b.ts) - epoch_us(a.ts)), b.event_id) AS rn
-      FROM a JOIN b ON a.user_id = b.user_id AND abs(epoch_us(b.ts) - epoch_us(a.ts)) <= 21600000000)
-    SELECT a.event_id AS request, r.seq, round(r.value + 3.7e-10, 6) AS value FROM a LEFT JOIN ranked r ON a.event_id = r.request AND r.rn = 1""",
+    f"""WITH {READINGS}, dated AS (SELECT a.request, r.seq, r.value, 0 AS kind, abs(epoch_us(r.at) - epoch_us(a.at)) AS gap
+      FROM asked a JOIN readings r ON a.user_id = r.user_id AND abs(epoch_us(r.at) - epoch_us(a.at)) <= 21600000000),
+    undated AS (SELECT a.request, r.seq, r.value, 1 AS kind, abs(epoch_us(r.middle) - epoch_us(a.at)) AS gap
+      FROM asked a JOIN readings r ON a.user_id = r.user_id AND r.at IS NULL AND abs(epoch_us(r.middle) - epoch_us(a.at)) <= 21600000000),
+    best AS (SELECT * FROM (SELECT * FROM dated UNION ALL SELECT * FROM undated) QUALIFY row_number() OVER (PARTITION BY request ORDER BY kind, gap, seq) = 1)
+    SELECT a.request, b.seq, round(b.value + {NUDGE}, 6) AS value, b.kind = 1 AS undated FROM asked a LEFT JOIN best b ON a.request = b.request""",
 )
 def nearest_measurement(spark, sf_dir):
-    requests = readings(spark, sf_dir, "purchase").select("user_id", "collection_timestamp", F.col("seq").alias("request"))
-    found = joins.nearest_measurement(requests, readings(spark, sf_dir, "view"), ["user_id"])
-    return found.select("request", "hit.seq", "hit.value")
+    """Every event asks, some long after all readings; every fourth reading has no time but the window of its response."""
+    events = table(spark, sf_dir, "events")
+    seq, at = F.col("event_id"), F.col("ts")
+    asked = events.select("user_id", (at + F.make_dt_interval(hours=(seq % 3 * 500).cast("int"))).alias("collection_timestamp"), seq.alias("request"))
+    dated = F.when(seq % 4 != 0, at + F.make_dt_interval(mins=(seq % 90).cast("int")))
+    half = F.expr("INTERVAL 6 HOURS")
+    measured = events.select(
+        "user_id", dated.alias("collection_timestamp"), F.col("value"), seq.alias("seq"), (at - half).alias("window_from"), (at + half).alias("window_to"),
+    )
+    found = joins.nearest_measurement(asked, measured, ["user_id"])
+    return found.select("request", "hit.seq", "hit.value", F.when(F.col("hit").isNotNull(), F.col("hit.collection_timestamp").isNull()).alias("undated"))
 
 
 @suite.query(

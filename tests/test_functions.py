@@ -154,11 +154,20 @@ def test_sensor_row_without_index_still_outranks_the_model(spark):
     assert (row.aqi_source, row.aqi, row.pm2_5) == ("ground", None, 12.05) and rejected.isEmpty()
 
 
-def test_undated_measurement_is_used_when_no_dated_one_is(spark):
-    requests = spark.sql("select 's' sensor, timestamp'2026-01-01 00:00:00Z' collection_timestamp, 1 request")
-    measured = spark.sql("select 's' sensor, cast(null as timestamp) collection_timestamp, 5 seq, 1.0 value "
-                         "union all select 's', null, 4, 2.0 union all select 's', timestamp'2026-01-03 00:00:00Z', 1, 3.0")
-    assert joins.nearest_measurement(requests, measured, ["sensor"]).first().hit.seq == 4
+def test_undated_reading_serves_the_window_of_its_response_alone(spark):
+    at = "timestamp'2026-01-01 {:02d}:00:00Z'"
+    requests = spark.sql(" union all ".join(f"select 's' sensor, {at.format(h)} collection_timestamp, {h} request" for h in (0, 5, 13, 20))
+                         + " union all select 's', timestamp'2026-02-11 16:00:00Z', 99")
+    rows = [("null", 5, 1.0, 0, 12), ("null", 4, 2.0, 0, 12), ("null", 6, 2.5, 1, 13), (at.format(19), 1, 3.0, 12, 23), ("null", 7, 4.0, None, None)]
+    window = lambda h: "cast(null as timestamp)" if h is None else at.format(h)
+    measured = spark.sql(" union all ".join(
+        f"select 's' sensor, cast({t} as timestamp) collection_timestamp, {seq} seq, {v} value, {window(a)} window_from, {window(b)} window_to" for t, seq, v, a, b in rows
+    ))
+    got = {r.request: r.hit and (r.hit.seq, r.hit.collection_timestamp is None) for r in joins.nearest_measurement(requests, measured, ["sensor"]).collect()}
+    # At 13 a dated reading lies within six hours; at 0 and 5 the window with the nearest middle counts, then the first reading.
+    assert got == {0: (4, True), 5: (4, True), 13: (1, False), 20: (1, False), 99: None}
+    bare = joins.nearest_measurement(requests, measured.drop("window_from", "window_to"), ["sensor"]).collect()
+    assert {r.request: r.hit and r.hit.seq for r in bare} == {0: None, 5: None, 13: 1, 20: 1, 99: None}
 
 
 def test_weather_codes(spark):
@@ -194,3 +203,32 @@ def test_cycles(spark):
     row = spark.sql("select timestamp'2026-12-06 18:00:00Z' collection_timestamp").transform(calendar.time_fields).transform(calendar.cyclical).first()
     assert (row.hour, row.day_of_week, row.day_of_month, row.month) == (18, 6, 6, 12)
     assert row.hour_sin == pytest.approx(-1.0) and row.month_cos == pytest.approx(1.0) and row.day_of_week_cos == pytest.approx(math.cos(12 * math.pi / 7))
+
+
+def test_exact_ks_pvalue_counts_all_orders(spark):
+    from itertools import combinations
+
+    from hazeline.operators.ranks import exact_pvalue
+
+    for n, m in ((1, 1), (3, 3), (4, 6), (5, 7), (2, 9), (6, 6)):
+        worst = []
+        for first in combinations(range(n + m), n):
+            at = [sum(p <= t for p in first) for t in range(n + m)]
+            worst.append(max(abs(i * m - (t + 1 - i) * n) for t, i in enumerate(at)))
+        for k in range(n * m + 1):
+            assert exact_pvalue(k / (n * m), n, m) == pytest.approx(sum(w >= k for w in worst) / len(worst), abs=1e-12)
+    # Published values: the largest distance of 5 and 5 has 2 orders of 252; the two-sided 5 % point of 10 and 10 is 7/10.
+    assert exact_pvalue(1.0, 5, 5) == pytest.approx(2 / 252)
+    assert exact_pvalue(0.7, 10, 10) == pytest.approx(0.0123, abs=1e-4) and exact_pvalue(0.6, 10, 10) == pytest.approx(0.0524, abs=1e-4)
+
+
+def test_ks_takes_the_limit_for_large_samples_only(spark):
+    from hazeline.operators import ranks
+
+    def pvalue(n, m):
+        rows = spark.range(n + m).select(F.lit("c").alias("column"), (F.col("id") % 50).cast("double").alias("value"), (F.col("id") < n).alias("first"))
+        return ranks.ks_two_sample(rows, "column", F.col("first"), ~F.col("first")).first()
+
+    small, large = pvalue(30, 41), pvalue(30, 10_001)
+    assert small.ks_pvalue == pytest.approx(ranks.exact_pvalue(small.ks_stat, 30, 41))
+    assert abs(large.ks_pvalue - ranks.exact_pvalue(large.ks_stat, 30, 10_001)) > 1e-5
