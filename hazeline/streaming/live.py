@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
-import datetime as dt
-from collections.abc import Callable, Sequence
+import json
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from hazeline import schemas as S
-from hazeline.functions.indices import alert_level, aqi_category
+from hazeline.functions.indices import aqi_category, alert_level
 from hazeline.operators.features import series_features
-from hazeline.operators.joins import bronze_records, merge_weather_aqi
-from hazeline.operators.ordered import join_on, keep_last
+from hazeline.operators.joins import merge_weather_aqi, observation_of
+from hazeline.operators.ordered import keep_last
 from hazeline.operators.validate import VIOLATIONS, with_violations
-from hazeline.sources.audit import live_audit
-from hazeline.sources.payloads import norm_aq_station, norm_weather_current
 from hazeline.session import materialize
+from hazeline.sources.audit import live_audit
+from hazeline.sources.payloads import (
+    AQ_COMPONENTS, AQ_STATION_CITY, AQ_STATION_GEO, WEATHER_CURRENT, norm_aq_components, norm_aq_station, norm_weather_current,
+)
 
 DELAY = "2 hours"
 BATCH = "batch_id"
@@ -48,44 +56,135 @@ def write_batch(df: DataFrame, path: str, batch: int, fmt: str = "parquet", by:
 
 
 REQUEST = ("request_city", S.TIME)
+#: Providers in the order in which they are asked: weather, then air quality until one answers.
+PROVIDERS = (WEATHER_CURRENT, AQ_STATION_CITY, AQ_STATION_GEO, AQ_COMPONENTS)
+NORMALISED = {
+    WEATHER_CURRENT: norm_weather_current,
+    AQ_STATION_CITY: lambda raw: norm_aq_station(raw, AQ_STATION_CITY),
+    AQ_STATION_GEO: lambda raw: norm_aq_station(raw, AQ_STATION_GEO),
+    AQ_COMPONENTS: norm_aq_components,
+}
+
+
+def arrivals(payloads: DataFrame) -> DataFrame:
+    """`request_city, time, rank, seq, problem, body` of each payload: the provider's rank and the standard columns as text.
+
+    Every provider's columns are made in one pass, from its own payloads alone.
+    """
+    rows = payloads.select(F.col("city").alias("request_city"), S.TIME, "provider", "seq", F.col("payload").alias("_raw"))
+    problem, body = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for label, normalise in NORMALISED.items():
+        mine = F.when(F.col("provider") == label, F.col("_raw")).alias("payload")
+        done = normalise(rows.select("*", F.col("request_city").alias("city"), mine))
+        standard = [c for c in done.columns if c not in (*rows.columns, "problem")]
+        is_mine = F.col("provider") == label
+        text = F.when(is_mine, F.to_json(F.struct(*standard))).otherwise(F.col("_body") if "_body" in rows.columns else body)
+        why = F.when(is_mine, F.col("problem")).otherwise(F.col("_problem") if "_problem" in rows.columns else problem)
+        kept = [c for c in rows.columns if c not in ("_body", "_problem")]
+        rows = done.select(*kept, text.alias("_body"), why.alias("_problem"))
+    known = F.array_position(F.array(*[F.lit(p) for p in PROVIDERS]), F.col("provider")) - 1
+    return rows.withColumn("rank", known.cast("int")).filter(F.col("rank") >= 0).select(
+        *REQUEST, "rank", "seq", F.col("_problem").alias("problem"), F.col("_body").alias("body")
+    )
+
+
+def _body_type(normalise: Callable[[DataFrame], DataFrame], spark: SparkSession) -> T.StructType:
+    """Type of a provider's standard columns."""
+    done = normalise(spark.createDataFrame([], f"city string, {S.TIME} timestamp, payload string"))
+    return T.StructType([f for f in done.schema.fields if f.name not in (S.TIME, "problem")])
+
+
+def _better(new: tuple[int, str | None, str | None], old: list | None) -> bool:
+    """A usable answer beats a refused one, a later arrival an earlier one."""
+    return old is None or ((new[1] is None, new[0]) >= (old[1] is None, old[0]))
+
+
+def _verdict(got: dict[str, list]) -> tuple[str | None, str | None, str | None]:
+    """(weather, air, problem) of what has arrived for an hour."""
+    weather = got.get("0")
+    if weather is None or weather[1] is not None:
+        return None, None, f"{PROVIDERS[0]}: {weather[1] if weather else 'no answer'}"
+    reasons = []
+    for rank in range(1, len(PROVIDERS)):
+        answer = got.get(str(rank))
+        if answer is not None and answer[1] is None:
+            return weather[2], answer[2], None
+        reasons.append(f"{PROVIDERS[rank]}: {answer[1] if answer else 'no answer'}")
+    return weather[2], None, " | ".join(reasons)
+
+
+def settle(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """One row for an hour of a city: as soon as weather and city station have answered, or
+    when the watermark has passed the hour, from the first provider that did."""
+    held = json.loads(state.get[0]) if state.exists else {"done": False, "got": {}}
+    settled = None
+    if state.hasTimedOut:
+        settled = None if held["done"] else _verdict(held["got"])
+        state.remove()
+    else:
+        for pdf in frames:
+            for rank, seq, problem, body in zip(pdf["rank"], pdf["seq"], pdf["problem"], pdf["body"], strict=True):
+                answer = (int(seq), None if pd.isna(problem) else str(problem), None if pd.isna(body) else str(body))
+                if not held["done"] and _better(answer, held["got"].get(str(rank))):
+                    held["got"][str(rank)] = list(answer)
+        answered = [held["got"].get(rank) for rank in ("0", "1")]
+        if all(a is not None and a[1] is None for a in answered):
+            settled = _verdict(held["got"])
+            # Kept until the hour has passed, so that what still arrives for it adds no second row.
+            held = {"done": True, "got": {}}
+        state.update((json.dumps(held),))
+        state.setTimeoutTimestamp(max(int(key[1]) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+    if settled is not None:
+        weather, air, problem = settled
+        yield pd.DataFrame({"request_city": [key[0]], "at": [key[1]], "weather": [weather], "air": [air], "problem": [problem]})
+
+
+def settled_hours(payloads: DataFrame, delay: str = DELAY) -> DataFrame:
+    """Stream of `request_city, at, weather, air, problem`, one row for each hour of a city.
+
+    `payloads` has city, collection_timestamp, provider, payload and seq, the order of arrival.
+    Hours wait in keyed state for their city station; the event-time timer of an hour
+    makes the fallback to the geographic station and to the components.
+    """
+    timed = arrivals(payloads.filter(F.col(S.TIME).isNotNull())).withWatermark(S.TIME, delay)
+    return timed.withColumn("at", F.unix_micros(S.TIME)).groupBy("request_city", "at").applyInPandasWithState(
+        settle, "request_city string, at long, weather string, air string, problem string", "held string", "append",
+        GroupStateTimeout.EventTimeTimeout,
+    )
 
 
-def stream_ingest(payloads: DataFrame, out: str, checkpoint: str) -> None:
-    """Payload pairs to valid, quarantine, bronze and audit tables.
+def stream_ingest(payloads: DataFrame, out: str, checkpoint: str, delay: str = DELAY) -> None:
+    """Payloads of four providers to valid, quarantine, bronze and audit tables.
 
-    `payloads` has city, collection_timestamp, weather_payload and aqi_payload;
-    the sides are paired by the place that was requested, since providers may
-    name it differently.
+    `payloads` is what `settled_hours` takes; the sides of an hour are paired by the place that was
+    requested, since providers may name it differently.
     """
+    spark = payloads.sparkSession
+    sides = {"w": _body_type(norm_weather_current, spark), "a": _body_type(norm_aq_station, spark)}
 
     def each(batch: DataFrame, number: int) -> None:
-        requests = keep_last(batch, S.KEY, ["weather_payload", "aqi_payload"])
-        held = requests.withColumn("request_city", F.col("city")).persist()
-        sides = []
-        for normalise, name in ((norm_weather_current, "weather_payload"), (norm_aq_station, "aqi_payload")):
-            side = normalise(held.select(*REQUEST, "city", F.col(name).alias("payload")))
-            sides.append(side.filter(F.col("problem").isNull()).drop("problem"))
-        paired = bronze_records(*sides, on=REQUEST)
-        flat = paired.select(*[F.col(k).alias(f"_{k}") for k in REQUEST], "weather_raw", "aqi_raw", "merged.*")
-        checked = with_violations(flat, F.current_timestamp()).persist()
+        paired = batch.select(
+            F.col("request_city"), F.timestamp_micros("at").alias(S.TIME), F.col("problem").alias("_problem"),
+            F.from_json("weather", sides["w"]).withField(S.TIME, F.timestamp_micros("at")).alias("w"), F.from_json("air", sides["a"]).alias("a"),
+        )
+        merged = F.struct(*observation_of([S.TIME, *sides["w"].names])).alias("merged")
+        whole = paired.select(*[F.col(k).alias(f"_{k}") for k in REQUEST], "_problem", F.col("w").alias("weather_raw"), F.col("a").alias("aqi_raw"), merged)
+        checked = materialize(
+            with_violations(whole.select("_request_city", f"_{S.TIME}", "_problem", "weather_raw", "aqi_raw", "merged.*"), F.current_timestamp()), "settled"
+        )
+        served = F.col("_problem").isNull()
         usable = F.size(VIOLATIONS) == 0
-        write_batch(checked.filter(usable).select(*S.OBSERVATION_FIELDS), f"{out}/valid", number)
-        write_batch(checked.filter(~usable).select(*S.OBSERVATION_FIELDS, VIOLATIONS), f"{out}/quarantine", number)
-        bronze = checked.filter(usable).select("weather_raw", "aqi_raw", F.struct(*S.OBSERVATION_FIELDS).alias("merged"))
+        write_batch(checked.filter(served & usable).select(*S.OBSERVATION_FIELDS), f"{out}/valid", number)
+        write_batch(checked.filter(served & ~usable).select(*S.OBSERVATION_FIELDS, VIOLATIONS), f"{out}/quarantine", number)
+        bronze = checked.filter(served & usable).select("weather_raw", "aqi_raw", F.struct(*S.OBSERVATION_FIELDS).alias("merged"))
         write_batch(bronze, f"{out}/bronze", number, "json")
-        found = checked.select(
-            *[F.col(f"_{k}").alias(k) for k in REQUEST], "weather_source", "aqi_source",
-            F.coalesce(F.get(VIOLATIONS, F.lit(0)), F.lit("")).alias("_first"),
-        )
-        outcome = join_on(held.select(*REQUEST), found, list(REQUEST), "left").select(
-            F.col("request_city").alias("city"), S.TIME, "weather_source", "aqi_source",
-            F.nullif(F.coalesce("_first", F.lit("no usable payload")), F.lit("")).alias("problem"),
+        outcome = checked.select(
+            F.col("_request_city").alias("city"), F.col(f"_{S.TIME}").alias(S.TIME), "weather_source", "aqi_source",
+            F.coalesce("_problem", F.get(VIOLATIONS, F.lit(0))).alias("problem"),
         )
         write_batch(live_audit(outcome, F.current_timestamp()), f"{out}/audit", number)
-        checked.unpersist()
-        held.unpersist()
 
-    run_batches(payloads, each, checkpoint)
+    run_batches(settled_hours(payloads, delay), each, checkpoint)
 
 
 def stream_dedup(stream: DataFrame, delay: str = DELAY) -> DataFrame:
@@ -127,63 +226,105 @@ def stream_alerts(stream: DataFrame) -> DataFrame:
     )
 
 
-CONTEXT_DAYS = 60
-
-
-def _context(stored: DataFrame, since: DataFrame, cutoff: dt.date) -> DataFrame:
-    """The newest rows per city before its `_since`, enough for every window.
-
-    Rows since `cutoff` are read first; the date folders make that a pruned
-    scan. Only cities short of rows there are looked up further back.
-    """
-    need = max(S.LAGS)
-    newest_first = Window.partitionBy("city").orderBy(F.col(S.TIME).desc())
-
-    def last_before(rows: DataFrame, cities: DataFrame) -> DataFrame:
-        earlier = join_on(rows, cities, ["city"]).filter(F.col(S.TIME) < F.col("_since")).drop("_since")
-        ranked = keep_last(earlier, S.KEY, [BATCH, "ingest_seq"]).withColumn("_back", F.row_number().over(newest_first))
-        return ranked.filter(F.col("_back") <= need).drop("_back")
-
-    near = last_before(stored.filter(F.col("date") >= cutoff), since)
-    counts = near.groupBy("city").agg(F.count("*").alias("_have"))
-    short = join_on(since, counts, ["city"], "left").filter(F.coalesce("_have", F.lit(0)) < need).drop("_have")
-    far = stored.filter(F.col("date") < cutoff)
-    if short.isEmpty() or far.isEmpty():
-        return near
-    complete = near.join(short, "city", "left_anti")
-    return complete.unionByName(last_before(stored, short))
-
-
-def stream_features(observations: DataFrame, store: str, out: str, checkpoint: str) -> None:
-    """Recompute the series features the new rows affect, per micro-batch.
-
-    New rows are appended to `store`. For every touched city the features are
-    rebuilt from its earliest new row on, with the rows its longest lag needs
-    as context, and written as a new version under the batch number;
-    `read_versions` returns the newest version of each row.
+#: Rows that the longest lag looks back.
+REACH = max(S.LAGS)
+#: The newest rows of a city that a late or corrected row may still join; beside them state holds the REACH rows before.
+OPEN_ROWS = 720
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _derived(frame: pd.DataFrame) -> dict[str, np.ndarray]:
+    """Change, lag and rolling columns of the rows of one city in time order."""
+    out = {}
+    for c in S.CHANGE_COLUMNS:
+        if c in frame:
+            x = frame[c].to_numpy(np.float64)
+            lagged = {n: np.concatenate([np.full(min(n, len(x)), np.nan), x[: max(len(x) - n, 0)]]) for n in S.LAGS}
+            out[f"{c}_change_rate"] = x - lagged[1]
+            out |= {f"{c}_lag_{n}": values for n, values in lagged.items()}
+    for label, rows in S.ROLLING_ROWS.items():
+        for c in S.ROLLING_COLUMNS:
+            if c in frame:
+                x = np.concatenate([np.full(rows - 1, np.nan), frame[c].to_numpy(np.float64)])
+                recent = np.lib.stride_tricks.sliding_window_view(x, rows)
+                known = ~np.isnan(recent)
+                n = known.sum(1)
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    mean = np.where(known, recent, 0).sum(1) / n
+                    spread = (np.where(known, recent - mean[:, None], 0) ** 2).sum(1)
+                    out[f"{c}_rolling_mean_{label}"] = mean
+                    out[f"{c}_rolling_std_{label}"] = np.where(n > 1, np.sqrt(spread / (n - 1)), np.nan)
+    return out
+
+
+class RecentRows(StatefulProcessor):
+    """The newest rows of each city, as one Arrow table, and the features that new rows change."""
+
+    def __init__(self, columns: list[str], order: str, open_rows: int) -> None:
+        self.columns, self.order, self.open_rows = columns, order, open_rows
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        # `cut` tells that older rows have left the state.
+        self.held = handle.getValueState("held", "rows binary, version long, cut boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held = self.held.get()
+        old, version, cut = (pa.ipc.open_stream(held[0]).read_pandas(), held[1] + 1, held[2]) if held else (None, 1, False)
+        new = pd.concat(list(rows)).sort_values([S.TIME, self.order], kind="stable").drop_duplicates(S.TIME, keep="last")
+        late = new.iloc[:0]
+        if cut:
+            too_old = new[S.TIME] < old[S.TIME].iloc[REACH]
+            late, new = new[too_old], new[~too_old]
+        both = new.assign(_new=True) if old is None else pd.concat([old.assign(_new=False), new.assign(_new=True)])
+        both = both.sort_values([S.TIME, "_new"], kind="stable").drop_duplicates(S.TIME, keep="last").reset_index(drop=True)
+        changed = np.zeros(len(both) + REACH + 1, bool)
+        for at in np.flatnonzero(both["_new"]):
+            changed[at : at + REACH + 1] = True
+        fresh = both.drop(columns="_new").assign(**_derived(both))[changed[: len(both)]]
+        kept = both.drop(columns="_new").iloc[-(REACH + self.open_rows) :]
+        sink = pa.BufferOutputStream()
+        table = pa.Table.from_pandas(kept, preserve_index=False)
+        with pa.ipc.new_stream(sink, table.schema) as writer:
+            writer.write_table(table)
+        self.held.update((sink.getvalue().to_pybytes(), version, cut or len(kept) < len(both)))
+        for frame, is_late in ((fresh, False), (late, True)):
+            if len(frame):
+                yield frame.assign(version=version, late=is_late).reindex(columns=self.columns)
+
+    def close(self) -> None:
+        pass
+
+
+def stream_features(observations: DataFrame, out: str, checkpoint: str, order: str = "ingest_seq", open_rows: int = OPEN_ROWS) -> None:
+    """Series features of arriving rows, as versions in `out`, from keyed state alone.
+
+    State holds the newest rows of each city. A new row is put among them by time, replaces
+    one of the same time, and rewrites itself and the rows whose windows hold it, REACH at
+    most. A row older than the newest `open_rows` of its city, once older ones have left the
+    state, changes nothing: it comes out as it is, marked `late`, for a batch
+    run over the stored observations. Of rows of one time in one batch the greatest `order` counts. A
+    batch's rows of one city are held by one task; limit batches at the source.
     """
-
-    def each(batch: DataFrame, number: int) -> None:
-        spark: SparkSession = batch.sparkSession
-        if batch.isEmpty():
-            return
-        write_batch(batch.withColumn("date", F.to_date(S.TIME)), store, number, by=["date"])
-        stored = spark.read.parquet(store).filter(F.col(BATCH) <= number)
-        new = stored.filter(F.col(BATCH) == number)
-        since = materialize(new.groupBy("city").agg(F.min(S.TIME).alias("_since")), "since")
-        oldest = since.agg(F.min("_since")).first()[0]
-        cutoff = oldest.date() - dt.timedelta(days=CONTEXT_DAYS)
-        affected = join_on(stored.filter(F.col("date") >= oldest.date()), since, ["city"])
-        affected = affected.filter(F.col(S.TIME) >= F.col("_since")).drop("_since")
-        affected = keep_last(affected, S.KEY, [BATCH, "ingest_seq"])
-        rows = materialize(affected.unionByName(_context(stored, since, cutoff)).drop(BATCH, "date"), "touched")
-        features = series_features(rows, horizon=None)
-        fresh = join_on(features, since, ["city"]).filter(F.col(S.TIME) >= F.col("_since")).drop("_since")
-        write_batch(fresh, out, number)
-
-    run_batches(observations, each, checkpoint)
+    spark = observations.sparkSession
+    # Keyed state of this kind needs this store; other streams of the session can use it too.
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    empty = spark.createDataFrame([], observations.schema)
+    schema = series_features(empty, horizon=None).schema.add("version", "long").add("late", "boolean")
+    changed = observations.filter(F.col(S.TIME).isNotNull()).groupBy("city").transformWithStateInPandas(
+        RecentRows(schema.names, order, open_rows), schema, "append", "none"
+    )
+    run_available(changed, out, checkpoint)
 
 
 def read_versions(spark: SparkSession, path: str) -> DataFrame:
     """The newest version of every row written by `stream_features`."""
-    return keep_last(spark.read.parquet(path), S.KEY, BATCH).drop(BATCH)
+    rows = spark.read.parquet(path).filter(~F.col("late"))
+    return keep_last(rows, S.KEY, "version").drop("version", "late")
+
+
+def late_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Observations that came too late for `stream_features` to place them."""
+    rows = spark.read.parquet(path).filter("late")
+    derived = {f"{c}_change_rate" for c in S.CHANGE_COLUMNS} | {f"{c}_lag_{n}" for c in S.CHANGE_COLUMNS for n in S.LAGS}
+    derived |= {f"{c}_rolling_{stat}_{label}" for c in S.ROLLING_COLUMNS for stat in ("mean", "std") for label in S.ROLLING_ROWS}
+    return rows.drop("version", "late", *derived)
