@@ -6,13 +6,13 @@ import datetime as dt
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hazeline import schemas as S
 from hazeline.functions.calendar import day_end, interval_grid, to_utc
 from hazeline.operators.joins import (
-    bronze_records, first_sensor_with_data, incremental_anti, nearest_hour, sensor_candidates, source_fallback,
+    WINDOW, WINDOW_HOURS, bronze_records, first_sensor_with_data, incremental_anti, nearest_hour, sensor_candidates, source_fallback,
 )
 from hazeline.operators.ordered import join_on
 from hazeline.operators.validate import VIOLATIONS, with_violations
@@ -26,7 +26,8 @@ class Archives:
     """Payload tables, one JSON document per row.
 
     weather and model have city, date and payload; catalog has city and
-    payload; measurements has sensor_id and payload.
+    payload; measurements has sensor_id and payload, and may have window_from and
+    window_to, the time its response was asked for.
     """
 
     weather: DataFrame
@@ -62,9 +63,31 @@ def _ground(wanted: DataFrame, archives: Archives) -> DataFrame:
 
 
 def _model(wanted: DataFrame, archive: DataFrame) -> DataFrame:
-    dated = wanted.withColumns({"date": F.to_date(S.TIME), "requested": F.col(S.TIME)})
-    asked = join_on(dated, archive, ["city", "date"]).drop("date")
-    return payloads.norm_aq_model_hourly(asked).drop("requested")
+    """Model estimates of the requested hours that have a document, `problem` where it lacks the hour.
+
+    Documents are parsed once, to hours; an hour that one names twice counts as it stands first.
+    """
+    dated = wanted.withColumns({"date": F.to_date(S.TIME), "hour": F.date_format(S.TIME, "yyyy-MM-dd'T'HH:'00'")})
+    days = archive.select("city", "date").distinct()
+    asked = join_on(dated, days.withColumn("_there", F.lit(True)), ["city", "date"]).drop("_there")
+    hours = payloads.norm_aq_model_days(archive)
+    values = [c for c in hours.columns if c not in ("city", "date", "hour", "seq")]
+    first = hours.groupBy("city", "date", "hour").agg(F.min_by(F.struct(*values), "seq").alias("_e"))
+    found = join_on(asked, first, ["city", "date", "hour"], "left")
+    problem = F.when(F.col("_e").isNull(), "missing matching hour")
+    return found.select(*S.KEY, *[F.col("_e")[c].alias(c) for c in values], problem.alias("problem"))
+
+
+def _within(archives: Archives, start: Column, end: Column) -> Archives:
+    """The archives of a span of time: documents by day, responses by their window and the hours around a request."""
+    first, last = F.to_date(start), F.to_date(end)
+    measured = archives.measurements
+    if set(WINDOW) <= set(measured.columns):
+        around = F.make_dt_interval(hours=F.lit(WINDOW_HOURS))
+        unknown = F.col(WINDOW[0]).isNull() | F.col(WINDOW[1]).isNull()
+        measured = measured.filter(unknown | ((F.col(WINDOW[1]) >= start - around) & (F.col(WINDOW[0]) <= end + around)))
+    day = F.col("date").between(first, last)
+    return Archives(archives.weather.filter(day), archives.catalog, measured, archives.model.filter(day))
 
 
 def run_backfill(
@@ -84,6 +107,7 @@ def run_backfill(
     known = grid.limit(0) if stored is None else stored.select(*S.KEY).distinct()
     wanted = materialize(incremental_anti(grid, known, force=force), "wanted")
 
+    archives = _within(archives, to_utc(F.lit(start_date)), day_end(F.lit(end_date)))
     weather = materialize(_weather(wanted, archives.weather), "weather")
     chosen, rejected = source_fallback(
         [

@@ -233,6 +233,26 @@ def norm_aq_model_hourly(raw: DataFrame) -> DataFrame:
     return _finish(raw, parsed, columns, {"matching hour": place})
 
 
+def norm_aq_model_days(raw: DataFrame) -> DataFrame:
+    """Model estimates of all hours of a document, in payload order (`seq`), each named by its text in `hour`.
+
+    What `norm_aq_model_hourly` gives for one requested hour, the document parsed once for all.
+    """
+    parsed = _parsed(raw, MODEL_SCHEMA)
+    hourly = F.col("_p")["hourly"]
+    names = {"time": "string", "us_aqi": "double", "pm2_5": "double"}
+    zipped = F.arrays_zip(*[F.coalesce(hourly[n], F.array().cast(f"array<{kind}>")).alias(n) for n, kind in names.items()])
+    kept = [c for c in raw.columns if c not in ("payload", "latitude", "longitude")]
+    rows = parsed.select(
+        *kept, F.coalesce(F.col("_p")["latitude"], _default(raw, "latitude", "double")).alias("latitude"),
+        F.coalesce(F.col("_p")["longitude"], _default(raw, "longitude", "double")).alias("longitude"), F.posexplode(zipped).alias("seq", "_h"),
+    )
+    return rows.filter(F.col("_h.time").isNotNull()).select(
+        *kept, "seq", F.col("_h.time").alias("hour"), "latitude", "longitude", F.col("_h.us_aqi").alias("aqi"), F.col("_h.pm2_5").alias("pm2_5"),
+        *[F.lit(None).cast("double").alias(n) for n in S.OPTIONAL_FIELDS], F.lit(AQ_MODEL).alias("source"),
+    )
+
+
 def norm_sensor_catalog(raw: DataFrame) -> DataFrame:
     """Stations to sensors of the target parameters, `proximity` = payload order."""
     stations = _parsed(raw, CATALOG_SCHEMA).select(

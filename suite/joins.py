@@ -299,9 +299,35 @@ def append_live(spark, sf_dir):
     return joins.append_live(too_short, rows, live)
 
 
+LAST_SENSOR_DAY = "2024-01-15"
+
+
+def ground_readings(spark, sf_dir):
+    """(catalog, measurements): two particle sensors per series, the nearer one silent. The farther one has
+    every 25th event of the first days, one response a day that was asked for six hours around it."""
+    rows = sensor(spark, sf_dir)
+    number = F.crc32(F.col("city").cast("binary")) * 10
+    parameter = F.struct(F.lit(2).alias("id"), F.lit("pm25").alias("name"), F.lit("µg/m³").alias("units"))
+    stations = F.array(*[
+        F.struct(F.lit(i).alias("id"), F.lit("place").alias("name"), F.array(F.struct((number + i).alias("id"), F.lit("s").alias("name"), parameter.alias("parameter"))).alias("sensors"))
+        for i in (1, 2)
+    ])
+    catalog = rows.select("city").distinct().select("city", F.to_json(F.struct(stations.alias("results"))).alias("payload"))
+    at = F.date_format("collection_timestamp", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    reading = F.struct(at.alias("at"), "ingest_seq", F.col("pm2_5").alias("value"))
+    found = rows.filter(f"ingest_seq % 25 = 0 AND collection_timestamp < '{LAST_SENSOR_DAY}'").groupBy("city", F.to_date("collection_timestamp").alias("day"))
+    listed = found.agg(F.array_sort(F.collect_list(reading)).alias("r"))
+    result = F.transform("r", lambda r: F.struct(r["value"].alias("value"), parameter.alias("parameter"), F.struct(F.struct(r["at"].alias("utc")).alias("datetimeFrom")).alias("period")))
+    start = F.col("day").cast("timestamp")
+    measured = listed.select(
+        (number + 2).alias("sensor_id"), F.to_json(F.struct(result.alias("results"))).alias("payload"),
+        (start - F.expr("INTERVAL 6 HOURS")).alias("window_from"), (start + F.expr("INTERVAL 30 HOURS")).alias("window_to"),
+    )
+    return catalog, measured
+
+
 def archives(spark, sf_dir):
-    """Daily weather and model documents of the hours that have readings; the
-    station catalogs are empty."""
+    """Daily weather and model documents of the hours that have readings, and ground sensors in the first days."""
     weather = {
         "temperature_2m": F.col("temperature"), "relative_humidity_2m": F.col("humidity"), "surface_pressure": F.col("pressure"),
         "wind_speed_10m": F.col("wind_speed"), "wind_direction_10m": F.col("wind_direction"), "cloud_cover": F.col("clouds"),
@@ -312,19 +338,27 @@ def archives(spark, sf_dir):
         body = F.struct(F.lit(27.7).alias("latitude"), F.lit(68.8).alias("longitude"), F.struct("time", *fields).alias("hourly"))
         return day_arrays(spark, sf_dir, fields).select("city", F.col("day").alias("date"), F.to_json(body).alias("payload"))
 
-    cities = sensor(spark, sf_dir).select("city").distinct()
-    nothing = F.lit('{"results": []}').alias("payload")
-    return Archives(
-        documents(weather), cities.select("city", nothing),
-        cities.select(F.lit(0).cast("long").alias("sensor_id"), nothing), documents(model),
-    )
+    return Archives(documents(weather), *ground_readings(spark, sf_dir), documents(model))
 
 
 @suite.query(
     "backfill",
-    f"""WITH {HOURLY}, per_city AS (SELECT city, count(*) AS n, avg(aqi) AS aqi FROM hourly GROUP BY city)
+    f"""WITH {HOURLY}, places AS (SELECT DISTINCT city FROM sensor),
+    steps AS (SELECT city, TIMESTAMP '2024-01-01' + to_hours(CAST(h AS INTEGER)) AS hour FROM places, range(720) hours(h)),
+    ground AS (SELECT city, date_trunc('second', collection_timestamp) AS at, ingest_seq, pm2_5,
+        row_number() OVER (PARTITION BY city, CAST(collection_timestamp AS DATE) ORDER BY date_trunc('second', collection_timestamp), ingest_seq) AS seq
+      FROM sensor WHERE ingest_seq % 25 = 0 AND collection_timestamp < TIMESTAMP '{LAST_SENSOR_DAY}'),
+    near AS (SELECT s.city, s.hour, g.pm2_5 FROM steps s JOIN ground g ON g.city = s.city AND abs(epoch(g.at) - epoch(s.hour)) <= 21600
+      QUALIFY row_number() OVER (PARTITION BY s.city, s.hour ORDER BY abs(epoch(g.at) - epoch(s.hour)), g.seq, g.at) = 1),
+    days AS (SELECT DISTINCT city, CAST(hour AS DATE) AS day FROM hourly),
+    chosen AS (SELECT s.city, s.hour, d.day IS NOT NULL AS weather, CASE WHEN n.city IS NOT NULL THEN '{payloads.AQ_SENSORS}' WHEN h.city IS NOT NULL THEN '{payloads.AQ_MODEL}' END AS source,
+        CASE WHEN n.city IS NOT NULL THEN {subindex_sql('n.pm2_5', 'pm2_5')} ELSE h.aqi END AS aqi
+      FROM steps s LEFT JOIN near n ON n.city = s.city AND n.hour = s.hour LEFT JOIN hourly h ON h.city = s.city AND h.hour = s.hour
+      LEFT JOIN days d ON d.city = s.city AND d.day = CAST(s.hour AS DATE)),
+    good AS (SELECT city, source, aqi FROM chosen WHERE weather AND source IS NOT NULL AND aqi IS NOT NULL),
+    per_city AS (SELECT city, count(*) AS n, avg(aqi) AS aqi, string_agg(DISTINCT source, ', ' ORDER BY source) AS sources FROM good GROUP BY city)
     SELECT city, CAST(720 AS BIGINT) AS total_requested_steps, n AS successful_records, CAST(0 AS BIGINT) AS skipped_duplicates,
-      720 - n AS error_count, 'OpenMeteo-AirQuality' AS aqi_source, CASE WHEN n = 720 THEN 'SUCCESS' ELSE 'PARTIAL' END AS status,
+      720 - n AS error_count, sources AS aqi_source, CASE WHEN n = 720 THEN 'SUCCESS' ELSE 'PARTIAL' END AS status,
       n AS stored, {rounded('aqi')} FROM per_city""",
 )
 def backfill(spark, sf_dir):

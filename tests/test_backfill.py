@@ -78,3 +78,36 @@ def test_sensors_outrank_the_model_and_missing_hours_are_errors(spark, run):
     assert [rows[h].aqi_source for h in (8, 9)] == ["OpenAQ-v3", "OpenMeteo-AirQuality"]
     assert rows[1].aqi == 109 and rows[1].co == 11460.0  # 10 ppm for the index, stored value unchanged
     assert rows[8].aqi == 99 and rows[8].co is None
+
+
+def test_documents_are_parsed_once_and_pruned_by_day(spark):
+    from hazeline.plans import backfill
+
+    archives = documents(spark, True)
+    wanted = spark.createDataFrame([("Old Town", START + dt.timedelta(hours=h)) for h in (1, 2, 30)] + [("New Town", START)], "city string, collection_timestamp timestamp")
+    rows = backfill._model(wanted, archives.model)
+    assert {(r.collection_timestamp.hour, r.aqi, r.problem) for r in rows.collect()} == {(1, 120.0, None), (2, 120.0, None)}
+    text = rows._jdf.queryExecution().optimizedPlan().toString()
+    above, below = text.split("from_json")[0], text.split("from_json")[-1]
+    # One parse, below the join with the hours that were asked for.
+    assert text.count("Generate posexplode") == 1 and "Join" in above and "Join" not in below.split("LogicalRDD")[0]
+    late = backfill._model(wanted.withColumn("collection_timestamp", F.col("collection_timestamp") + F.expr("INTERVAL 20 HOURS")), archives.model)
+    assert {(r.collection_timestamp.hour, r.problem) for r in late.collect()} == {(21, "missing matching hour"), (22, "missing matching hour")}
+
+
+def test_archives_are_cut_to_the_span(spark):
+    from hazeline.functions.calendar import day_end, to_utc
+    from hazeline.plans import backfill
+
+    day = lambda n: (START + dt.timedelta(days=n)).date()
+    dated = spark.createDataFrame([("x", day(n), "{}") for n in range(-2, 4)], "city string, date date, payload string")
+    catalog = spark.createDataFrame([("x", "{}")], "city string, payload string")
+    at = lambda h: START + dt.timedelta(hours=h)
+    windows = [(-30, -7), (-30, -6), (10, 20), (29, 60), (30, 60), (None, None)]
+    measured = spark.createDataFrame(
+        [(i, "{}", None if a is None else at(a), None if b is None else at(b)) for i, (a, b) in enumerate(windows)],
+        "sensor_id long, payload string, window_from timestamp, window_to timestamp",
+    )
+    cut = backfill._within(Archives(dated, catalog, measured, dated), to_utc(F.lit("2026-01-01")), day_end(F.lit("2026-01-01")))
+    assert [r.date for r in cut.weather.collect()] == [r.date for r in cut.model.collect()] == [START.date()]
+    assert sorted(r.sensor_id for r in cut.measurements.collect()) == [1, 2, 3, 5]
