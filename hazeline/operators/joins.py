@@ -113,6 +113,47 @@ def source_fallback(
     return chosen, rejected
 
 
+def _nearest(requests: DataFrame, sides: dict[str, DataFrame], keys: Sequence[str], time: str, order: str) -> DataFrame:
+    """Attach to each request, under the name of every side, its row of the request's key nearest in time.
+
+    Equal distances go to the row with the smallest `order`. No pairs are formed: requests and the
+    rows of all sides are merged into one ordered series and each request sees its
+    last and next row of a side, a struct of the side's columns.
+    """
+    keys = list(keys)
+    wanted = [c for c in requests.columns if c not in keys]
+    # A row sorts before the requests of its instant, and the hash lets
+    # many requests of one instant be split over tasks.
+    line = requests.select(
+        *keys, F.col(time).alias("_at"), F.lit(1).alias("_kind"), F.xxhash64(*wanted).alias("_tie"),
+        F.struct(*wanted).alias("_request"),
+    )
+    for name, side in sides.items():
+        payload = [c for c in side.columns if c not in keys]
+        first = side.filter(F.col(time).isNotNull()).groupBy(*keys, time).agg(F.min_by(F.struct(*payload), order).alias(name))
+        line = line.unionByName(
+            first.select(*keys, F.col(time).alias("_at"), F.lit(0).alias("_kind"), F.lit(0).cast("long").alias("_tie"), name),
+            allowMissingColumns=True,
+        )
+    seen = neighbours(line, keys, ["_at", "_kind", "_tie"], list(sides)).filter(F.col("_kind") == 1)
+
+    def gap(side: str) -> Column:
+        return F.abs(F.unix_micros(F.col(side)[time]) - F.unix_micros("_at"))
+
+    def chosen(name: str) -> Column:
+        before, after = f"{name}_before", f"{name}_after"
+        earlier = F.col(after).isNull() | (gap(before) < gap(after)) | (
+            (gap(before) == gap(after)) & (F.col(before)[order] <= F.col(after)[order])
+        )
+        return F.when(F.col(before).isNotNull() & earlier, F.col(before)).otherwise(F.col(after)).alias(name)
+
+    return seen.select(*[c if c in keys else F.col("_request")[c].alias(c) for c in requests.columns], *[chosen(name) for name in sides])
+
+
+def _close(hit: str, time: str, within_seconds: int) -> Column:
+    return F.abs(F.unix_micros(F.col(hit)[time]) - F.unix_micros(time)) <= within_seconds * 1_000_000
+
+
 def nearest_in_time(
     requests: DataFrame,
     measurements: DataFrame,
@@ -124,38 +165,11 @@ def nearest_in_time(
 ) -> DataFrame:
     """Attach to each request the measurement of its key nearest in time.
 
-    Equal distances go to the measurement with the smallest `order`. No pairs
-    are formed: requests and measurements are merged into one ordered series
-    and each request sees its last and next measurement. `hit` is a struct of
+    Equal distances go to the measurement with the smallest `order`. `hit` is a struct of
     the measurement's columns, null when nothing lies `within_seconds`.
     """
-    keys = list(keys)
-    payload = [c for c in measurements.columns if c not in keys]
-    dated = measurements.filter(F.col(time).isNotNull())
-    first = dated.groupBy(*keys, time).agg(F.min_by(F.struct(*payload), order).alias("_m"))
-    wanted = [c for c in requests.columns if c not in keys]
-    # a measurement sorts before the requests of its instant, and the hash lets
-    # many requests of one instant be split over tasks
-    line = requests.select(
-        *keys, F.col(time).alias("_at"), F.lit(1).alias("_kind"), F.xxhash64(*wanted).alias("_tie"),
-        F.struct(*wanted).alias("_request"),
-    ).unionByName(
-        first.select(*keys, F.col(time).alias("_at"), F.lit(0).alias("_kind"), F.lit(0).cast("long").alias("_tie"), "_m"),
-        allowMissingColumns=True,
-    )
-    seen = neighbours(line, keys, ["_at", "_kind", "_tie"], "_m", "_before", "_after").filter(F.col("_kind") == 1)
-
-    def gap(side: str) -> Column:
-        return F.abs(F.unix_micros(F.col(side)[time]) - F.unix_micros("_at"))
-
-    earlier = F.col("_after").isNull() | (gap("_before") < gap("_after")) | (
-        (gap("_before") == gap("_after")) & (F.col("_before")[order] <= F.col("_after")[order])
-    )
-    chosen = F.when(F.col("_before").isNotNull() & earlier, F.col("_before")).otherwise(F.col("_after"))
-    out = seen.withColumn(hit, chosen)
-    if within_seconds is not None:
-        out = out.withColumn(hit, F.when(gap(hit) <= within_seconds * 1_000_000, F.col(hit)))
-    return out.select(*[c if c in keys else F.col("_request")[c].alias(c) for c in requests.columns], hit)
+    out = _nearest(requests, {hit: measurements}, keys, time, order)
+    return out if within_seconds is None else out.withColumn(hit, F.when(_close(hit, time, within_seconds), F.col(hit)))
 
 
 #: Columns of a reading that say which time the response it came in was asked for.
@@ -173,18 +187,17 @@ def nearest_measurement(
     whose window has its middle nearest, then the first. An undated reading of
     an unknown window serves nobody. Responses to one key have windows of one length.
     """
-    found = nearest_in_time(requests, measurements, keys, time, order, hours * 3600)
     if not set(WINDOW) <= set(measurements.columns):
-        return found
+        return nearest_in_time(requests, measurements, keys, time, order, hours * 3600)
     start, end = (F.unix_micros(c) for c in WINDOW)
     undated = measurements.filter(F.col(time).isNull() & F.col(WINDOW[0]).isNotNull() & F.col(WINDOW[1]).isNotNull())
     placed = undated.withColumn(time, F.timestamp_micros(F.floor((start + end) / 2)))
-    second = nearest_in_time(found, placed, keys, time, order, hit="_second")
-    second_start, second_end = (F.col("_second")[c] for c in WINDOW)
-    covered = F.col(time).between(second_start, second_end)
+    found = _nearest(requests, {"hit": measurements, "_undated": placed}, keys, time, order)
+    covered = F.col(time).between(*(F.col("_undated")[c] for c in WINDOW))
     # Its time is only the middle of the window, so it goes without one again.
-    bare = F.when(covered, F.col("_second").withField(time, F.lit(None).cast("timestamp")))
-    return second.withColumn("hit", F.coalesce("hit", bare)).drop("_second")
+    bare = F.when(covered, F.col("_undated").withField(time, F.lit(None).cast("timestamp")))
+    dated = F.when(_close("hit", time, hours * 3600), F.col("hit"))
+    return found.withColumn("hit", F.coalesce(dated, bare)).drop("_undated")
 
 
 def nearest_hour(requests: DataFrame, hourly: DataFrame, time: str = S.TIME, order: str = "seq") -> DataFrame:

@@ -100,35 +100,29 @@ def series_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], bound
     ).drop(DAY, "_before", "_total")
 
 
-def neighbours(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, before: str, after: str
-) -> DataFrame:
-    """Add the last non-null `value` at or before and the first at or after each row."""
+def neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Add `<value>_before` and `<value>_after`: the last non-null one at or before each row, and the first at or after it."""
     keys, order = list(keys), list(order)
     backwards = [F.col(c).desc() for c in order]
     parts = _spread(df, keys, order)
-    held = F.col(value).isNotNull()
-    position = F.when(held, F.struct(*order))
-    ends = parts.groupBy(*keys, PART).agg(
-        F.max_by(value, position).alias("_last"), F.min_by(value, position).alias("_first")
-    )
+    by, position = [*keys, PART], F.struct(*order)
+
+    def ends(value: str) -> list[Column]:
+        held = F.when(F.col(value).isNotNull(), position)
+        return [F.max_by(value, held).alias(f"_last_{value}"), F.min_by(value, held).alias(f"_first_{value}")]
+
     earlier = Window.partitionBy(*keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
     later = Window.partitionBy(*keys).orderBy(F.col(PART).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select(
-        *keys, PART,
-        F.last("_last", True).over(earlier).alias("_carry_before"),
-        F.last("_first", True).over(later).alias("_carry_after"),
+    carried = parts.groupBy(*by).agg(*[c for v in values for c in ends(v)]).select(
+        *by,
+        *[F.last(f"_last_{v}", True).over(earlier).alias(f"_carry_before_{v}") for v in values],
+        *[F.last(f"_first_{v}", True).over(later).alias(f"_carry_after_{v}") for v in values],
     )
-    by = [*keys, PART]
     ahead = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     behind = Window.partitionBy(*by).orderBy(*backwards).rowsBetween(Window.unboundedPreceding, 0)
-    joined = join_on(parts, carried, by)
-    return joined.withColumns(
-        {
-            before: F.coalesce(F.last(value, True).over(ahead), "_carry_before"),
-            after: F.coalesce(F.last(value, True).over(behind), "_carry_after"),
-        }
-    ).drop(PART, "_carry_before", "_carry_after")
+    added = {f"{v}_before": F.coalesce(F.last(v, True).over(ahead), f"_carry_before_{v}") for v in values}
+    added |= {f"{v}_after": F.coalesce(F.last(v, True).over(behind), f"_carry_after_{v}") for v in values}
+    return join_on(parts, carried, by).withColumns(added).drop(PART, *[f"_carry_{side}_{v}" for side in ("before", "after") for v in values])
 
 
 def in_blocks(

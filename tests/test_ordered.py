@@ -114,12 +114,12 @@ def test_running_sum_counts_null_as_nothing(skewed):
 
 
 def test_neighbours_split(skewed):
-    got = neighbours(skewed, ["city"], ["collection_timestamp"], "pm10", "before", "after")
+    got = neighbours(skewed, ["city"], ["collection_timestamp"], ["pm10", "aqi"])
     ordered = sorted(skewed.collect(), key=lambda r: (r.city, r.collection_timestamp))
     for r in got.collect():
         past = [o.pm10 for o in ordered if o.city == r.city and o.collection_timestamp <= r.collection_timestamp and o.pm10 is not None]
         next_ = [o.pm10 for o in ordered if o.city == r.city and o.collection_timestamp >= r.collection_timestamp and o.pm10 is not None]
-        assert (r.before, r.after) == (past[-1] if past else None, next_[0] if next_ else None)
+        assert (r.pm10_before, r.pm10_after) == (past[-1] if past else None, next_[0] if next_ else None)
 
 
 def test_nearest_equals_brute_force(spark):
