@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import inf
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -123,6 +124,47 @@ def walk_forward_blocks(df: DataFrame, columns: Sequence[str], step: int = 336,
     )
 
 
+def seconds() -> Column:
+    """Epoch seconds of a row."""
+    return F.unix_micros(S.TIME) / 1e6
+
+
+def moments(rows: DataFrame, ranks: Sequence[int]) -> list[float]:
+    """Times of the rows with these places (from 0) in the order of all series' times."""
+    placed = series_index(rows.select(F.lit(1).alias("all"), S.TIME), ["all"], [S.TIME])
+    found = placed.filter(F.col("row_index").isin([r + 1 for r in ranks])).select("row_index", seconds().alias("t")).collect()
+    wanted = {r["row_index"] - 1: r["t"] for r in found}
+    return [wanted[r] for r in ranks]
+
+
+def time_folds(rows: DataFrame, k: int = 5, gap: int = 72) -> list[tuple[float, float, float]]:
+    """(training until, test from, test to) of expanding folds, moments for all series; `gap` hours before a test take no part.
+
+    Tests are as long as an equal share of all rows; too few rows give fewer folds, down to two.
+    """
+    if k < 2 or gap < 0:
+        raise ValueError("time folds need k >= 2 and no negative gap")
+    n = rows.count()
+    while k > 2 and n < (k + 1) + gap * k:
+        k -= 1
+    size = n // (k + 1)
+    if not size:
+        raise ValueError("no complete rows to train on")
+    starts = moments(rows, [n - (k - i) * size for i in range(k)])
+    return [(start - gap * 3600.0, start, end) for start, end in zip(starts, [*starts[1:], inf], strict=True)]
+
+
+def backtest_windows(rows: DataFrame, step: int = 336, min_train: int = 1500) -> list[tuple[float, float]]:
+    """Spans of `step` rows after the first `min_train`, in the order of all series' times; none if there are no more rows."""
+    n = rows.count()
+    starts = sorted(set(moments(rows, range(min_train, n, step)))) if n > min_train else []
+    return [(start, end) for start, end in zip(starts, [*starts[1:], inf], strict=False)]
+
+
+def between(start: float, end: float) -> Column:
+    return (seconds() >= start) & (seconds() < end)
+
+
 def concat_train_val(df: DataFrame) -> DataFrame:
     """Rows used to refit the chosen model."""
     return df.filter(F.col("split").isin("train", "val"))

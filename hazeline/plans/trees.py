@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import random
 from collections.abc import Mapping, Sequence
-from math import prod
+from math import inf, prod
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from hazeline import schemas as S
 from hazeline.operators.features import build_xy, complete_rows
 from hazeline.operators.metrics import PERSISTENCE, comparison_table, forecast_metrics, persistence_model, select_best
-from hazeline.operators.splits import concat_train_val, fold_role, walk_forward_blocks, with_folds
+from hazeline.operators.splits import backtest_windows, between, concat_train_val, time_folds
 from hazeline.session import materialize
 
 TARGET = "aqi_target"
@@ -116,24 +116,21 @@ def random_search_cv(
 ) -> tuple[PipelineModel, list[dict]]:
     """Sampled settings scored by mean rmse over expanding folds, best refitted.
 
-    The rows are numbered and written once; each fit filters its fold from
-    them, so no fold is copied. Returns the refitted model and the trials, best
-    first. No settings, no search.
+    Folds are spans of time that hold all cities, `gap` hours apart from what trains before
+    them. The rows are written once; each fit filters its fold from them, so
+    no fold is copied. Returns the refitted model and the trials, best first. No settings, no search.
     """
     if not space:
         return fit_pipeline(estimator, train, columns, target), []
-    rows = materialize(with_folds(complete_rows(train, columns, target), k, gap), "folds")
-    folds = rows.agg(F.max("folds")).first()[0]
-    if folds is None:
-        raise ValueError("no complete rows to train on")
+    rows = materialize(complete_rows(train, columns, target), "folds")
+    folds = time_folds(rows, k, gap)
     trials = []
     for setting in sample_settings(space, n_iter, seed):
         tuned = estimator.copy({estimator.getParam(p): v for p, v in setting.items()})
         errors = []
-        for fold in range(folds):
-            role = fold_role(F.lit(fold), gap)
-            model = fit_pipeline(tuned, rows.filter(role == "train"), columns, target)
-            errors.append(evaluate_model(model, rows.filter(role == "test"), target).first()["rmse"])
+        for until, start, end in folds:
+            model = fit_pipeline(tuned, rows.filter(between(-inf, until)), columns, target)
+            errors.append(evaluate_model(model, rows.filter(between(start, end)), target).first()["rmse"])
         trials.append({"setting": setting, "rmse": sum(errors) / len(errors), "estimator": tuned})
     trials.sort(key=lambda t: t["rmse"])
     return fit_pipeline(trials[0]["estimator"], train, columns, target), trials
@@ -141,16 +138,15 @@ def random_search_cv(
 
 def walk_forward_trees(estimator, df: DataFrame, columns: Sequence[str], target: str = TARGET, step: int = 336,
                        min_train: int = 1500) -> DataFrame:
-    """Out-of-sample predictions per block, the model refitted before each."""
+    """Out-of-sample predictions with `block`, the model refitted before each on what all cities had by then."""
     names = list(dict.fromkeys(["city", S.TIME, *columns, target]))
-    blocks = materialize(walk_forward_blocks(df.select(*names), [*columns, target], step, min_train), "blocks")
-    last = blocks.agg(F.max("block")).first()[0]
-    scored = None
-    for block in range(0, (-1 if last is None else last) + 1):
-        model = fit_pipeline(estimator, blocks.filter(F.col("block") < block), columns, target)
-        part = score_batch(model, blocks.filter(F.col("block") == block))
-        scored = part if scored is None else scored.unionByName(part)
-    return blocks.limit(0).withColumn("prediction", F.lit(0.0)) if scored is None else scored
+    rows = materialize(complete_rows(df.select(*names), columns, target), "backtest")
+    scored = rows.limit(0).withColumns({"block": F.lit(0).cast("long"), "prediction": F.lit(0.0)})
+    for block, (start, end) in enumerate(backtest_windows(rows, step, min_train)):
+        model = fit_pipeline(estimator, rows.filter(between(-inf, start)), columns, target)
+        part = score_batch(model, rows.filter(between(start, end))).withColumn("block", F.lit(block).cast("long"))
+        scored = scored.unionByName(part)
+    return scored
 
 
 def train_select(
