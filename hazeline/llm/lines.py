@@ -61,16 +61,17 @@ def normalised(text: Column) -> Column:
 
 
 def split_lines(df: DataFrame, key: str, text: str, least: int = MIN_WORDS) -> DataFrame:
-    r"""`id, key, line_no, line_key, n_words, words` of every line of `least` words or more; lines end at \n.
+    r"""`id, key, print, line_no, line_key, n_words, words` of every line of `least` words or more; lines end at \n.
 
-    `id` numbers the rows; write them before using it more than once.
+    `id` numbers the rows; write them before using it more than once. `print` tells apart
+    rows that share a key but not their text.
     """
     # Whole texts are normalised, below the generator: the filter on the words would repeat it for each line.
-    lines = df.select(df[key].alias("key"), F.posexplode(F.split(normalised(df[text]), "\n")).alias("line_no", "line"))
-    words = lines.select("key", "line_no", F.trim("line").alias("words"))
+    lines = df.select(df[key].alias("key"), F.xxhash64(df[text]).alias("print"), F.posexplode(F.split(normalised(df[text]), "\n")).alias("line_no", "line"))
+    words = lines.select("key", "print", "line_no", F.trim("line").alias("words"))
     counted = words.withColumn("n_words", F.char_length("words") - F.char_length(F.replace("words", F.lit(" "))) + 1)
     numbered = counted.where((F.col("n_words") >= least) & (F.col("words") != "")).withColumn("id", F.monotonically_increasing_id())
-    return numbered.select("id", "key", "line_no", F.unhex(F.md5("words")).alias("line_key"), "n_words", "words")
+    return numbered.select("id", "key", "print", "line_no", F.unhex(F.md5("words")).alias("line_key"), "n_words", "words")
 
 
 def simhash(lines: DataFrame) -> DataFrame:
@@ -183,8 +184,8 @@ def small_side(df: DataFrame, rows: int) -> DataFrame:
 def as_symbols(words: Column) -> Column:
     """Every word as one character, so that an edit distance over characters is one over words.
 
-    The 20,000 characters are picked by hash: different words are taken for equal
-    once in 20,000.
+    The 20,000 characters are picked by hash, so different words may look equal: the
+    distance is the true one at most, and what it lets through is compared by `exact`.
     """
     return F.decode(F.unhex(F.array_join(F.transform(F.split(words, " "), lambda w: F.hex(F.pmod(F.xxhash64(w), F.lit(20_000)) + 0x4E00)), "")), "UTF-16BE")
 
@@ -210,12 +211,30 @@ def similar(a: Column, b: Column, n_a: Column, n_b: Column) -> Column:
     return sizes_fit(n_a, n_b) & (foreign(a, b) <= most) & (foreign(b, a) <= most) & (near >= 0)
 
 
-def verify(pairs: DataFrame, symbols: DataFrame) -> DataFrame:
+def numbered(words: Column, among: Column) -> Column:
+    """The same with one character for each different word `among` those of a pair, by its place there."""
+    place = lambda w: F.array_position(among, w).cast("int") - 1
+    high, low = (lambda p: F.shiftright(p, 10) + 0xD800), (lambda p: p.bitwiseAND(0x3FF) + 0xDC00)
+    return F.decode(F.unhex(F.array_join(F.transform(words, lambda w: F.concat(F.hex(high(place(w))), F.hex(low(place(w))))), "")), "UTF-16BE")
+
+
+def exact(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """Those pairs (a, b) of line ids whose words themselves are similar."""
+    found = lines.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi").select("id", "n_words", F.split("words", " ").alias("w"))
+    held = materialize(found, "pair_words")
+    left, right = (held.select(F.col("id").alias(x), F.col("w").alias(f"w{x}"), F.col("n_words").alias(f"n{x}")) for x in ("a", "b"))
+    both = pairs.join(left, "a").join(right, "b").withColumn("among", F.array_union("wa", "wb"))
+    edits = F.call_function("levenshtein", numbered(F.col("wa"), F.col("among")), numbered(F.col("wb"), F.col("among")), most_edits(F.col("na"), F.col("nb")))
+    return both.where(edits >= 0).select("a", "b")
+
+
+def verify(pairs: DataFrame, symbols: DataFrame, lines: DataFrame) -> DataFrame:
     """Those pairs (a, b) of line ids that are similar."""
     left = symbols.select(F.col("id").alias("a"), F.col("symbols").alias("sa"), F.col("n_words").alias("na"))
     right = symbols.select(F.col("id").alias("b"), F.col("symbols").alias("sb"), F.col("n_words").alias("nb"))
     both = pairs.join(left, "a").join(right, "b")
-    return both.where(similar(F.col("sa"), F.col("sb"), F.col("na"), F.col("nb"))).select("a", "b")
+    near = both.where(similar(F.col("sa"), F.col("sb"), F.col("na"), F.col("nb"))).select("a", "b")
+    return exact(materialize(near, "near"), lines)
 
 
 def symbols_of(lines: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -239,7 +258,7 @@ def links(lines: DataFrame, hashes: DataFrame) -> DataFrame:
     beside = shared.where((F.col("id") != F.col("hub")) & sizes_fit(F.col("n_words"), F.col("hub_words"))).select(F.col("id").alias("a"), F.col("hub").alias("b"))
     every = named.unionByName(inside).unionByName(beside).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     wanted = materialize(every.distinct(), "first_pairs")
-    first = materialize(verify(wanted, symbols_of(lines, wanted)), "first_links")
+    first = materialize(verify(wanted, symbols_of(lines, wanted), lines), "first_links")
     labels = components(first, "a", "b").withColumnRenamed("node", "id")
 
     # What the first round left apart: pairs of different components within a bucket.
@@ -254,14 +273,15 @@ def links(lines: DataFrame, hashes: DataFrame) -> DataFrame:
     second = materialize(pairs.join(wanted, ["a", "b"], "left_anti"), "second_pairs")
     if second.isEmpty():
         return first
-    return first.unionByName(materialize(verify(second, symbols_of(lines, second)), "second_links"))
+    return first.unionByName(materialize(verify(second, symbols_of(lines, second), lines), "second_links"))
 
 
 def find_copies(df: DataFrame, key: str, text: str, short: bool = False) -> DataFrame:
-    """`key, line_no` of every line that repeats or resembles an earlier one of its group.
+    """`key, print, line_no` of every line that repeats or resembles an earlier one of its group.
 
     With `short`, lines of fewer than `MIN_WORDS` words are groups of exact copies; without
-    it they are left alone. Rows with the same key count as one occurrence. Null texts have no lines.
+    it they are left alone. Rows with the same key and text count as one occurrence, those with
+    the same key and other texts are apart, told by `print`, a hash of the text. Null texts have no lines.
     """
     lines = materialize(split_lines(df, key, text, 1 if short else MIN_WORDS), "lines")
     long = lines.where(F.col("n_words") >= MIN_WORDS)
@@ -273,10 +293,10 @@ def find_copies(df: DataFrame, key: str, text: str, short: bool = False) -> Data
     if short:
         copies = lines.where(F.col("n_words") < MIN_WORDS).groupBy("line_key").agg(F.min("id").alias("group"), F.count("*").alias("n")).where("n > 1")
         repeated = repeated.unionByName(copies.select("line_key", "group"))
-    each = materialize(lines.select("key", "line_no", "line_key").join(repeated, "line_key").select("key", "line_no", "group"), "copies")
-    where = F.struct("key", "line_no")
+    each = materialize(lines.select("key", "print", "line_no", "line_key").join(repeated, "line_key").select("key", "print", "line_no", "group"), "copies")
+    where = F.struct("key", "print", "line_no")
     kept = each.groupBy("group").agg(F.min(where).alias("kept"))
-    return each.join(kept, "group").where(~where.eqNullSafe(F.col("kept"))).select("key", "line_no")
+    return each.join(kept, "group").where(~where.eqNullSafe(F.col("kept"))).select("key", "print", "line_no")
 
 
 def deduplicate(df: DataFrame, key: str, text: str, short: bool = False) -> DataFrame:
@@ -284,14 +304,18 @@ def deduplicate(df: DataFrame, key: str, text: str, short: bool = False) -> Data
 
     Null text stays null with no lines; empty text is one empty line. A text that
     loses all its lines becomes empty. Columns named n_lines or n_removed are
-    replaced; all others stay.
+    replaced; all others stay, whatever their names.
     """
-    gone = materialize(find_copies(df, key, text, short).groupBy("key").agg(F.collect_set("line_no").alias("_gone")), "gone")
-    n_gone = gone.agg(F.sum(F.size("_gone") + 1)).first()[0] or 0
-    out = df.join(small_side(gone.withColumnRenamed("key", "_key"), n_gone), df[key].eqNullSafe(F.col("_key")), "left").drop("_key")
-    kept = F.filter(F.split(text, "\n"), lambda line, i: ~F.array_contains("_gone", i))
-    return out.withColumns({
-        "n_lines": F.coalesce(F.size(F.split(text, "\n")).cast("long"), F.lit(0)).cast("long"),
-        "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"),
-        text: F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")),
-    }).drop("_gone")
+    gone = materialize(find_copies(df, key, text, short).groupBy("key", "print").agg(F.collect_set("line_no").alias("gone")), "gone")
+    n_gone = gone.agg(F.sum(F.size("gone") + 1)).first()[0] or 0
+    row = F.struct(*[df[c] for c in df.columns]).alias("row")
+    whole = df.select(row, df[key].alias("own_key"), F.xxhash64(df[text]).alias("own_print"))
+    out = whole.join(small_side(gone, n_gone), F.col("own_key").eqNullSafe(F.col("key")) & (F.col("own_print") == F.col("print")), "left")
+    old = F.col("row").getField(text)
+    kept = F.array_join(F.filter(F.split(old, "\n"), lambda line, i: ~F.array_contains("gone", i)), "\n")
+    made = {
+        "n_lines": F.coalesce(F.size(F.split(old, "\n")).cast("long"), F.lit(0)).cast("long"),
+        "n_removed": F.coalesce(F.size("gone"), F.lit(0)).cast("long"), text: F.when(F.col("gone").isNull(), old).otherwise(kept),
+    }
+    names = [*df.columns, *[n for n in ("n_lines", "n_removed") if n not in df.columns]]
+    return out.select(*[(made[c] if c in made else F.col("row").getField(c)).alias(c) for c in names])

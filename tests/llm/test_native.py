@@ -208,3 +208,32 @@ def test_short_copies_and_unspaced_lines(spark):
     rows = [(1, "All rights reserved.\n}\n" + han), (2, "all rights reserved\n}\n" + han.replace("公", "花")), (3, "some rights reserved\n\n"), (4, "\n" + han[:3])]
     df = spark.createDataFrame(rows, "key long, text string")
     assert {(r["key"], r["line_no"]) for r in lines.find_copies(df, "key", "text", short=True).collect()} == {(2, 0), (2, 2)}
+
+
+def test_lines_of_one_template_stay_if_their_words_differ(spark):
+    """15 words, 4 of them random: similarity 0.73, which equal hashes of words must not lift."""
+    rng = random.Random(31)
+    start = "the quick report of station number one says that"
+    texts = [f"{start} {' '.join('w' + str(rng.randrange(10**9)) for _ in range(4))} at noon" for _ in range(800)]
+    df = spark.createDataFrame(list(enumerate(texts)), "key long, text string")
+    assert lines.find_copies(df, "key", "text").count() == 0
+
+
+def test_word_numbers_reach_beyond_the_first_plane(spark):
+    words = [f"w{i}" for i in range(2_500)]
+    df = spark.createDataFrame([(words, list(reversed(words)))], "a array<string>, b array<string>")
+    row = df.select(lines.numbered(F.col("a"), F.array_union("a", "b")).alias("x"), lines.numbered(F.col("b"), F.array_union("a", "b")).alias("y")).first()
+    assert len(set(row.x)) == 2_500 and row.y == row.x[::-1] and ord(row.x[0]) == 0x10000 and ord(row.x[-1]) == 0x10000 + 2_499
+
+
+def test_rows_of_one_key_and_names_that_clash(spark):
+    same = "one two three four five six seven eight nine ten"
+    rows = [(1, f"alone here with quite other words than all the rest\n{same}"), (2, f"{same}\nx"), (2, "only this row has words such as these ones in it"), (3, same), (3, same)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for name in ("_key", "_gone", "key", "gone", "row", "print", "line_no", "n_lines"):
+        df = df.withColumn(name, F.lit("kept"))
+    cleaned = lines.deduplicate(df, "doc_id", "text")
+    got = sorted((r["doc_id"], r["text"], r["n_lines"], r["n_removed"], r["_key"], r["_gone"], r["row"]) for r in cleaned.collect())
+    rest = ("kept", "kept", "kept")
+    assert got == sorted([(1, rows[0][1], 2, 0, *rest), (2, "x", 2, 1, *rest), (2, rows[2][1], 1, 0, *rest), (3, "", 1, 1, *rest), (3, "", 1, 1, *rest)])
+    assert set(cleaned.columns) == {*df.columns, "n_removed"}
