@@ -181,13 +181,17 @@ def small_side(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def symbol(word: Column) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(20_000))
+
+
 def as_symbols(words: Column) -> Column:
     """Every word as one character, so that an edit distance over characters is one over words.
 
     The 20,000 characters are picked by hash, so different words may look equal: the
     distance is the true one at most, and what it lets through is compared by `exact`.
     """
-    return F.decode(F.unhex(F.array_join(F.transform(F.split(words, " "), lambda w: F.hex(F.pmod(F.xxhash64(w), F.lit(20_000)) + 0x4E00)), "")), "UTF-16BE")
+    return F.decode(F.unhex(F.array_join(F.transform(F.split(words, " "), lambda w: F.hex(symbol(w) + 0x4E00)), "")), "UTF-16BE")
 
 
 def most_edits(n_a: Column, n_b: Column) -> Column:
@@ -224,8 +228,10 @@ def exact(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     held = materialize(found, "pair_words")
     left, right = (held.select(F.col("id").alias(x), F.col("w").alias(f"w{x}"), F.col("n_words").alias(f"n{x}")) for x in ("a", "b"))
     both = pairs.join(left, "a").join(right, "b").withColumn("among", F.array_union("wa", "wb"))
+    # Without two words of one symbol the distance over symbols was the true one already.
+    apart = F.size(F.array_distinct(F.transform("among", symbol))) == F.size("among")
     edits = F.call_function("levenshtein", numbered(F.col("wa"), F.col("among")), numbered(F.col("wb"), F.col("among")), most_edits(F.col("na"), F.col("nb")))
-    return both.where(edits >= 0).select("a", "b")
+    return both.where(apart | (edits >= 0)).select("a", "b")
 
 
 def verify(pairs: DataFrame, symbols: DataFrame, lines: DataFrame) -> DataFrame:
