@@ -21,10 +21,10 @@ PERCENT_VARS = ("humid", "clouds")
 
 
 def _uniform(*parts: Column | str | int) -> Column:
-    """A value in (0, 1] that depends only on `parts`, not on partitioning."""
-    columns = [p if isinstance(p, Column) else F.lit(p) for p in parts]
-    bits = F.shiftrightunsigned(F.xxhash64(*columns), 11)
-    return (bits + 1) / F.lit(float(2**53))
+    """A value in (0, 1] that depends only on `parts`, not on partitioning: the first 48 bits of their md5."""
+    columns = [p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts]
+    digits = F.substring(F.md5(F.concat_ws("|", *columns)), 1, 12)
+    return (F.conv(digits, 16, 10).cast("long") + 1) / F.lit(float(2**48))
 
 
 def standard_normal(*parts: Column | str | int) -> Column:
@@ -42,7 +42,7 @@ def forecast_noise(daily: DataFrame, max_horizon: int, seed: int = 42) -> DataFr
 
     def noisy(variable: str, day: int) -> Column:
         first, growth = FORECAST_NOISE[variable]
-        error = standard_normal(F.col("city"), F.col("collection_timestamp"), variable, day, seed)
+        error = standard_normal(F.col("city"), F.unix_micros("collection_timestamp"), variable, day, seed)
         value = F.col(f"fw_{variable}{day}") + (first + growth * (day - 1)) * error
         return clip_percent(value) if variable in PERCENT_VARS else value
 

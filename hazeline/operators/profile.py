@@ -96,7 +96,9 @@ def history_summary(df: DataFrame) -> DataFrame:
         F.min(S.TIME).alias("first_ts"), F.max(S.TIME).alias("last_ts"),
     )
     median = quantiles(df.select(F.lit(1).alias("_one"), F.col("aqi").alias("value")), ["_one"], {"aqi_median": 0.5})
-    return join_on(plain, median.drop("n"), ["_one"], "left").drop("_one")
+    # Two rows at most are stacked, so no join is needed.
+    both = plain.drop("_one").unionByName(median.select("aqi_median"), allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in ("rows", "cities", "aqi_mean", "aqi_median", "first_ts", "last_ts")]).filter(F.col("rows").isNotNull())
 
 
 def history_window(df: DataFrame, days: int) -> DataFrame:

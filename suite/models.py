@@ -12,16 +12,17 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import functions as F
 
 from hazeline.functions.calendar import time_fields
+from hazeline.functions.noise import FORECAST_NOISE, PERCENT_VARS
 from hazeline.functions.noise import forecast_noise as add_noise
 from hazeline.operators import daily, features, metrics, splits
 from hazeline.plans import daily_models, linear, reports, trees
 from hazeline.schemas import FUTURE_VARS, HORIZONS, TIME
 from hazeline.session import materialize, scratch_path
 from hazeline.sources import registry
-from suite.bindings import SENSOR, Suite, sensor, station
+from suite.bindings import NUDGE, SENSOR, Suite, sensor, station
 from suite.profiles import PROFILED, scores_sql
 from suite.profiles import suite as profiles
-from suite.series import COMPLETE, DAILY, NAIVE, TARGETS, W, rnd
+from suite.series import COMPLETE, DAILY, FUTURE, NAIVE, TARGETS, W, rnd
 
 suite = Suite()
 HOURLY = ["temperature", "humidity", "pressure", "wind_speed", "pm2_5", "aqi_lag_1", "aqi_lag_24", "aqi_rolling_mean_24h", "aqi"]
@@ -74,7 +75,22 @@ def coefficient_rank(spark, sf_dir):
     return daily_models.coefficients(ridges(spark, sf_dir))
 
 
-@suite.query("forecast_noise")
+def noise_sql(variable: str, day: int) -> str:
+    first, growth = FORECAST_NOISE[variable]
+    part = lambda side: (
+        f"((CAST('0x' || substr(md5(concat_ws('|', city, epoch_us(collection_timestamp), '{variable}', {day}, 42, '{side}')), 1, 12) AS BIGINT) + 1) / 281474976710656.0::DOUBLE)"
+    )
+    name = f"fw_{variable}{day}"
+    value = f"{name} + {first + growth * (day - 1)}::DOUBLE * sqrt(-2.0::DOUBLE * ln({part('radius')})) * cos(2 * pi() * {part('angle')})"
+    clipped = f"CASE WHEN {name} IS NOT NULL THEN least(greatest({value}, 0), 100) END" if variable in PERCENT_VARS else value
+    return f"round({clipped} + {NUDGE}, 6) + 0 AS {name}"
+
+
+@suite.query(
+    "forecast_noise",
+    f"""WITH {DAILY}, led AS (SELECT city, collection_timestamp, {', '.join(f'{e} AS {n}' for n, e in FUTURE.items())} FROM daily)
+    SELECT city, collection_timestamp, {', '.join(noise_sql(v, h) for _, h in HORIZONS for v in FUTURE_VARS)} FROM led""",
+)
 def forecast_noise(spark, sf_dir):
     rows = daily.future_weather_lead(daily.daily_resample(station(spark, sf_dir)))
     noisy = add_noise(rows, len(HORIZONS))
@@ -246,7 +262,7 @@ def ridge_ml_single(spark, sf_dir):
 @suite.query("horizon_sweep")
 def horizon_sweep(spark, sf_dir):
     table = features.build_features(sensor(spark, sf_dir), complete_only=False)
-    return reports.horizon_sweep(table, boosted(), {}, HOURLY, horizons=(6, 72))
+    return reports.horizon_sweep(table, boosted(), {}, HOURLY)
 
 
 SWEPT = f"""{SENSOR}, valid AS (SELECT city, collection_timestamp, aqi, month(collection_timestamp) AS m, {NAIVE['roll_mean_24h']} AS roll_mean_24h,

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from hazeline.operators import metrics, profile, splits
 from hazeline.operators.features import series_features
 from suite.bindings import NUDGE, SENSOR, STATION, Suite, rounded, sensor, station, table
-from suite.series import COMPLETE, PLACED, THREE, W, rnd
+from suite.series import CHANGES, COMPLETE, LAGS, PLACED, ROLLING, THREE, W, rnd
 
 suite = Suite()
-PROFILED = ("aqi", "pm2_5", "pm10", "temperature", "humidity", "wind_speed", "pressure", "clouds", "feels_like")
+#: Every numeric column of the sensor table.
+PROFILED = ("aqi", "pm2_5", "pm10", "temperature", "humidity", "wind_speed", "pressure", "clouds", "feels_like", "wind_direction", "user_id", "ingest_seq")
 LONG = "long AS (" + " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", CAST({c} AS DOUBLE) AS value FROM sensor WHERE {c} IS NOT NULL" for c in PROFILED
 ) + ")"
@@ -31,7 +32,7 @@ def dataset_quality(spark, sf_dir):
     return out.select(*[F.col(c).cast("long").alias(c) for c in out.columns])
 
 
-MISSING = [*PROFILED, "wind_direction", "city", "user_id", "ingest_seq"]
+MISSING = [*PROFILED, "city"]
 MISSING_SQL = " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", avg(CASE WHEN {c} IS NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS missing, "
     f"count(*) FILTER (WHERE {c} IS NULL) AS missing_count, count(*) AS n FROM sensor" for c in MISSING
@@ -91,10 +92,13 @@ def describe(spark, sf_dir):
 # Lines as they would be without their numbers, so that full rows repeat.
 @suite.query(
     "duplicate_rows",
-    "SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT * EXCLUDE (l_orderkey, l_linenumber) FROM lineitem)) AS duplicate_rows FROM lineitem",
+    "WITH twice AS (SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_linenumber = 1) "
+    "SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM twice)) AS duplicate_rows FROM twice",
 )
 def duplicate_rows(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").drop("l_orderkey", "l_linenumber")
+    """Whole rows; the first line of every order stands there twice."""
+    items = table(spark, sf_dir, "lineitem")
+    rows = items.unionByName(items.filter("l_linenumber = 1"))
     return profile.duplicate_rows(rows).select(F.col("duplicate_rows").cast("long").alias("duplicate_rows"))
 
 
@@ -106,7 +110,7 @@ def distinct_values(spark, sf_dir):
     return profile.distinct_values(table(spark, sf_dir, "orders"), ["o_orderstatus", "o_orderpriority"])
 
 
-CORRELATED = ["aqi", "pm2_5", "pm10", "temperature", "humidity", "feels_like", "wind_speed"]
+CORRELATED = list(PROFILED)
 
 
 @suite.query(
@@ -119,16 +123,17 @@ def correlation_matrix(spark, sf_dir):
     return profile.correlation_matrix(sensor(spark, sf_dir), CORRELATED)
 
 
-RELATED = ["aqi", "pm2_5", "temperature", "humidity", "aqi_lag_1", "aqi_lag_24", "aqi_lag_168", "pm2_5_lag_1", "aqi_rolling_mean_24h", "aqi_rolling_std_48h"]
+#: All columns but those that are another one on a different scale, whose ties would decide who is among the first.
+RELATED = [c for c in (*PROFILED, *LAGS, *CHANGES, *ROLLING) if not c.startswith(("temperature", "feels_like"))]
 
 
 @suite.query(
     "target_correlation",
     f"WITH {COMPLETE}, r AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, corr({c}, aqi_target) AS r FROM wide" for c in RELATED)
-    + f") SELECT feature, {rounded('r')} FROM r ORDER BY abs(r.r) DESC LIMIT 5",
+    + f") SELECT feature, {rounded('r')} FROM r ORDER BY abs(r.r) DESC LIMIT 20",
 )
 def target_correlation(spark, sf_dir):
-    return profile.target_correlation(series_features(sensor(spark, sf_dir)), RELATED, k=5)
+    return profile.target_correlation(series_features(sensor(spark, sf_dir)), RELATED, k=20)
 
 
 @suite.query(
