@@ -9,8 +9,8 @@ probability for each language; the text takes the language with the largest sum.
 A word of more than `LETTERS` letters, such as a run of a script without spaces, is
 cut into pieces of so many characters, and each takes a place of its own in the chain.
 
-Texts are cut into blocks of `BLOCK` words. The product of the step matrices of a
-block carries probabilities across it, so all blocks of a batch advance together
+Texts of more than `BLOCK` words are cut into blocks. The product of the step matrices
+of a block carries probabilities across it, so all blocks of a batch advance together
 and one very long text takes no more steps than many short ones.
 """
 
@@ -22,19 +22,19 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hazeline.llm import batches
+from hazeline.llm.shingles import MIX, mixed
 
 UNKNOWN = "und"
 #: Bound of the sample that the model is fitted on: texts of each language, and characters in a text.
 SAMPLE, LONGEST = 300, 20_000
 FEATURES = 1 << 17
 SEQUENCES, LENGTH, ROUNDS = 3_000, 48, 40
-BLOCK, LETTERS = 128, 64
+BLOCK, LETTERS = 512, 64
 CACHED = 300_000
 
 
@@ -45,15 +45,53 @@ class Model:
     moves: np.ndarray
 
 
-def features(word: str) -> list[int]:
-    """Feature numbers of a word; one of no letters has only the one that all words share."""
-    w = "".join(c for c in word.lower() if c.isalpha())
-    if not w:
-        return [0]
-    edged = f"<{w}>"
-    named = ["w" + w, *("p" + w[:n] for n in (1, 2, 3)), *("s" + w[-n:] for n in (1, 2, 3))]
-    named += ["g" + edged[i : i + n] for n in (2, 3) for i in range(len(edged) - n + 1)]
-    return [0, *(1 + xxhash.xxh32_intdigest(f) % (FEATURES - 1) for f in named)]
+#: Hash seeds of the kinds of features: the word, its first and last letters, and its runs of two and of three.
+WORD, PREFIX, SUFFIX, TWO, THREE = (np.uint64(n << 60) for n in range(1, 6))
+
+
+def letters_of(word: str) -> str:
+    w = word.lower()
+    return w if w.isalpha() else "".join(filter(str.isalpha, w))
+
+
+def numbered(seed: np.uint64, *codes: np.ndarray) -> np.ndarray:
+    """Feature numbers of runs of up to three letters, given the code of each letter, 0 for none."""
+    key = np.full(len(codes[0]), seed)
+    for place, code in enumerate(codes):
+        key |= code << np.uint64(20 * place)
+    return 1 + (mixed(mixed(key)) % np.uint64(FEATURES - 1)).astype(np.int64)
+
+
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Feature numbers of all words in a row, and how many each word has.
+
+    All words share feature 0. One without letters has no other.
+    """
+    letters = list(map(letters_of, words))
+    size = np.fromiter(map(len, letters), np.int64, len(letters))
+    count = np.where(size > 0, 9 + 2 * size, 1)
+    out = np.zeros(int(count.sum()), np.int64)
+    some = np.flatnonzero(size)
+    if not len(some):
+        return out, count
+    n, base = size[some], (np.cumsum(count) - count)[some] + 1
+    # Every word between two edges; the codes of letters have 20 bits, and those beyond the planes in use none at all.
+    code = np.frombuffer("".join(f"<{letters[i]}>" for i in some.tolist()).encode("utf-32-le"), np.uint32).astype(np.uint64) & np.uint64(0xFFFFF)
+    first = np.cumsum(n + 2) - n - 1
+    last, none = first + n - 1, np.uint64(0)
+    factor = np.cumprod(np.full(int(n.max()) + 2, MIX))
+    owner = np.repeat(np.arange(len(n)), n + 2)
+    place = np.arange(len(code)) - (first - 1)[owner]
+    whole = np.add.reduceat(code * factor[place], first - 1)
+    out[base] = 1 + (mixed(whole ^ WORD) % np.uint64(FEATURES - 1)).astype(np.int64)
+    heads = [np.where(n > k, code[np.minimum(first + k, last)], none) for k in range(3)]
+    tails = [np.where(n > k, code[np.maximum(last - k, first)], none) for k in range(3)]
+    for k in range(3):
+        out[base + 1 + k], out[base + 4 + k] = numbered(PREFIX, *heads[: k + 1]), numbered(SUFFIX, *tails[: k + 1])
+    for length, seed, at in ((2, TWO, base + 7), (3, THREE, base + 8 + n)):
+        begin = np.flatnonzero(place <= (n + 2 - length)[owner])
+        out[at[owner[begin]] + place[begin]] = numbered(seed, *(code[begin + k] for k in range(length)))
+    return out, count
 
 
 def words_of(text: str) -> list[str]:
@@ -122,10 +160,8 @@ def fit(texts: list[tuple[str, str]]) -> Model:
     number = {w: i for i, w in enumerate(vocabulary)}
     ids = np.array([[number[w] for w in s] for s in words]).T
     truth = truth.T
-    lists = [features(w) for w in vocabulary]
-    flat = np.fromiter(chain.from_iterable(lists), np.int64)
-    sizes = np.array(list(map(len, lists)))
-    starts, owner = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(lists)), sizes)
+    flat, sizes = features(vocabulary)
+    starts, owner = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(vocabulary)), sizes)
     used, flat = np.unique(flat, return_inverse=True)
     parameters = [np.zeros((len(used), k)), np.zeros((k, k))]
     means, squares = [[np.zeros_like(p) for p in parameters] for _ in range(2)]
@@ -177,10 +213,8 @@ class Labeller:
         self.letters = np.zeros(0, bool)
 
     def learn(self, words: list[str]) -> None:
-        lists = [features(w) for w in words]
-        sizes = np.array(list(map(len, lists)))
-        weights = self.model.weights[np.fromiter(chain.from_iterable(lists), np.int64)]
-        emission = np.add.reduceat(weights, np.cumsum(sizes) - sizes)
+        flat, sizes = features(words)
+        emission = np.add.reduceat(self.model.weights[flat], np.cumsum(sizes) - sizes)
         self.near = np.concatenate([self.near, np.exp(np.maximum(emission - emission.max(1, keepdims=True), -60))])
         # A letter gives a word more than the shared feature.
         self.letters = np.concatenate([self.letters, sizes > 1])
@@ -209,11 +243,14 @@ class Labeller:
         order = np.argsort(-size, kind="stable")
         first, size, n = first[order], size[order], len(order)
         active = [int(np.searchsorted(-size, -t)) for t in range(BLOCK)]  # blocks of more than t words
-        matrix = np.tile(np.eye(k, dtype=np.float32), (n, 1, 1))
+        # Only blocks with others beside them need the matrix that carries across; they keep the order by size.
+        beside = blocks[text[order]] > 1
+        among, start = np.cumsum(beside) - 1, first[beside]
+        matrix = np.tile(np.eye(k, dtype=np.float32), (len(start), 1, 1))
         for t in range(BLOCK):
-            if not (a := active[t]):
+            if not (a := int(beside[: active[t]].sum())):
                 break
-            m = (matrix[:a] @ self.step) * near[first[:a] + t][:, None, :]
+            m = (matrix[:a] @ self.step) * near[start[:a] + t][:, None, :]
             matrix[:a] = m / m.max((1, 2), keepdims=True)
         # Across the blocks of a text: states before each block, and what follows it.
         row = np.empty(n, np.int64)
@@ -226,6 +263,8 @@ class Labeller:
             some = by_blocks[: np.searchsorted(-blocks[by_blocks], -b)]
             here, last = row[base[some] + b], row[base[some] + blocks[some] - 1 - b]
             before[here], after[last] = state[some], follow[some]
+            more = blocks[some] > 1
+            some, here, last = some[more], among[here[more]], among[last[more]]
             s, f = (state[some][:, None, :] @ matrix[here])[:, 0], (matrix[last] @ follow[some][:, :, None])[:, :, 0]
             state[some], follow[some] = s / s.sum(1, keepdims=True), f / f.sum(1, keepdims=True)
         out = np.empty_like(near)
@@ -257,19 +296,26 @@ def label(df: DataFrame, text: str, model: Model, keep: list[str]) -> DataFrame:
 
     Words are those of `words_of`. `score` is the mean probability of that language over the words with letters;
     `runs` are the languages of consecutive words, (lang, n_words), in order. Null
-    texts and those without letters are `und` with score 0.
+    texts and those without letters are `und` with score 0. Of `keep`, columns with those
+    names are replaced; others may have any name.
     """
-    run_type = T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("n_words", T.LongType())]))
-    schema = T.StructType([*[df.schema[c] for c in keep], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("n_words", T.LongType()), T.StructField("runs", run_type)])
+    made = [
+        T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("n_words", T.LongType()),
+        T.StructField("runs", T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("n_words", T.LongType())]))),
+    ]
+    keep = [c for c in keep if c not in {f.name for f in made}]
+    schema = T.StructType([*[df.schema[c] for c in keep], *made])
     shared = df.sparkSession.sparkContext.broadcast(model)
+    # Longer than any name that is kept.
+    body = "_".join(["_", *keep])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller, labels = Labeller(shared.value), np.array([*shared.value.labels, UNKNOWN])
         unknown = len(labels) - 1
-        for batch in batches.slices(rows, "_text"):
+        for batch in batches.slices(rows, body):
             n = batch.num_rows
             if unknown:
-                marginal, letters, counts = labeller.marginals(batches.texts(batch, "_text"))
+                marginal, letters, counts = labeller.marginals(batches.texts(batch, body))
                 owner = np.repeat(np.arange(n), counts)
                 sums = np.stack([np.bincount(owner, marginal[:, j] * letters, n) for j in range(unknown)], 1)
                 known = np.bincount(owner, letters, n)
@@ -291,4 +337,4 @@ def label(df: DataFrame, text: str, model: Model, keep: list[str]) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return df.select(*keep, df[text].alias("_text")).mapInArrow(run, schema)
+    return df.select(*keep, df[text].alias(body)).mapInArrow(run, schema)

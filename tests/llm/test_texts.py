@@ -144,7 +144,7 @@ def test_blocks_give_the_plain_forward_backward():
     rng = np.random.default_rng(3)
     model = langid.Model(["a", "b", "c"], np.zeros((langid.FEATURES, 3), np.float32), rng.normal(size=(3, 3)).astype(np.float32))
     labeller = langid.Labeller(model)
-    counts = np.array([5, 0, 1, 700, 128, 129])
+    counts = np.array([5, 0, 1, 700, 512, 513, 1_600, 128])
     near = np.exp(rng.normal(size=(counts.sum(), 3))).astype(np.float32)
     got, at = labeller.chain(near, counts), 0
     for n in counts:
@@ -162,6 +162,50 @@ def test_blocks_give_the_plain_forward_backward():
         at += n
 
 
+def test_features_of_a_word_do_not_depend_on_its_neighbours():
+    words = ["the", "The", "a", "", "--", "don't", "\u0130x", "\u00e9", "\U0001034d", "x" * 64, "ab", "\u65e5\u672c"]
+    flat, sizes = langid.features(words)
+    parts = np.split(flat, np.cumsum(sizes)[:-1])
+    for word, part in zip(words, parts, strict=True):
+        assert part.tolist() == langid.features([word])[0].tolist()
+        n = sum(map(str.isalpha, word.lower()))
+        assert len(part) == (9 + 2 * n if n else 1) and part[0] == 0 and (part[1:] > 0).all() and part.max() < langid.FEATURES
+    assert parts[0].tolist() == parts[1].tolist() != parts[2].tolist()
+
+
+def test_labelling_equals_a_plain_chain(spark):
+    model = langid.fit([("de", "und sie der die das ist nicht " * 5), ("en", "the of and is was it not " * 5), ("fr", "le la et les des est pas " * 5)])
+    rng = np.random.default_rng(4)
+    words = "und sie der the of and le la et 12 - Haus house maison".split()
+    texts = [" ".join(rng.choice(words, n)) for n in (1, 3, 40, 511, 512, 513, 1_300)]
+    df = spark.createDataFrame([(i, t, 0.5, "x", 7) for i, t in enumerate(texts)], "doc_id long, text string, score double, _text string, n_words int")
+    rows = langid.label(df, "text", model, ["doc_id", "score", "_text", "n_words"])
+    assert rows.columns == ["doc_id", "_text", "lang_pred", "score", "n_words", "runs"]
+    step = np.exp(model.moves.astype(float))
+    for r in rows.collect():
+        each = texts[r["doc_id"]].split()
+        near = [np.exp(model.weights[langid.features([w])[0]].astype(float).sum(0)) for w in each]
+        forward, backward = [], [np.ones(3)]
+        state = np.full(3, 1 / 3)
+        for e in near:
+            state = state @ step * e
+            state /= state.sum()
+            forward.append(state)
+        for e in near[:0:-1]:
+            b = step @ (e * backward[-1])
+            backward.append(b / b.sum())
+        p = np.array(forward) * np.array(backward[::-1])
+        p /= p.sum(1, keepdims=True)
+        lettered = np.array([any(map(str.isalpha, w)) for w in each])
+        assert r["n_words"] == len(each) == sum(x["n_words"] for x in r["runs"])
+        if lettered.any():
+            mean = p[lettered].mean(0)
+            assert r["lang_pred"] == model.labels[mean.argmax()] and abs(r["score"] - mean.max()) < 1e-3
+            assert [x["lang"] for x in r["runs"] for _ in range(x["n_words"])] == [model.labels[k] for k in p.argmax(1)]
+        else:
+            assert (r["lang_pred"], r["score"]) == ("und", 0)
+
+
 def plain_counts(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
