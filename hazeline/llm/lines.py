@@ -18,7 +18,8 @@ an edit touches two word pairs at most, so alike lines of n words lack at most a
 2n/5 of each other's, and in any order of all word pairs the first `prefix_size` of
 both lines have one in common. Every line is an entry of the buckets of these; rare
 pairs come first in the order. The first line of a bucket is compared with the others,
-and then all pairs across the components found so far, so no link is lost.
+and then all pairs across the components found so far, so no link is lost. Pairs whose
+word bits, one of 256 for each word, differ in more places than edits allow are left out first.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazeline.llm.components import components
+from hazeline.llm.pii import let
 from hazeline.session import materialize
 
 MIN_WORDS = 8
@@ -42,6 +44,8 @@ SIMILARITY = 0.8
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 PAIRS = tuple(combinations(range(len(BLOCKS)), 2))
 LANES, WIDTH = 16, 16
+#: Columns of 64 bits each, a power of two of them, that tell which words a line has.
+WORD_BITS = ("m0", "m1", "m2", "m3")
 #: One line in so many is counted to learn which word pairs are common; at most so many pairs are kept, in a table of so many bytes.
 SAMPLED, COMMON, TABLE = 16, 50_000, 1 << 18
 #: Line numbers that a join may broadcast, 8 bytes each; beyond that it shuffles the texts.
@@ -52,12 +56,17 @@ ONES = 0x0001000100010001
 
 
 #: Characters of scripts that put no spaces between words; each is a word.
-UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])"
+#: All of them lie beyond the range named first, which spares most texts the lookup of scripts.
+UNSPACED = r"([\x{0E00}-\x{10FFFF}&&[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]])"
+
+
+#: Runs of anything but letters, digits and line ends, other than a single space, which may stay.
+REST = r"\x20*+[^a-z0-9\x20\n\p{L}\p{N}][^a-z0-9\n\p{L}\p{N}]*+|\x20{2,}+"
 
 
 def normalised(text: Column) -> Column:
     r"""Lower case, runs of anything but letters and digits as a space, spaces about unspaced characters; \n stays."""
-    return F.regexp_replace(F.regexp_replace(F.lower(text), UNSPACED, " $1 "), r"[^\p{L}\p{N}\n]+", " ")
+    return F.regexp_replace(F.regexp_replace(F.lower(text), UNSPACED, " $1 "), REST, " ")
 
 
 def split_lines(df: DataFrame, key: str, text: str, least: int = MIN_WORDS) -> DataFrame:
@@ -66,8 +75,9 @@ def split_lines(df: DataFrame, key: str, text: str, least: int = MIN_WORDS) -> D
     `id` numbers the rows; write them before using it more than once. `print` tells apart
     rows that share a key but not their text.
     """
-    # Whole texts are normalised, below the generator: the filter on the words would repeat it for each line.
-    lines = df.select(df[key].alias("key"), F.xxhash64(df[text]).alias("print"), F.posexplode(F.split(normalised(df[text]), "\n")).alias("line_no", "line"))
+    # Whole texts are hashed and normalised below the generator, which would carry them to each line.
+    whole = df.select(df[key].alias("key"), F.xxhash64(df[text]).alias("print"), normalised(df[text]).alias("flat"))
+    lines = whole.select("key", "print", F.posexplode(F.split("flat", "\n")).alias("line_no", "line"))
     words = lines.select("key", "print", "line_no", F.trim("line").alias("words"))
     counted = words.withColumn("n_words", F.char_length("words") - F.char_length(F.replace("words", F.lit(" "))) + 1)
     numbered = counted.where((F.col("n_words") >= least) & (F.col("words") != "")).withColumn("id", F.monotonically_increasing_id())
@@ -75,25 +85,27 @@ def split_lines(df: DataFrame, key: str, text: str, least: int = MIN_WORDS) -> D
 
 
 def simhash(lines: DataFrame) -> DataFrame:
-    """`line_key, id, n, s, n_words`: one row of it, copies, SimHash and size of each distinct line."""
+    """`line_key, id, n, s, n_words, m0, ...`: one row of it, copies, SimHash, size and word bits of each distinct line."""
     mask = F.lit(ONES)
     lanes = [F.sum(F.shiftrightunsigned("_hash", i).bitwiseAND(mask)).alias(f"l{i}") for i in range(LANES)]
     count = F.max("n_words").alias("n_words")
+    # A word sets one bit of all those of `WORD_BITS`.
+    bits = [F.expr(f"bit_or(if((_hash >> 6) & {len(WORD_BITS) - 1} = {i}, shiftleft(1L, cast(_hash & 63 as int)), 0L))").alias(m) for i, m in enumerate(WORD_BITS)]
     places = [(i, p) for i in range(LANES) for p in range(64 // LANES)]
     # Numbers alone are grouped, which is several times cheaper than grouping by the line's key.
     words = lines.where(F.col("n_words") < PART).select("id", "n_words", F.explode(F.split("words", " ")).alias("word"))
-    sums = words.select("id", "n_words", F.xxhash64("word").alias("_hash")).groupBy("id").agg(count, *lanes)
+    sums = words.select("id", "n_words", F.xxhash64("word").alias("_hash")).groupBy("id").agg(count, *bits, *lanes)
     # Four lanes at once: a count of more than half the words carries into bit 14.
     lift = (F.lit(PART - 1) - F.floor(F.col("n_words") / 2)).cast("long") * ONES
     carried = [F.shiftleft(F.shiftrightunsigned(F.col(f"l{i}") + F.col("lift"), 14).bitwiseAND(mask), i) for i in range(LANES)]
-    short = sums.withColumn("lift", lift).select("id", reduce(Column.bitwiseOR, carried).alias("s"))
+    short = sums.withColumn("lift", lift).select("id", reduce(Column.bitwiseOR, carried).alias("s"), *WORD_BITS)
     # Longer lines are counted in parts.
     words = lines.where(F.col("n_words") >= PART).select("id", "n_words", F.posexplode(F.split("words", " ")).alias("at", "word"))
-    parts = words.select("id", "n_words", F.floor(F.col("at") / PART).alias("part"), F.xxhash64("word").alias("_hash")).groupBy("id", "part").agg(count, *lanes)
-    wide = parts.groupBy("id").agg(count, *[F.sum(ones(i, p)).alias(f"b{i + LANES * p}") for i, p in places])
-    long = wide.select("id", reduce(Column.bitwiseOR, [bit(F.col(f"b{i}"), i) for i in range(64)]).alias("s"))
+    parts = words.select("id", "n_words", F.floor(F.col("at") / PART).alias("part"), F.xxhash64("word").alias("_hash")).groupBy("id", "part").agg(count, *bits, *lanes)
+    wide = parts.groupBy("id").agg(count, *[F.bit_or(m).alias(m) for m in WORD_BITS], *[F.sum(ones(i, p)).alias(f"b{i + LANES * p}") for i, p in places])
+    long = wide.select("id", reduce(Column.bitwiseOR, [bit(F.col(f"b{i}"), i) for i in range(64)]).alias("s"), *WORD_BITS)
     every = lines.select("id", "line_key", "n_words").join(short.unionByName(long), "id")
-    return every.groupBy("line_key").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.min("s").alias("s"), F.min("n_words").alias("n_words"))
+    return every.groupBy("line_key").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.min("s").alias("s"), F.min("n_words").alias("n_words"), *[F.min(m).alias(m) for m in WORD_BITS])
 
 
 def ones(lane: int, place: int) -> Column:
@@ -203,6 +215,17 @@ def sizes_fit(n_a: Column, n_b: Column) -> Column:
     return F.abs(n_a - n_b) <= most_edits(n_a, n_b)
 
 
+def plausible(pairs: DataFrame, hashes: DataFrame) -> DataFrame:
+    """Those pairs (a, b) of line ids of which few enough word bits are set for one line alone.
+
+    Each such bit stands for a word that the other line lacks, which takes an edit, so no alike pair is lost.
+    """
+    one, other = (hashes.select(F.col("id").alias(x), F.col("n_words").alias(f"n{x}"), *[F.col(m).alias(m + x) for m in WORD_BITS]) for x in ("a", "b"))
+    alone = lambda x, y: sum(F.bit_count(F.col(m + x).bitwiseAND(F.bitwise_not(F.col(m + y)))) for m in WORD_BITS)
+    few = F.greatest(alone("a", "b"), alone("b", "a")) <= most_edits(F.col("na"), F.col("nb"))
+    return pairs.join(one, "a").join(other, "b").where(few).select("a", "b")
+
+
 def foreign(a: Column, b: Column) -> Column:
     """Words of `a` that do not occur in `b`; each takes an edit."""
     return F.char_length(F.call_function("translate", a, b, F.lit("")))
@@ -215,11 +238,21 @@ def similar(a: Column, b: Column, n_a: Column, n_b: Column) -> Column:
     return sizes_fit(n_a, n_b) & (foreign(a, b) <= most) & (foreign(b, a) <= most) & (near >= 0)
 
 
+def clashing(among: Column) -> Column:
+    """The words `among` those of a pair that share their symbol with another one."""
+    ordered = F.sort_array(F.transform(among, lambda w: F.struct(symbol(w).alias("symbol"), w.alias("word"))))
+    same = lambda o, i, x: F.coalesce(F.get(o, i)["symbol"] == x["symbol"], F.lit(False))
+    return let(ordered, lambda o: F.transform(F.filter(o, lambda x, i: same(o, i - 1, x) | same(o, i + 1, x)), lambda x: x["word"]))
+
+
 def numbered(words: Column, among: Column) -> Column:
-    """The same with one character for each different word `among` those of a pair, by its place there."""
-    place = lambda w: F.array_position(among, w).cast("int") - 1
-    high, low = (lambda p: F.shiftright(p, 10) + 0xD800), (lambda p: p.bitwiseAND(0x3FF) + 0xDC00)
-    return F.decode(F.unhex(F.array_join(F.transform(words, lambda w: F.concat(F.hex(high(place(w))), F.hex(low(place(w))))), "")), "UTF-16BE")
+    """`as_symbols` of an array of words, but a character of its own, by its place there, for each word of `among`."""
+    def one(w: Column) -> Column:
+        place = F.array_position(among, w).cast("int") - 1
+        own = F.concat(F.hex(F.shiftright(place, 10) + 0xD800), F.hex(place.bitwiseAND(0x3FF) + 0xDC00))
+        return F.when(place >= 0, own).otherwise(F.hex(symbol(w) + 0x4E00))
+
+    return F.decode(F.unhex(F.array_join(F.transform(words, one), "")), "UTF-16BE")
 
 
 def exact(pairs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -227,11 +260,14 @@ def exact(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     found = lines.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi").select("id", "n_words", F.split("words", " ").alias("w"))
     held = materialize(found, "pair_words")
     left, right = (held.select(F.col("id").alias(x), F.col("w").alias(f"w{x}"), F.col("n_words").alias(f"n{x}")) for x in ("a", "b"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("among", F.array_union("wa", "wb"))
-    # Without two words of one symbol the distance over symbols was the true one already.
-    apart = F.size(F.array_distinct(F.transform("among", symbol))) == F.size("among")
-    edits = F.call_function("levenshtein", numbered(F.col("wa"), F.col("among")), numbered(F.col("wb"), F.col("among")), most_edits(F.col("na"), F.col("nb")))
-    return both.where(apart | (edits >= 0)).select("a", "b")
+    both = pairs.join(left, "a").join(right, "b")
+
+    def still_near(clash: Column) -> Column:
+        edits = F.call_function("levenshtein", numbered(F.col("wa"), clash), numbered(F.col("wb"), clash), most_edits(F.col("na"), F.col("nb")))
+        # Without two words of one symbol the distance over symbols was the true one already.
+        return (F.size(clash) == 0) | (edits >= 0)
+
+    return both.where(let(clashing(F.array_union("wa", "wb")), still_near)).select("a", "b")
 
 
 def verify(pairs: DataFrame, symbols: DataFrame, lines: DataFrame) -> DataFrame:
@@ -263,7 +299,7 @@ def links(lines: DataFrame, hashes: DataFrame) -> DataFrame:
     shared = materialize(word_buckets(lines, hashes), "buckets")
     beside = shared.where((F.col("id") != F.col("hub")) & sizes_fit(F.col("n_words"), F.col("hub_words"))).select(F.col("id").alias("a"), F.col("hub").alias("b"))
     every = named.unionByName(inside).unionByName(beside).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    wanted = materialize(every.distinct(), "first_pairs")
+    wanted = materialize(plausible(every.distinct(), hashes), "first_pairs")
     first = materialize(verify(wanted, symbols_of(lines, wanted), lines), "first_links")
     labels = components(first, "a", "b").withColumnRenamed("node", "id")
 
@@ -276,7 +312,7 @@ def links(lines: DataFrame, hashes: DataFrame) -> DataFrame:
         (F.col("l.component") < F.col("r.component")) & sizes_fit(F.col("l.n_words"), F.col("r.n_words"))
     )
     pairs = crossing.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
-    second = materialize(pairs.join(wanted, ["a", "b"], "left_anti"), "second_pairs")
+    second = materialize(plausible(pairs.join(wanted, ["a", "b"], "left_anti"), hashes), "second_pairs")
     if second.isEmpty():
         return first
     return first.unionByName(materialize(verify(second, symbols_of(lines, second), lines), "second_links"))
