@@ -284,3 +284,60 @@ def test_ingest_run_repeats_cleanly(spark, tmp_path):
     assert valid.count() == sum(h % 23 != 0 for h in hours)
     assert bad.count() == sum(h % 23 == 0 for h in hours)
     assert {r.status for r in spark.read.parquet(f"{out}/audit").collect() if r.records} == {"SUCCESS"}
+
+
+class Held:
+    """State of one key as a stream keeps it."""
+
+    def __init__(self, watermark):
+        self.watermark, self.value, self.hasTimedOut, self.timeout = watermark, None, False, None
+
+    exists = property(lambda self: self.value is not None)
+    get = property(lambda self: self.value)
+
+    def update(self, value):
+        self.value = value
+
+    def remove(self):
+        self.value = None
+
+    def setTimeoutTimestamp(self, at):
+        assert at > self.watermark
+        self.timeout = at
+
+    def getCurrentWatermarkMs(self):
+        return self.watermark
+
+
+def test_one_state_key_settles_many_hours_at_their_own_times():
+    import pandas as pd
+
+    def frame(*rows):
+        return pd.DataFrame(rows, columns=["request_city", "at", "rank", "seq", "problem", "body"])
+
+    def settled(state, *frames):
+        return sorted(tuple(r) for f in live.settle((7,), iter(frames), state) for r in f.itertuples(index=False))
+
+    state = Held(0)
+    early, late = 5_000_000, 9_000_000
+    first = settled(
+        state, frame(("x", early, 0, 0, None, "w"), ("x", early, 1, 1, None, "c"), ("y", early, 0, 0, None, "v"), ("y", early, 2, 1, None, "g")),
+        frame(("x", late, 0, 0, None, "u"), ("x", late, 1, 1, "refused", None)),
+    )
+    assert first == [("x", early, "w", "c", None)] and state.timeout == 5001
+    # The hour that has passed falls back although the key gets rows for another one; the later hour waits.
+    state.watermark = 6000
+    assert settled(state, frame(("x", late, 3, 2, None, "p"))) == [("y", early, "v", "g", None)] and state.timeout == 9001
+    state.watermark, state.hasTimedOut = 9500, True
+    assert settled(state) == [("x", late, "u", "p", None)] and not state.exists
+
+
+def test_the_expected_rows_of_a_feature_table_are_its_keys(spark, tmp_path):
+    from suite import sources
+
+    start = dt.datetime(2024, 1, 1)
+    rows = [(i, start + dt.timedelta(hours=i // 2), 1, "view", 90.0 + 10 * i, '{"k": 1}') for i in range(6)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+    found = {r.city: (r.n, r.aqi) for r in sources.suite.queries["feature_table_read"](spark, str(tmp_path)).collect()}
+    # The raised arrivals 91, 111 and 131 replace the others; of those above 100 the later of a pair is stored for the new city.
+    assert found == {"view": (3, 111.0), "view-new": (2, 130.0)}
