@@ -276,3 +276,22 @@ def test_feature_lists(spark):
         features.select_features(rows.select("city"))
     with pytest.raises(ValueError, match="nope"):
         features.complete_rows(rows, ["aqi", "nope"])
+
+
+def test_complete_rows_are_told_without_rolling_windows(spark):
+    import math
+
+    start = dt.datetime(2026, 1, 1, tzinfo=dt.timezone.utc)
+    rows = []
+    for city in "ab":
+        for i in range(400):
+            pm = None if 200 <= i < 223 or (city == "b" and i % 200 == 7) else math.nan if (city, i) == ("b", 300) else 1.0 * (i % 13)
+            rows.append((city, start + dt.timedelta(hours=i), float(i % 50), pm, 20.0, 40.0, i))
+    df = spark.createDataFrame(rows, "city string, collection_timestamp timestamp, aqi double, pm2_5 double, temperature double, humidity double, ingest_seq long")
+    built = features.build_features(df, horizon=24)
+    values = features.drop_incomplete(features.build_features(df, horizon=24, complete_only=False), df)
+    assert built.columns == values.columns
+    key = lambda frame: sorted((r.city, r.collection_timestamp) for r in frame.select("city", "collection_timestamp").collect())
+    assert key(built) == key(values) != []
+    plan = built.select("city", "aqi_lag_1")._jdf.queryExecution().optimizedPlan().toString()
+    assert "stddev" not in plan and "avg(" not in plan
