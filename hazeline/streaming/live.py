@@ -66,12 +66,12 @@ NORMALISED = {
 }
 
 
-def arrivals(payloads: DataFrame) -> DataFrame:
-    """`request_city, time, rank, seq, problem, body` of each payload: the provider's rank and the standard columns as text.
+def arrivals(payloads: DataFrame, kept: Sequence[str] = ()) -> DataFrame:
+    """`request_city, time, rank, seq, problem, body` of each payload: the provider's rank and the standard columns as text, and the columns `kept`.
 
     Every provider's columns are made in one pass, from its own payloads alone.
     """
-    rows = payloads.select(F.col("city").alias("request_city"), S.TIME, "provider", "seq", F.col("payload").alias("_raw"))
+    rows = payloads.select(F.col("city").alias("request_city"), S.TIME, "provider", "seq", F.col("payload").alias("_raw"), *kept)
     problem, body = F.lit(None).cast("string"), F.lit(None).cast("string")
     for label, normalise in NORMALISED.items():
         mine = F.when(F.col("provider") == label, F.col("_raw")).alias("payload")
@@ -80,11 +80,11 @@ def arrivals(payloads: DataFrame) -> DataFrame:
         is_mine = F.col("provider") == label
         text = F.when(is_mine, F.to_json(F.struct(*standard))).otherwise(F.col("_body") if "_body" in rows.columns else body)
         why = F.when(is_mine, F.col("problem")).otherwise(F.col("_problem") if "_problem" in rows.columns else problem)
-        kept = [c for c in rows.columns if c not in ("_body", "_problem")]
-        rows = done.select(*kept, text.alias("_body"), why.alias("_problem"))
+        same = [c for c in rows.columns if c not in ("_body", "_problem")]
+        rows = done.select(*same, text.alias("_body"), why.alias("_problem"))
     known = F.array_position(F.array(*[F.lit(p) for p in PROVIDERS]), F.col("provider")) - 1
     return rows.withColumn("rank", known.cast("int")).filter(F.col("rank") >= 0).select(
-        *REQUEST, "rank", "seq", F.col("_problem").alias("problem"), F.col("_body").alias("body")
+        *REQUEST, "rank", "seq", F.col("_problem").alias("problem"), F.col("_body").alias("body"), *kept
     )
 
 
@@ -113,41 +113,60 @@ def _verdict(got: dict[str, list]) -> tuple[str | None, str | None, str | None]:
     return weather[2], None, " | ".join(reasons)
 
 
+#: Hours of all cities are dealt to so many state keys by hash, so that one call of Python serves many hours.
+#: Fixed, as the keys of a running job must not change.
+STATE_KEYS = 4096
+
+
 def settle(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """One row for an hour of a city: as soon as weather and city station have answered, or
-    when the watermark has passed the hour, from the first provider that did."""
-    held = json.loads(state.get[0]) if state.exists else {"done": False, "got": {}}
-    settled = None
-    if state.hasTimedOut:
-        settled = None if held["done"] else _verdict(held["got"])
-        state.remove()
-    else:
-        for pdf in frames:
-            for rank, seq, problem, body in zip(pdf["rank"], pdf["seq"], pdf["problem"], pdf["body"], strict=True):
-                answer = (int(seq), None if pd.isna(problem) else str(problem), None if pd.isna(body) else str(body))
-                if not held["done"] and _better(answer, held["got"].get(str(rank))):
-                    held["got"][str(rank)] = list(answer)
-        answered = [held["got"].get(rank) for rank in ("0", "1")]
+    when the watermark has passed the hour, from the first provider that did.
+
+    State holds [city, hour, due, done, answers] of each hour of the key that has not passed.
+    """
+    held = {(h[0], h[1]): h for h in json.loads(state.get[0])} if state.exists else {}
+    passed, fresh, settled = state.getCurrentWatermarkMs(), set(), []
+    for pdf in () if state.hasTimedOut else frames:
+        for city, at, rank, seq, problem, body in zip(pdf["request_city"], pdf["at"], pdf["rank"], pdf["seq"], pdf["problem"], pdf["body"], strict=True):
+            hour = (None if pd.isna(city) else str(city), int(at))
+            answer = (int(seq), None if pd.isna(problem) else str(problem), None if pd.isna(body) else str(body))
+            entry = held.setdefault(hour, [*hour, 0, False, {}])
+            if not entry[3] and _better(answer, entry[4].get(str(rank))):
+                entry[4][str(rank)] = list(answer)
+            fresh.add(hour)
+    for hour in fresh:
+        entry = held[hour]
+        entry[2] = max(hour[1] // 1000 + 1, passed + 1)
+        answered = [entry[4].get(rank) for rank in ("0", "1")]
         if all(a is not None and a[1] is None for a in answered):
-            settled = _verdict(held["got"])
+            settled.append((*hour, *_verdict(entry[4])))
             # Kept until the hour has passed, so that what still arrives for it adds no second row.
-            held = {"done": True, "got": {}}
-        state.update((json.dumps(held),))
-        state.setTimeoutTimestamp(max(int(key[1]) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-    if settled is not None:
-        weather, air, problem = settled
-        yield pd.DataFrame({"request_city": [key[0]], "at": [key[1]], "weather": [weather], "air": [air], "problem": [problem]})
+            entry[3:] = [True, {}]
+    for hour in [h for h, entry in held.items() if entry[2] < passed]:
+        _, _, _, done, got = held.pop(hour)
+        if not done:
+            settled.append((*hour, *_verdict(got)))
+    if held:
+        state.update((json.dumps(list(held.values())),))
+        state.setTimeoutTimestamp(max(min(entry[2] for entry in held.values()), passed + 1))
+    elif state.exists:
+        state.remove()
+    if settled:
+        yield pd.DataFrame(settled, columns=["request_city", "at", "weather", "air", "problem"])
 
 
 def settled_hours(payloads: DataFrame, delay: str = DELAY) -> DataFrame:
     """Stream of `request_city, at, weather, air, problem`, one row for each hour of a city.
 
     `payloads` has city, collection_timestamp, provider, payload and seq, the order of arrival.
-    Hours wait in keyed state for their city station; the event-time timer of an hour
+    Hours wait in keyed state for their city station; the event-time timer of their key
     makes the fallback to the geographic station and to the components.
     """
-    timed = arrivals(payloads.filter(F.col(S.TIME).isNotNull())).withWatermark(S.TIME, delay)
-    return timed.withColumn("at", F.unix_micros(S.TIME)).groupBy("request_city", "at").applyInPandasWithState(
+    # Dealt to the tasks by key before they are parsed: a large file is not one task's work, and the state needs no second shuffle.
+    at = F.unix_micros(S.TIME)
+    keyed = payloads.filter(F.col(S.TIME).isNotNull()).withColumns({"at": at, "_key": F.pmod(F.xxhash64("city", at), F.lit(STATE_KEYS))})
+    timed = arrivals(keyed.repartition("_key"), ("at", "_key")).withWatermark(S.TIME, delay)
+    return timed.groupBy("_key").applyInPandasWithState(
         settle, "request_city string, at long, weather string, air string, problem string", "held string", "append",
         GroupStateTimeout.EventTimeTimeout,
     )
