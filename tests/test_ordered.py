@@ -140,6 +140,17 @@ def test_nearest_equals_brute_force(spark):
         assert (r.hit.seq if r.hit else None) == (min(near)[1] if near else None)
 
 
+def test_long_days_are_not_copied_whole(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "BLOCK_ROWS", 400)
+    rows = [("c", START + dt.timedelta(minutes=i)) for i in range(3 * 1440)]
+    df = spark.createDataFrame(rows, "city string, collection_timestamp timestamp")
+    held = in_blocks(df, ["city"], "collection_timestamp", 10, 10).collect()
+    # A block holds its own rows and an hour of 60 rows on either side, no day of 1,440.
+    assert sum(r["_own"] == r["_block"] for r in held) == len(rows) and len(held) <= 1.4 * len(rows)
+    own = [sum(r["_own"] == r["_block"] == b for r in held) for b in {r["_block"] for r in held}]
+    assert max(own) <= 400 + 60
+
+
 def test_keep_last_takes_greatest_order(spark):
     rows = [("a", 1, 5, "x"), ("a", 1, 9, "y"), ("a", 2, 1, "z"), ("b", 1, 3, None)]
     got = keep_last(spark.createDataFrame(rows, "city string, t int, seq int, v string"), ["city", "t"], "seq")
