@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -82,6 +83,20 @@ def test_near_duplicates_match_brute_force(spark):
         assert len(set(expected.values())) < len(docs)
 
 
+def test_texts_that_share_no_bucket_are_not_shuffled(spark, monkeypatch):
+    plans, real = [], minhash.full_sets
+    monkeypatch.setattr(minhash, "full_sets", lambda df, size: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df, size))
+    docs = [(i, " ".join(f"w{i}x{j}" for j in range(30))) for i in range(40)] + [(40, near := " ".join(f"w0x{j}" for j in range(29))), (41, near)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text").collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plans and all("BroadcastHashJoin" in p for p in plans)
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: 0 if i in (40, 41) else i for i in range(42)}
+
+
 def test_blocks_find_links_across_them(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 500)
     docs = near_copies(3)
@@ -147,6 +162,21 @@ def test_suffix_array_is_sorted():
         assert order.tolist() == sorted(range(len(data)), key=lambda i: data[i:])
 
 
+def test_a_shard_of_usual_size_fits_in_little_memory():
+    rng = np.random.default_rng(3)
+    window = 700
+    data = rng.integers(97, 101, (suffixes.SHARD // window, window), np.uint8)
+    data[1::7] = data[0]
+    tracemalloc.start()
+    try:
+        again, _ = suffixes.repeated_starts([row.tobytes() for row in data], 400)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert again.any() and not again.all()
+    assert peak < 250_000_000
+
+
 def test_removed_bytes_match_brute_force(spark):
     rng = random.Random(12)
     length = 100
