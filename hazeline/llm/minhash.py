@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 
 from hazeline.llm import batches, shingles
 from hazeline.llm.components import components
+from hazeline.llm.lines import small_side
 from hazeline.session import materialize
 
 WORDS = 3
@@ -182,8 +183,10 @@ def links(df: DataFrame, entries: DataFrame, size: int, percent: int) -> DataFra
     hubs = weighed.groupBy("bucket").agg(F.max(F.struct("w", F.col("id")))["id"].alias("hub"))
     star = shared.join(hubs, "bucket").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b"))
     pairs = star.distinct()
-    needed = shared.select("id").distinct()
-    sets = materialize(full_sets(df.join(needed, "id", "left_semi").dropDuplicates(["id"]), size), "sets")
+    # Few documents share a bucket as a rule; the texts of the others are not shuffled.
+    needed = materialize(shared.select("id").distinct(), "needed")
+    found = df.join(small_side(needed, needed.count()), "id", "left_semi")
+    sets = materialize(full_sets(found.dropDuplicates(["id"]), size), "sets")
     first = materialize(confirm(pairs, sets, percent), "star_links")
     labels = components(first, "a", "b").withColumnRenamed("node", "id")
     named = shared.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
