@@ -35,7 +35,9 @@ SAMPLE, LONGEST = 300, 20_000
 FEATURES = 1 << 17
 SEQUENCES, LENGTH, ROUNDS = 3_000, 48, 40
 BLOCK, LETTERS = 512, 64
-CACHED = 300_000
+CACHED = 100_000
+#: Bytes of text that are labelled at a time; a word of them takes some 200 bytes meanwhile.
+LABELLED = 1_000_000
 
 
 @dataclass
@@ -312,7 +314,7 @@ def label(df: DataFrame, text: str, model: Model, keep: list[str]) -> DataFrame:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller, labels = Labeller(shared.value), np.array([*shared.value.labels, UNKNOWN])
         unknown = len(labels) - 1
-        for batch in batches.slices(rows, body):
+        for batch in batches.slices(rows, body, LABELLED):
             n = batch.num_rows
             if unknown:
                 marginal, letters, counts = labeller.marginals(batches.texts(batch, body))

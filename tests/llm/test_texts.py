@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -105,6 +106,21 @@ def test_packing_of_equal_rows_and_an_empty_table(spark):
     assert packing.pack_documents(table(spark, ["a"]).limit(0), "doc_id", "text", VOCABULARY).collect() == []
 
 
+def test_labelling_a_batch_fits_in_little_memory():
+    rng = np.random.default_rng(4)
+    words = ["".join(map(chr, rng.integers(97, 123, rng.integers(2, 11)))) for _ in range(60_000)]
+    texts = [" ".join(words[i] for i in rng.integers(0, len(words), 300)) for _ in range(langid.LABELLED // 2_100)]
+    model = langid.Model(["a", "b"], rng.normal(size=(langid.FEATURES, 2)).astype(np.float32), np.zeros((2, 2), np.float32))
+    tracemalloc.start()
+    try:
+        _, letters, counts = langid.Labeller(model).marginals(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert letters.all() and (counts == 300).all()
+    assert peak < 70_000_000
+
+
 def test_language_on_held_out_documents(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").withColumn("score", F.lit(1))
     model = langid.train(docs, "doc_id", "text", "lang")
