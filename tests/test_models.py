@@ -13,6 +13,24 @@ from hazeline.plans import daily_models, linear, trees
 START = dt.datetime(2026, 1, 1, tzinfo=dt.timezone.utc)
 
 
+def test_backtest_of_trees_is_one_scan_however_many_windows(spark):
+    rows = [("a" if i % 3 else "b", START + dt.timedelta(hours=i), float(i % 7), float(i % 7) * 2 + i % 2) for i in range(120)]
+    df = spark.createDataFrame(rows, "city string, collection_timestamp timestamp, x double, y double").coalesce(1)
+    forest = RandomForestRegressor(featuresCol="features", numTrees=2, maxDepth=2, seed=1)
+    scored = trees.walk_forward_trees(forest, df, ["x"], "y", 20, 40)
+    assert scored.columns == ["city", "collection_timestamp", "x", "y", "block", "prediction"]
+    assert scored._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    got = {r.collection_timestamp: (r.block, r.prediction) for r in scored.collect()}
+    wanted = {}
+    for block, first in enumerate(range(40, 120, 20)):
+        known = df.filter(F.col("collection_timestamp") < F.lit(START + dt.timedelta(hours=first)))
+        ahead = df.filter(F.col("collection_timestamp").between(F.lit(START + dt.timedelta(hours=first)), F.lit(START + dt.timedelta(hours=first + 19))))
+        model = trees.fit_pipeline(forest, known, ["x"], "y")
+        wanted |= {r.collection_timestamp: (block, r.prediction) for r in trees.score_batch(model, ahead).collect()}
+    assert len(got) == 80 and got.keys() == wanted.keys()
+    assert all(got[t][0] == wanted[t][0] and got[t][1] == pytest.approx(wanted[t][1]) for t in got)
+
+
 def closed_form(x, y, alpha):
     mean, std = x.mean(0), x.std(0)
     z = (x - mean) / np.where(std > 0, std, 1.0)
