@@ -135,40 +135,61 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "va", "vb").mapInArrow(run, schema)
 
 
-def cross_links(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
+def crossing_links(rows: pa.Table, percent: int) -> pa.Table:
     """Links between different components among the rows of a pair of blocks.
 
     Rows hold id, component, side (1, 2, or 3 for a block with itself), band keys and
     values. A pair is compared in the first band that its two entries share, and no
     more once their components have been joined here.
     """
-    pdf = pdf.sort_values("id", kind="stable").reset_index(drop=True)
-    sets = [np.frombuffer(v, np.uint64) for v in pdf["values"]]
+    rows = rows.sort_by("id").combine_chunks()
+    column = {name: rows.column(name).combine_chunks() for name in ("id", "component", "side", "bands", "values")}
+    sets = [np.frombuffer(v, np.uint64) for v in column["values"].to_pylist()]
     sizes = np.array([len(s) for s in sets])
-    everything = np.concatenate(sets)
-    order = np.unique(everything, return_inverse=True)[1]
     starts = np.cumsum(sizes) - sizes
-    bands = np.array(pdf["bands"].tolist(), np.int64)
-    here = int(pdf["band"].iloc[0])
-    group = pd.factorize(pdf["component"])[0]
-    side = pdf["side"].to_numpy()
-    mark = np.zeros(len(everything) + 1, bool)
+    bands = column["bands"].flatten().to_numpy().reshape(len(sets), -1)
+    here = rows.column("band")[0].as_py()
+    group = column["component"].dictionary_encode().indices.to_numpy()
+    group, side, places = group.copy(), column["side"].to_numpy(), np.arange(len(sets))
+    order = mark = None
     out = []
-    for x in range(len(pdf)):
-        other = (group != group[x]) & (np.arange(len(pdf)) > x) & ((side != side[x]) | (side == 3))
-        other &= 100 * np.minimum(sizes, sizes[x]) >= percent * np.maximum(sizes, sizes[x])
-        other &= (bands[:, :here] != bands[x, :here]).all(1)
-        if not other.any():
+    for x in range(len(sets)):
+        other = np.flatnonzero((group != group[x]) & (places > x) & ((side != side[x]) | (side == 3)))
+        other = other[100 * np.minimum(sizes[other], sizes[x]) >= percent * np.maximum(sizes[other], sizes[x])]
+        other = other[(bands[other, :here] != bands[x, :here]).all(1)]
+        if not len(other):
             continue
+        if order is None:
+            order = np.unique(np.concatenate(sets), return_inverse=True)[1]
+            mark = np.zeros(len(order) + 1, bool)
         mine = order[starts[x] : starts[x] + sizes[x]]
         mark[mine] = True
-        common = np.add.reduceat(mark[order].astype(np.int64), starts)
+        if 4 * len(other) < len(sets):
+            common = np.array([np.count_nonzero(mark[order[starts[y] : starts[y] + sizes[y]]]) for y in other])
+        else:
+            common = np.add.reduceat(mark[order].astype(np.int64), starts)[other]
         mark[mine] = False
-        for y in np.flatnonzero(other & enough(common, sizes, sizes[x], percent)):
+        for y in other[enough(common, sizes[other], sizes[x], percent)].tolist():
             if group[x] != group[y]:
-                out.append((pdf["id"].iat[x], pdf["id"].iat[y]))
+                out.append((x, y))
                 group[group == group[y]] = group[x]
-    return pd.DataFrame(out, columns=["a", "b"])
+    pairs = np.array(out, np.int64).reshape(-1, 2)
+    return pa.table({"a": column["id"].take(pa.array(pairs[:, 0])), "b": column["id"].take(pa.array(pairs[:, 1]))})
+
+
+def cross_links(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """`crossing_links` of a pandas frame."""
+    return crossing_links(pa.Table.from_pandas(pdf, preserve_index=False), percent).to_pandas()
+
+
+def undecided(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of `shared`, with `component`, in buckets that may hold a link the first round has not found.
+
+    A bucket of two entries is its hub and the one compared with it, so nothing in it is left to compare.
+    """
+    named = shared.where("size > 2").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    return named.join(mixed.select("bucket"), "bucket", "left_semi")
 
 
 def links(df: DataFrame, entries: DataFrame, size: int, percent: int) -> DataFrame:
@@ -189,9 +210,7 @@ def links(df: DataFrame, entries: DataFrame, size: int, percent: int) -> DataFra
     sets = materialize(full_sets(found.dropDuplicates(["id"]), size), "sets")
     first = materialize(confirm(pairs, sets, percent), "star_links")
     labels = components(first, "a", "b").withColumnRenamed("node", "id")
-    named = shared.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    rows = named.join(mixed.select("bucket"), "bucket", "left_semi").withColumn("blocks", F.ceil(F.col("total") / BLOCK).cast("int"))
+    rows = undecided(shared, labels).withColumn("blocks", F.ceil(F.col("total") / BLOCK).cast("int"))
     mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     dealt = rows.withColumn("mine", mine).withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select(
@@ -201,7 +220,7 @@ def links(df: DataFrame, entries: DataFrame, size: int, percent: int) -> DataFra
     # A block with itself and a pair of blocks are different groups, so sides never mix.
     full = dealt.join(sets.select("id", "values"), "id").join(entries.select("id", "bands"), "id")
     schema = first.schema
-    crossing = full.groupBy("bucket", "i", "j").applyInPandas(lambda pdf: cross_links(pdf, percent), schema)
+    crossing = full.groupBy("bucket", "i", "j").applyInArrow(lambda rows: crossing_links(rows, percent), schema)
     return first.unionByName(crossing.distinct())
 
 

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from hazeline.llm import minhash, neighbours, suffixes
@@ -120,6 +121,25 @@ def test_cross_links_alone_find_every_component():
     assert roots(range(30), found.itertuples(index=False)) == roots(range(30), links)
 
 
+def test_buckets_of_two_are_compared_once(spark):
+    # Bucket 1 holds two unlike entries, which met as hub and other; in bucket 2 the ones beside the hub have not met.
+    shared = spark.createDataFrame([(1, 1, 2), (2, 1, 2), (3, 2, 3), (4, 2, 3), (5, 2, 3), (6, 3, 3), (7, 3, 3), (8, 3, 3)], "id long, bucket long, size long")
+    labels = spark.createDataFrame([(3, 3), (4, 3), (6, 6), (7, 6), (8, 6)], "id long, component long")
+    left = minhash.undecided(shared, labels)
+    assert sorted((r["id"], r["bucket"], r["component"]) for r in left.collect()) == [(3, 2, 3), (4, 2, 3), (5, 2, 5)]
+
+
+def test_crossing_links_take_arrow_and_any_key():
+    sets = [np.arange(a, a + 100, dtype=np.uint64) for a in (0, 3, 500, 1000, 1002)]
+    rows = pa.table({
+        "id": ["e", "b", "c", "a", "d"], "component": ["e", "b", "c", "a", "d"], "side": [3] * 5, "band": [1] * 5,
+        "bands": [[i, 1] for i in range(5)], "values": [x.tobytes() for x in sets],
+    })
+    assert minhash.crossing_links(rows, 85).to_pylist() == [{"a": "a", "b": "d"}, {"a": "b", "b": "e"}]
+    # Pairs that share an earlier band are another bucket's.
+    assert minhash.crossing_links(rows.set_column(4, "bands", pa.array([[1, 1]] * 5)), 85).num_rows == 0
+
+
 def test_near_duplicates_of_null_and_equal_keys(spark):
     text = "a b c d e f g"
     df = spark.createDataFrame([(None, text), (3, text), (3, text), (5, text), (6, "z")], "doc_id long, text string")
