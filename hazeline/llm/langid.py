@@ -308,13 +308,14 @@ def label(df: DataFrame, text: str, model: Model, keep: list[str]) -> DataFrame:
     keep = [c for c in keep if c not in {f.name for f in made}]
     schema = T.StructType([*[df.schema[c] for c in keep], *made])
     shared = df.sparkSession.sparkContext.broadcast(model)
-    # Longer than any name that is kept.
-    body = "_".join(["_", *keep])
+    # A text that is kept goes to the workers once; any other takes a name longer than those that are kept.
+    body = text if text in keep else "_".join(["_", *keep])
+    rows = df.select(*keep) if text in keep else df.select(*keep, df[text].alias(body))
 
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller, labels = Labeller(shared.value), np.array([*shared.value.labels, UNKNOWN])
         unknown = len(labels) - 1
-        for batch in batches.slices(rows, body, LABELLED):
+        for batch in batches.slices(parts, body, LABELLED):
             n = batch.num_rows
             if unknown:
                 marginal, letters, counts = labeller.marginals(batches.texts(batch, body))
@@ -334,9 +335,9 @@ def label(df: DataFrame, text: str, model: Model, keep: list[str]) -> DataFrame:
             offsets = np.concatenate([[0], np.cumsum(np.bincount(owner[at], minlength=n))]).astype(np.int32)
             structs = pa.StructArray.from_arrays([pa.array(labels[word[at]].tolist(), pa.string()), pa.array(length, pa.int64())], names=["lang", "n_words"])
             columns = [
-                *batch.columns[:-1], pa.array(labels[best].tolist(), pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(counts),
+                *batch.columns[: len(keep)], pa.array(labels[best].tolist(), pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(counts),
                 pa.ListArray.from_arrays(pa.array(offsets), structs),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return df.select(*keep, df[text].alias(body)).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)

@@ -324,3 +324,16 @@ def test_licences_match_a_comparison_with_every_template(spark):
 
 def test_licences_of_an_empty_table(spark):
     assert licences.scan(table(spark, ["a"]).limit(0), "doc_id", "text").collect() == []
+
+
+def test_a_kept_text_goes_to_the_labeller_once(spark):
+    model = langid.fit([("de", "der Hund und die Katze sind im Haus " * 5), ("en", "the dog and the cat are in the house " * 5)])
+    df = spark.createDataFrame([(1, "der Hund", "x"), (2, None, "y"), (3, "the cat", "z")], "doc_id long, text string, source string")
+    out = langid.label(df, "text", model, ["doc_id", "text", "source"])
+    sent = out._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[1]
+    assert " AS " not in sent
+    other = langid.label(df, "text", model, ["doc_id"])
+    pick = lambda frame: [(r.doc_id, r.lang_pred, r.score, r.n_words) for r in frame.orderBy("doc_id").collect()]
+    assert out.columns == ["doc_id", "text", "source", "lang_pred", "score", "n_words", "runs"]
+    assert [(r.text, r.source) for r in out.orderBy("doc_id").collect()] == [("der Hund", "x"), (None, "y"), ("the cat", "z")]
+    assert pick(out) == pick(other) and [x[1] for x in pick(out)] == ["de", "und", "en"]
