@@ -313,3 +313,16 @@ def test_complete_rows_are_told_without_rolling_windows(spark):
     assert key(built) == key(values) != []
     plan = built.select("city", "aqi_lag_1")._jdf.queryExecution().optimizedPlan().toString()
     assert "stddev" not in plan and "avg(" not in plan
+
+
+def test_complete_rows_take_few_window_columns(spark):
+    start, odd = dt.datetime(2026, 1, 1, tzinfo=dt.timezone.utc), {40: None, 300: float("nan"), 310: float("inf"), 311: float("inf"), 330: float("-inf")}
+    rows = [(c, start + dt.timedelta(hours=i), float(i % 50), 1.0 * (i % 13), odd.get(i, 20.0) if c == "b" else 20.0, 40.0, i) for c in "ab" for i in range(500)]
+    df = spark.createDataFrame(rows, "city string, collection_timestamp timestamp, aqi double, pm2_5 double, temperature double, humidity double, ingest_seq long")
+    built = features.build_features(df, horizon=24)
+    values = features.drop_incomplete(features.build_features(df, horizon=24, complete_only=False), df)
+    key = lambda frame: sorted((r.city, r.collection_timestamp) for r in frame.select("city", "collection_timestamp").collect())
+    assert key(built) == key(values) != []
+    # One flag is lagged six times and three counts once, whatever the number of columns; the rest are the rates of four columns.
+    plan = built.select("city", "collection_timestamp", "aqi_target")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(" lag(") <= 13
