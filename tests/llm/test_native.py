@@ -5,6 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from hazeline import session
 from hazeline.llm import lines, pii
 
 BASE = {
@@ -237,3 +238,43 @@ def test_rows_of_one_key_and_names_that_clash(spark):
     rest = ("kept", "kept", "kept")
     assert got == sorted([(1, rows[0][1], 2, 0, *rest), (2, "x", 2, 1, *rest), (2, rows[2][1], 1, 0, *rest), (3, "", 1, 1, *rest), (3, "", 1, 1, *rest)])
     assert set(cleaned.columns) == {*df.columns, "n_removed"}
+
+
+def test_lines_that_share_word_pairs_alone_meet_in_no_bucket(spark):
+    """Every pair of neighbouring words occurs in many lines, a triple in one: none of them can be alike."""
+    rng = random.Random(7)
+    heads = [f"a{i} b{i}" for i in range(40)]
+    rows = [(k, " ".join(f"{rng.choice(heads)} x{k}y{j}" for j in range(8))) for k in range(60)]
+    copy = (60, rows[0][1].upper())  # one line with the first, as an exact copy
+    split = lines.materialize(lines.split_lines(spark.createDataFrame([*rows, copy], "key long, text string"), "key", "text"), "lines")
+    hashes = lines.materialize(lines.simhash(split), "hashes")
+    assert hashes.count() == 60 and lines.first_lines(split, hashes).count() == 60
+    assert lines.word_buckets(split, hashes).count() == 0
+
+
+def test_alike_lines_share_a_word_triple_of_their_prefix(spark):
+    rng = random.Random(19)
+    rows = []
+    for n in range(8, 41):
+        base = [f"w{n}x{i}" for i in range(n)]
+        line = list(base)
+        for at in range(2, 5 * (n // 5), 5):  # as many edits as are allowed, as far apart as they can be
+            line[at] = f"e{rng.randrange(10**9)}"
+        longer = list(base)
+        for at in range((n + 1) // 5, 0, -1):
+            longer.insert(at * n // ((n + 1) // 5 + 1), f"i{rng.randrange(10**9)}")
+        rows += [(len(rows) + i, " ".join(x)) for i, x in enumerate((base, line, longer))]
+    split = lines.materialize(lines.split_lines(spark.createDataFrame(rows, "key long, text string"), "key", "text"), "lines")
+    met = lines.word_buckets(split, lines.materialize(lines.simhash(split), "hashes")).select(lines.number_of(F.col("entry")).alias("id"))
+    assert {r["key"] for r in split.join(met.distinct(), "id").collect()} == {k for k, _ in rows}
+
+
+def test_shuffle_files_of_line_dedup_go_with_its_steps(spark):
+    left = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    rows = [(k, f"alpha beta gamma delta epsilon zeta eta theta iota {k % 20}\nsome line of quite other words that is number {k}") for k in range(200)]
+    df = spark.createDataFrame(rows, "key long, text string")
+    with session.shuffles_freed(spark):
+        before = left()
+        lines.materialize(lines.find_copies(df, "key", "text"), "copies")
+        assert left() <= before
+    assert spark.conf.get(session.FREE_SHUFFLES) == "false"
