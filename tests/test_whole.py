@@ -29,3 +29,8 @@ def test_the_search_grows_the_rounds_of_its_space(spark, asked):
     assert ensembles.ensemble_search(spark, "").count() == 25
     space = ensembles.selection.SPACES["Boosted Leaves"]
     assert len(asked) == 125 and {f.trees for f in asked} == set(space["trees"]) and {f.leaves for f in asked} == set(space["leaves"])
+
+
+def test_the_backtest_grows_all_rounds_of_its_family(spark, asked):
+    assert ensembles.ensemble_walk_forward(spark, "").first().n == 2
+    assert [f.trees for f in asked] == [ensembles.selection.CANDIDATES["Boosted Leaves"]["trees"]] * 2
