@@ -1,10 +1,12 @@
 """Registered training queries ask for their whole job."""
 
 import datetime as dt
+import random
 
 import pytest
 
-from suite import ensembles
+from hazeline.plans import reports
+from suite import ensembles, models
 
 START = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
 
@@ -34,3 +36,48 @@ def test_the_search_grows_the_rounds_of_its_space(spark, asked):
 def test_the_backtest_grows_all_rounds_of_its_family(spark, asked):
     assert ensembles.ensemble_walk_forward(spark, "").first().n == 2
     assert [f.trees for f in asked] == [ensembles.selection.CANDIDATES["Boosted Leaves"]["trees"]] * 2
+
+
+@pytest.fixture
+def events(spark, tmp_path):
+    """Three weeks of two hourly series."""
+    rng = random.Random(3)
+    rows = [
+        (i, START.replace(tzinfo=None) + dt.timedelta(hours=i // 2), rng.randrange(900), "ab"[i % 2], rng.uniform(0, 200), f'{{"k": {rng.randrange(100)}}}') for i in range(1000)
+    ]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    df.write.parquet(f"{tmp_path}/events.parquet")
+    return str(tmp_path)
+
+
+def test_the_sweep_tunes_leaf_wise_trees_for_each_horizon(spark, events, monkeypatch):
+    asked = []
+
+    def recorded(rows, name, columns, edges, space, n_iter, k, gap, seed):
+        asked.append((name, columns, space, n_iter, k, gap))
+        return [{"setting": {"trees": 2, "leaves": 3}}]
+
+    monkeypatch.setattr(reports, "search", recorded)
+    found = models.horizon_sweep(spark, events).collect()
+    assert {(r.model, r.horizon) for r in found} == {(m, h) for m in ("model", "persistence", "roll_mean_24h", "roll_mean_7d", "seasonal_month") for h in reports.HORIZON_HOURS}
+    assert all(r.n > 0 for r in found)
+    assert [(a[0], a[1], a[5]) for a in asked] == [("Boosted Leaves", models.HOURLY, h) for h in reports.HORIZON_HOURS]
+    assert all(a[3:5] == (40, 5) and a[2]["trees"] == [200, 400, 800] and {"l1", "l2", "features", "rows", "min_rows", "leaves"} < set(a[2]) for a in asked)
+
+
+def test_the_sweep_scores_its_best_setting(spark, events):
+    table = models.features.build_features(models.sensor(spark, events), complete_only=False)
+    space = {"trees": [2, 30], "leaves": [2, 8], "step": [0.3], "min_rows": [5]}
+    found = {r.model: r for r in reports.horizon_sweep(table, ["aqi", "humidity", "aqi_lag_24"], [6], space=space, n_iter=3, k=2).collect()}
+    assert len(found) == 5 and found["model"].n == found["persistence"].n and 0 < found["model"].rmse < found["persistence"].rmse
+
+
+def test_folds_shorter_than_the_gap_train_on_what_there_is(spark):
+    from hazeline.operators import splits
+
+    rows = spark.createDataFrame([(c, START + dt.timedelta(hours=h)) for h in range(120) for c in "xy"], "city string, collection_timestamp timestamp")
+    hours = lambda folds: [(s - START.timestamp()) / 3600 for _, s, _ in folds]
+    assert hours(splits.time_folds(rows, 3, 50)) == [30.0, 60.0, 90.0] and hours(splits.trained_folds(rows, 3, 50)) == [60.0, 90.0]
+    assert splits.trained_folds(rows, 3, 20) == splits.time_folds(rows, 3, 20)
+    with pytest.raises(ValueError, match="no complete rows"):
+        splits.trained_folds(rows, 2, 120)
