@@ -81,3 +81,23 @@ def test_folds_shorter_than_the_gap_train_on_what_there_is(spark):
     assert splits.trained_folds(rows, 3, 20) == splits.time_folds(rows, 3, 20)
     with pytest.raises(ValueError, match="no complete rows"):
         splits.trained_folds(rows, 2, 120)
+
+
+def test_the_training_run_tunes_every_family(spark, events, monkeypatch):
+    asked, backtests = [], []
+    trees = models.trees
+
+    def searched(estimator, space, train, columns, target, k, gap, n_iter, seed):
+        asked.append((space, k, gap, n_iter))
+        few = estimator.copy({estimator.getParam(next(p for p in space if p in ("maxIter", "numTrees"))): 1, estimator.maxDepth: 1})
+        return trees.fit_pipeline(few, train, columns, target), [{"estimator": few}]
+
+    def backtest(estimator, df, columns, target, step, min_train):
+        backtests.append((step, min_train))
+        return df.withColumn("prediction", models.F.lit(1.0))
+
+    monkeypatch.setattr(trees, "random_search_cv", searched)
+    monkeypatch.setattr(trees, "walk_forward_trees", backtest)
+    found = models.train_select(spark, events).collect()
+    assert {r.model for r in found if r.stage == "validation"} == {*trees.SPACES, "Persistence Baseline"}
+    assert [a[0] for a in asked] == list(trees.SPACES.values()) and {a[1:] for a in asked} == {(5, 72, 25)} and backtests == [(336, 1500)]
