@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import tempfile
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -249,6 +250,8 @@ def stream_alerts(stream: DataFrame) -> DataFrame:
 REACH = max(S.LAGS)
 #: The newest rows of a city that a late or corrected row may still join; beside them state holds the REACH rows before.
 OPEN_ROWS = 720
+#: Rows of a city that are sorted in memory, rows read at a time of each sorted run, and rows whose features are made at once.
+RUN_ROWS, READ_ROWS, DERIVED_ROWS = 100_000, 2_000, 10_000
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -276,8 +279,55 @@ def _derived(frame: pd.DataFrame) -> dict[str, np.ndarray]:
     return out
 
 
+def _newest(frames: Sequence[pd.DataFrame], by: list[str]) -> pd.DataFrame:
+    """Rows in order of time, the last by `by` of those of one time."""
+    return pd.concat(list(frames)).sort_values(by, kind="stable").drop_duplicates(S.TIME, keep="last").reset_index(drop=True)
+
+
+def _run_of(folder: str, number: int, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Write sorted rows, to be read a few at a time."""
+    table = pa.Table.from_pandas(rows, preserve_index=False)
+    path = f"{folder}/{number}.arrow"
+    with pa.OSFile(path, "wb") as sink, pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table, READ_ROWS)
+
+    def read() -> Iterator[pd.DataFrame]:
+        with pa.OSFile(path) as source, pa.ipc.open_stream(source) as reader:
+            for batch in reader:
+                yield batch.to_pandas()
+
+    return read()
+
+
+def _merged(runs: Sequence[Iterator[pd.DataFrame]], by: list[str]) -> Iterator[pd.DataFrame]:
+    """Runs, each in order of time and with one row a time, as one such run; of every run a few rows are held."""
+    if len(runs) == 1:
+        yield from runs[0]
+        return
+    held = {i: head for i, run in enumerate(runs) if (head := next(run, None)) is not None and len(head)}
+    while held:
+        # Every run has been read up to this time.
+        upto = min(head[S.TIME].iloc[-1] for head in held.values())
+        ready = []
+        for i, head in list(held.items()):
+            n = int(head[S.TIME].searchsorted(upto, side="right"))
+            ready.append(head.iloc[:n])
+            held[i] = head.iloc[n:]
+            if n == len(head):
+                following = next(runs[i], None)
+                if following is None:
+                    del held[i]
+                else:
+                    held[i] = following
+        yield _newest(ready, by)
+
+
 class RecentRows(StatefulProcessor):
-    """The newest rows of each city, as one Arrow table, and the features that new rows change."""
+    """The newest rows of each city, as one Arrow table, and the features that new rows change.
+
+    A batch may bring any number of rows of a city: they are sorted in runs on disk and merged, and
+    features are made of a few thousand rows at a time.
+    """
 
     def __init__(self, columns: list[str], order: str, open_rows: int) -> None:
         self.columns, self.order, self.open_rows = columns, order, open_rows
@@ -289,26 +339,67 @@ class RecentRows(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         held = self.held.get()
         old, version, cut = (pa.ipc.open_stream(held[0]).read_pandas(), held[1] + 1, held[2]) if held else (None, 1, False)
-        new = pd.concat(list(rows)).sort_values([S.TIME, self.order], kind="stable").drop_duplicates(S.TIME, keep="last")
-        late = new.iloc[:0]
-        if cut:
-            too_old = new[S.TIME] < old[S.TIME].iloc[REACH]
-            late, new = new[too_old], new[~too_old]
-        both = new.assign(_new=True) if old is None else pd.concat([old.assign(_new=False), new.assign(_new=True)])
-        both = both.sort_values([S.TIME, "_new"], kind="stable").drop_duplicates(S.TIME, keep="last").reset_index(drop=True)
-        changed = np.zeros(len(both) + REACH + 1, bool)
-        for at in np.flatnonzero(both["_new"]):
-            changed[at : at + REACH + 1] = True
-        fresh = both.drop(columns="_new").assign(**_derived(both))[changed[: len(both)]]
-        kept = both.drop(columns="_new").iloc[-(REACH + self.open_rows) :]
+        oldest = old[S.TIME].iloc[REACH] if cut else None
+        with tempfile.TemporaryDirectory(prefix="recent-") as folder:
+            late, new = [], []
+            for run in self.sorted_runs(rows):
+                if cut:
+                    late.append(_run_of(folder, 2 * len(late), run[run[S.TIME] < oldest]))
+                    run = run[run[S.TIME] >= oldest]
+                new.append(_run_of(folder, 2 * len(new) + 1, run))
+            arrived = (frame.assign(_new=True) for frame in _merged(new, [S.TIME, self.order]))
+            both = arrived if old is None else _merged([iter([old.assign(_new=False)]), arrived], [S.TIME, "_new"])
+            kept, seen = None, 0
+            for frame, fresh in self.changed(both):
+                seen += len(frame)
+                kept = frame if kept is None else pd.concat([kept, frame])
+                kept = kept.iloc[-(REACH + self.open_rows) :]
+                if len(fresh):
+                    yield fresh.assign(version=version, late=False).reindex(columns=self.columns)
+            for frame in _merged(late, [S.TIME, self.order]) if late else ():
+                if len(frame):
+                    yield frame.assign(version=version, late=True).reindex(columns=self.columns)
         sink = pa.BufferOutputStream()
         table = pa.Table.from_pandas(kept, preserve_index=False)
         with pa.ipc.new_stream(sink, table.schema) as writer:
             writer.write_table(table)
-        self.held.update((sink.getvalue().to_pybytes(), version, cut or len(kept) < len(both)))
-        for frame, is_late in ((fresh, False), (late, True)):
-            if len(frame):
-                yield frame.assign(version=version, late=is_late).reindex(columns=self.columns)
+        self.held.update((sink.getvalue().to_pybytes(), version, cut or len(kept) < seen))
+
+    def sorted_runs(self, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """What arrived, some rows at a time, each run in order of time and with one row a time."""
+        by, some = [S.TIME, self.order], []
+        for frame in frames:
+            some.append(frame)
+            if sum(map(len, some)) >= RUN_ROWS:
+                yield _newest(some, by)
+                some = []
+        if some:
+            yield _newest(some, by)
+
+    def changed(self, both: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, pd.DataFrame]]:
+        """Rows in order of time, some at a time, and those of them that a new row reaches, with their features."""
+        before, waiting = None, []
+
+        def made() -> tuple[pd.DataFrame, pd.DataFrame]:
+            nonlocal before
+            start = 0 if before is None else len(before)
+            whole = pd.concat(([] if before is None else [before]) + waiting).reset_index(drop=True)
+            reached = np.zeros(len(whole) + REACH + 1, bool)
+            for at in np.flatnonzero(whole["_new"]):
+                reached[at : at + REACH + 1] = True
+            reached = reached[: len(whole)]
+            reached[:start] = False
+            plain = whole.drop(columns="_new")
+            before = whole.iloc[-REACH:]
+            return plain.iloc[start:], plain.assign(**_derived(plain))[reached]
+
+        for frame in both:
+            waiting.append(frame)
+            if sum(map(len, waiting)) >= DERIVED_ROWS:
+                yield made()
+                waiting = []
+        if waiting:
+            yield made()
 
     def close(self) -> None:
         pass
@@ -322,7 +413,7 @@ def stream_features(observations: DataFrame, out: str, checkpoint: str, order: s
     most. A row older than the newest `open_rows` of its city, once older ones have left the
     state, changes nothing: it comes out as it is, marked `late`, for a batch
     run over the stored observations. Of rows of one time in one batch the greatest `order` counts. A
-    batch's rows of one city are held by one task; limit batches at the source.
+    batch's rows of one city go through one task, which sorts them on disk and holds a part of them.
     """
     spark = observations.sparkSession
     # Keyed state of this kind needs this store; other streams of the session can use it too.

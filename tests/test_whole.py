@@ -101,3 +101,45 @@ def test_the_training_run_tunes_every_family(spark, events, monkeypatch):
     found = models.train_select(spark, events).collect()
     assert {r.model for r in found if r.stage == "validation"} == {*trees.SPACES, "Persistence Baseline"}
     assert [a[0] for a in asked] == list(trees.SPACES.values()) and {a[1:] for a in asked} == {(5, 72, 25)} and backtests == [(336, 1500)]
+
+
+def test_a_batch_of_any_size_is_streamed_a_few_rows_at_a_time(monkeypatch):
+    import numpy as np
+    import pandas as pd
+
+    from hazeline import schemas as S
+    from hazeline.streaming import live
+
+    class Held:
+        value = None
+        get = lambda self: self.value
+
+        def update(self, value):
+            self.value = value
+
+    rng, most, derived = np.random.default_rng(5), [], live._derived
+    rows = pd.DataFrame({S.TIME: pd.Timestamp("2026-01-01") + pd.to_timedelta(rng.integers(0, 4000, 5000), "h"), "city": "x", "aqi": rng.random(5000), "ingest_seq": range(5000)})
+    rows.loc[rng.integers(0, 5000, 300), "aqi"] = None
+    parts = [rows[:3500], rows[3500:]]
+
+    def run(open_rows):
+        names = [S.TIME, "city", "aqi", "ingest_seq", "version", "late", *derived(rows[:1])]
+        task, out = live.RecentRows(names, "ingest_seq", open_rows), []
+        task.held = Held()
+        for part in parts:
+            out += task.handleInputRows(("x",), iter([part[i : i + 70] for i in range(0, len(part), 70)]), None)
+        return pd.concat(out).reset_index(drop=True), task.held.value[2], live.pa.ipc.open_stream(task.held.value[0]).read_pandas()
+
+    whole = {n: run(n) for n in (10_000, 900)}
+    for name, n in (("RUN_ROWS", 400), ("READ_ROWS", 50), ("DERIVED_ROWS", 200)):
+        monkeypatch.setattr(live, name, n)
+    monkeypatch.setattr(live, "_derived", lambda frame: (most.append(len(frame)), derived(frame))[1])
+    for n, (found, cut, state) in whole.items():
+        again, cut_again, state_again = run(n)
+        by = ["late", "version", S.TIME, "ingest_seq"]
+        pd.testing.assert_frame_equal(found.sort_values(by, ignore_index=True), again.sort_values(by, ignore_index=True))
+        pd.testing.assert_frame_equal(state, state_again)
+        assert cut == cut_again == (n == 900) and found["late"].any() == cut
+    assert max(most) < 1200
+    newest = rows.drop_duplicates(S.TIME, keep="last")
+    assert len(newest) == whole[10_000][0].groupby(S.TIME).ngroups
